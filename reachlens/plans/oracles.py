@@ -1,0 +1,34 @@
+"""DuckDB SQL of the registered queries, written independently of the DataFrame code."""
+
+from __future__ import annotations
+
+from reachlens.plans import oracle_base as o
+
+_PROGRAM = [o.FACT, o.program()]
+_GENRE_CHANNEL = [*_PROGRAM, o.genre_channel()]
+_SHOW = [o.FACT, o.show()]
+
+_AFFINITY = """SELECT category, level, cat_key, level_key, CAST(prog_metric AS DOUBLE) AS prog_metric,
+  CAST(metric_share AS DOUBLE) AS metric_share, CAST(client_metric AS DOUBLE) AS client_metric,
+  CAST(client_share AS DOUBLE) AS client_share, genre, ntwk FROM affinity"""
+_ENRICHED = """SELECT category, level, prog_metric, round(genre_share, 6) AS genre_share,
+  round(affinity, 6) AS affinity, client_metric, round(client_genre_share, 6) AS client_genre_share,
+  round(overall_share, 6) AS overall_share, genre, ntwk FROM enriched"""
+
+
+def _sums(table: str) -> str:
+    return f"SELECT * EXCLUDE (ADGRP, FCT, TVT), {o.SUMS_OUT} FROM {table}"
+
+
+ORACLES: dict[str, str] = {
+    "prog_rollup": o.query(_PROGRAM, _sums("program")),
+    "genre_channel_rollup": o.query(_GENRE_CHANNEL, _sums("genre_channel")),
+    "show_rollup": o.query(_SHOW, _sums("show_prog")),
+    "show_affinity_base": o.query([*_SHOW, o.REF_CHANNEL, o.SHOW_BASE], _sums("show_base")),
+    "channel_affinity_base": o.query([*_GENRE_CHANNEL, o.REF_CHANNEL, o.CHANNEL_BASE], _sums("channel_base")),
+    "genre_affinity_base": o.query([*_GENRE_CHANNEL, o.REF_GENRE, o.GENRE_BASE], _sums("genre_base")),
+    "affinity_genre": o.query(o.level_ctes("genre"), _AFFINITY),
+    "affinity_channel": o.query(o.level_ctes("channel"), _AFFINITY),
+    "affinity_show": o.query(o.level_ctes("show"), _AFFINITY),
+    "enriched_genre": o.query(o.enriched_ctes("genre"), _ENRICHED),
+}

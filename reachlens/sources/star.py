@@ -1,0 +1,340 @@
+"""The logical tables, derived from a TPC-H-like star schema (``lineitem``, ``orders``, ... and ``pages``).
+
+Joins carry no broadcast hints: Spark's own size threshold broadcasts small dimensions, larger ones are
+shuffled, and adaptive execution splits skewed partitions.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reachlens import schemas
+from reachlens.functions import calendar
+
+# Fixed values of the mapping.
+RETURN_FLAGS = ("A", "N", "R")
+MONTH_NAMES = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+NEWER_OFFSET = 10
+OTHERS_FROM_NETWORK = 20
+ACCESS_CHANNELS = 20
+NEWS_EPOCH = "2024-01-01 00:00:00"
+FEED_PAGES = 100
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _money(column: str) -> Column:
+    """Doubles become exact decimals before any arithmetic, so that sums do not depend on row order."""
+    return F.col(column).cast("decimal(15,2)")
+
+
+def _list_position(values: tuple[str, ...], column: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(value) for value in values]), column).cast("int")
+
+
+def _genre_key(spark: SparkSession, folder: str) -> Column:
+    """Dense rank of the genre name. The genre list is short (its domain is fixed) and read once."""
+    genres = table(spark, folder, "part").agg(F.array_sort(F.collect_set("p_type")))
+    return F.array_position(genres.scalar(), F.col("p_type")).cast("int")
+
+
+def _tg_key() -> Column:
+    older = _list_position(RETURN_FLAGS, F.col("l_returnflag"))
+    return (older + F.when(F.col("l_linestatus") == "O", NEWER_OFFSET).otherwise(0)).cast("int")
+
+
+def _market_key() -> Column:
+    return F.substring("o_orderpriority", 1, 1).cast("int")
+
+
+def fact(spark: SparkSession, folder: str, weeks: tuple[int, int] | None = None) -> DataFrame:
+    """``FACT_TG_AFFINITY_AGG_WK``, one row per line item.
+
+    ``weeks`` adds a plain date range on the ship date, which reaches the Parquet reader; the exact
+    week filter stays with the caller.
+    """
+    lines = table(spark, folder, "lineitem")
+    if weeks:
+        first = dt.datetime.combine(calendar.week_first_day(weeks[0]), dt.time())
+        after = dt.datetime.combine(calendar.week_last_day(weeks[1]), dt.time()) + dt.timedelta(days=1)
+        ship = F.col("l_shipdate")
+        lines = lines.where((ship >= _ntz(first)) & (ship < _ntz(after)))
+    nation = table(spark, folder, "nation")
+    network = nation.select(
+        F.col("n_nationkey").alias("NETWORK_KEY"),
+        F.when(F.col("n_nationkey") >= OTHERS_FROM_NETWORK, "Others")
+        .otherwise(F.col("n_name"))
+        .alias("NETWORK_DISPLAY_NAME"),
+    )
+    advertiser = nation.select(
+        F.col("n_nationkey").alias("ADVERTISERS_GROUP_KEY"),
+        F.col("n_name").alias("ADVERTISERS_GROUP_DISPLAY_NAME"),
+    )
+    channels = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("CHANNEL_GROUP_KEY"),
+        F.col("s_name").alias("CHANNEL_GROUP_DISPLAY_NAME"),
+        F.col("s_nationkey").alias("NETWORK_KEY"),
+    )
+    programs = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("PROGRAM_GROUP_KEY"),
+        F.col("p_name").alias("PROGRAM_GROUP_DISPLAY_NAME"),
+        _genre_key(spark, folder).alias("GENRE_KEY"),
+        F.col("p_type").alias("GENRE_DISPLAY_NAME"),
+    )
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("ADVERTISERS_GROUP_KEY")
+    )
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", _market_key().alias("MARKET_KEY")
+    )
+    day = F.to_date("l_shipdate")
+    spots = lines.select(
+        "l_orderkey",
+        F.col("l_partkey").alias("PROGRAM_GROUP_KEY"),
+        F.col("l_suppkey").alias("CHANNEL_GROUP_KEY"),
+        _tg_key().alias("TG_KEY"),
+        F.year(day).alias("CALENDAR_YEAR"),
+        F.weekofyear(day).alias("BARC_WEEK"),
+        F.element_at(F.array(*[F.lit(name) for name in MONTH_NAMES]), F.month(day)).alias("MONTH"),
+        calendar.week_key(day).alias("WEEK_KEY"),
+        _money("l_quantity").alias("ADGRP"),
+        _money("l_extendedprice").alias("FCT"),
+        (_money("l_extendedprice") * (1 - _money("l_discount"))).alias("TVT"),
+    )
+    joined = (
+        spots.join(orders, "l_orderkey")
+        .join(customers, "o_custkey")
+        .join(programs, "PROGRAM_GROUP_KEY")
+        .join(channels, "CHANNEL_GROUP_KEY")
+        .join(network, "NETWORK_KEY")
+        .join(advertiser, "ADVERTISERS_GROUP_KEY")
+    )
+    return joined.select(*schemas.FACT.fieldNames())
+
+
+def _ntz(moment: dt.datetime) -> Column:
+    return F.lit(str(moment)).cast("timestamp_ntz")
+
+
+def _cell_names(tg: Column, market: Column) -> dict[str, Column]:
+    tg_name = F.concat(F.lit("TG "), tg.cast("string"))
+    market_name = F.concat(F.lit("MKT "), market.cast("string"))
+    return {
+        "TG_DISPLAY_NAME": tg_name,
+        "MARKET_DISPLAY_NAME": market_name,
+        "TG_MARKET_DISPLAY_NAME": F.concat_ws(" ", tg_name, market_name),
+    }
+
+
+def _source_of(tg: Column) -> Column:
+    return F.when(tg < NEWER_OFFSET, schemas.SOURCE_OLDER).otherwise(schemas.SOURCE_NEWER)
+
+
+def ref_tg_mkt(spark: SparkSession, folder: str) -> DataFrame:
+    """``REF_TG_MKT``: every audience-market cell that occurs."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", _tg_key().alias("TG_KEY"))
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), _market_key().alias("MARKET_KEY")
+    )
+    cells = lines.join(orders, "l_orderkey").select("TG_KEY", "MARKET_KEY").distinct()
+    return cells.withColumns(
+        {**_cell_names(F.col("TG_KEY"), F.col("MARKET_KEY")), "SOURCE": _source_of(F.col("TG_KEY"))}
+    ).select(*schemas.REF_TG_MKT.fieldNames())
+
+
+def _with_base_cells(keyed: DataFrame, key: str) -> DataFrame:
+    """Two base cells per key, one per measurement source."""
+    offsets = F.explode(F.array(F.lit(0), F.lit(NEWER_OFFSET)))
+    return (
+        keyed.withColumn("offset", offsets)
+        .withColumn("TG_KEY", (F.col(key) % 3 + 1 + F.col("offset")).cast("int"))
+        .withColumn("MARKET_KEY", (F.col(key) % 5 + 1).cast("int"))
+        .withColumn("SOURCE", _source_of(F.col("TG_KEY")))
+        .withColumns(_cell_names(F.col("TG_KEY"), F.col("MARKET_KEY")))
+    )
+
+
+def ref_genre_tg_mkt(spark: SparkSession, folder: str) -> DataFrame:
+    """``ref_genre_tg_mkt``: the base cells of each genre."""
+    genres = (
+        table(spark, folder, "part")
+        .select("p_type")
+        .distinct()
+        .select(
+            _genre_key(spark, folder).alias("GENRE_KEY"),
+            F.upper("p_type").alias("GENRE_NAME"),
+            F.col("p_type").alias("GENRE_DISPLAY_NAME"),
+        )
+    )
+    return _with_base_cells(genres, "GENRE_KEY").select(*schemas.REF_GENRE_TG_MKT.fieldNames())
+
+
+def dim_channel_group(spark: SparkSession, folder: str) -> DataFrame:
+    """``DIM_CHANNEL_GROUP``."""
+    return table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("CHANNEL_GROUP_KEY"), F.col("s_name").alias("CHANNEL_GROUP_DISPLAY_NAME")
+    )
+
+
+def ref_ch_group_tg_mkt(spark: SparkSession, folder: str) -> DataFrame:
+    """``ref_ch_group_tg_mkt``: the base cells of each channel."""
+    return _with_base_cells(dim_channel_group(spark, folder), "CHANNEL_GROUP_KEY").select(
+        *schemas.REF_CH_GROUP_TG_MKT.fieldNames()
+    )
+
+
+def dim_date(spark: SparkSession, folder: str) -> DataFrame:
+    """``DIM_DATE``: every day of the years that ship dates fall into."""
+    span = table(spark, folder, "lineitem").agg(
+        F.trunc(F.min("l_shipdate"), "year").alias("first"),
+        F.make_date(F.year(F.max("l_shipdate")), F.lit(12), F.lit(31)).alias("last"),
+    )
+    days = span.select(F.explode(F.sequence("first", "last")).alias("PRG_DATE"))
+    day = F.col("PRG_DATE")
+    return days.select(
+        calendar.date_key(day).alias("DATE_KEY"),
+        "PRG_DATE",
+        calendar.week_number(day).alias("BARC_WEEK"),
+        F.year(day).alias("BARC_YEAR"),
+    )
+
+
+def fact_cust_rev_agg_dly(spark: SparkSession, folder: str) -> DataFrame:
+    """``FACT_CUST_REV_AGG_DLY``: program date and advertiser of each order."""
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("ADVERTISERS_GROUP_KEY")
+    )
+    nation = table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("ADVERTISERS_GROUP_KEY"),
+        F.col("n_name").alias("ADVERTISERS_GROUP_DISPLAY_NAME"),
+    )
+    return (
+        table(spark, folder, "orders")
+        .select("o_custkey", F.to_date("o_orderdate").alias("PRG_DATE"))
+        .join(customers, "o_custkey")
+        .join(nation, "ADVERTISERS_GROUP_KEY")
+        .select("PRG_DATE", "ADVERTISERS_GROUP_KEY", "ADVERTISERS_GROUP_DISPLAY_NAME")
+    )
+
+
+def fact_cust_break_agg_dly(spark: SparkSession, folder: str) -> DataFrame:
+    """``fact_cust_break_agg_dly``: program date of each spot."""
+    return table(spark, folder, "lineitem").select(F.to_date("l_shipdate").alias("PRG_DATE"))
+
+
+def ref_employee_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
+    """``REF_EMPLOYEE_HIERARCHY``: one employee per supplier, managed by the employee with a third of the key."""
+    people = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("key"), F.col("s_name").alias("EMPLOYEE_NAME")
+    )
+    people = people.withColumn("manager", F.when(F.col("key") > 0, F.floor(F.col("key") / 3).cast("long")))
+    managers = people.select(F.col("key").alias("manager"), F.col("EMPLOYEE_NAME").alias("MANAGER_NAME"))
+    heads = people.where("manager is not null").select(F.col("manager").alias("key")).distinct()
+    heads = heads.withColumn("has_reports", F.lit(True))
+    role = (
+        F.when(F.col("key") == 0, "HO GROUP")
+        .when(F.col("has_reports").isNull(), "SALES EXECUTIVE")
+        .when(F.col("key") <= 3, "CLUSTER HEAD")
+        .otherwise("BRANCH HEAD")
+    )
+    return (
+        people.join(managers, "manager", "left")
+        .join(heads, "key", "left")
+        .select(
+            F.col("key").cast("string").alias("EMPLOYEE_KEY"),
+            F.concat(F.lit("U"), F.col("key").cast("string")).alias("EMPLOYEE_NT_ID"),
+            "EMPLOYEE_NAME",
+            role.alias("EMPLOYEE_ROLE"),
+            F.when(F.col("key") % 7 != 0, "-").alias("SECONDARY_ROLE"),
+            "MANAGER_NAME",
+            F.concat(F.lit("Group "), (F.col("key") % 4 + 1).cast("string")).alias("AUTH_GROUP"),
+        )
+    )
+
+
+def ref_employee_access(spark: SparkSession, folder: str) -> DataFrame:
+    """``REF_EMPLOYEE_ACCESS``: channels and locations per employee, and an ``ALL`` row for key 0."""
+    locations = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("location")
+    )
+    grants = (
+        table(spark, folder, "lineitem")
+        .select("l_suppkey", (F.col("l_partkey") % ACCESS_CHANNELS).alias("channel"))
+        .distinct()
+        .join(locations, "l_suppkey")
+        .select(
+            F.col("l_suppkey").cast("string").alias("EMPLOYEE_KEY"),
+            F.col("channel").cast("string").alias("CHANNEL_GROUP_KEY"),
+            F.concat(F.lit("Channel "), F.col("channel").cast("string")).alias("CHANNEL_GROUP_DISPLAY_NAME"),
+            F.col("location").cast("string").alias("LOCATION_KEY"),
+        )
+    )
+    everything = locations.where("l_suppkey = 0").select(
+        F.lit("0").alias("EMPLOYEE_KEY"),
+        F.lit("ALL").alias("CHANNEL_GROUP_KEY"),
+        F.lit("ALL").alias("CHANNEL_GROUP_DISPLAY_NAME"),
+        F.col("location").cast("string").alias("LOCATION_KEY"),
+    )
+    return grants.unionByName(everything)
+
+
+def network_colors(spark: SparkSession, folder: str) -> DataFrame:
+    """A color per network, and one for ``Others``."""
+    hex_code = F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.col("n_nationkey") * 104729 + 255), 6, "0")))
+    nation = table(spark, folder, "nation")
+    named = nation.where(F.col("n_nationkey") < OTHERS_FROM_NETWORK).select(
+        F.col("n_name").alias("Network"), hex_code.alias("HexCode")
+    )
+    others = nation.agg(F.lit("Others").alias("Network"), F.lit("#ffffff").alias("HexCode"))
+    return named.unionByName(others)
+
+
+def news(spark: SparkSession, folder: str) -> DataFrame:
+    """One news item per web page."""
+    published = F.lit(NEWS_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("page_id").cast("int"))
+    return table(spark, folder, "pages").select(
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("Title"),
+        published.alias("PublishDate"),
+        F.col("url").alias("Link"),
+        F.regexp_extract("url", "^https?://([^/]+)", 1).alias("Source"),
+        F.regexp_extract("url", "^https?://[^/]+/([^/?#]*)", 1).alias("SearchTerm"),
+        "page_id",
+    )
+
+
+def _xml(column: Column) -> Column:
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        column = F.replace(column, F.lit(plain), F.lit(escaped))
+    return column
+
+
+def feeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Feed documents as a news service would return them: the items of one term, newest page last.
+
+    A feed covers ``FEED_PAGES`` consecutive pages, so no document grows with the data.
+    """
+    link = F.concat(F.lit("http://feed.example/url?sa=t&url="), F.col("Link"))
+    description = F.concat(F.lit('<b><font color="#6f6f6f">'), F.col("Source"), F.lit("</font></b>"))
+    published = F.concat(F.date_format("PublishDate", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    item = F.concat(
+        F.lit("<item><title>"),
+        _xml(F.col("Title")),
+        F.lit("</title><link>"),
+        _xml(link),
+        F.lit("</link><pubDate>"),
+        published,
+        F.lit("</pubDate><description>"),
+        _xml(description),
+        F.lit("</description></item>"),
+    )
+    feed_no = F.floor(F.col("page_id") / FEED_PAGES).alias("feed_no")
+    items = news(spark, folder).select("SearchTerm", feed_no, F.struct("page_id", item.alias("item")).alias("entry"))
+    ordered = F.array_sort(F.collect_list("entry"))
+    body = F.array_join(F.transform(ordered, lambda entry: entry["item"]), "")
+    document = F.concat(F.lit('<rss version="2.0"><channel><title>feed</title>'), body, F.lit("</channel></rss>"))
+    return items.groupBy("SearchTerm", "feed_no").agg(document.alias("document"))
