@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,7 +110,11 @@ class Selection:
         return F.col("ADVERTISERS_GROUP_KEY") == int(self.client)
 
 
-def cell_sums(df: DataFrame, selection: Selection, keys: Sequence[Column | str]) -> DataFrame:
+# Display names that identify a row of the dashboard.
+NAMES = ("category", "level", "genre", "ntwk")
+
+
+def cell_sums(df: DataFrame, selection: Selection, keys: Sequence[Column]) -> DataFrame:
     """Sums of the metric per key, side by side for the two chosen cells, from one scan."""
     metric = F.col(selection.metric)
     return (
@@ -132,75 +138,70 @@ def counted_once() -> Column:
     return F.when(older.eqNullSafe(newer), older).otherwise(F.coalesce(older, zero) + F.coalesce(newer, zero))
 
 
-def _level_columns(level: Level) -> list[Column]:
-    return [
-        F.col(level.category).alias("category"),
-        F.col(level.level).alias("level"),
-        F.col(level.category_key).alias("cat_key"),
-        F.col(level.level_key).alias("level_key"),
-        F.col("GENRE_DISPLAY_NAME").alias("genre"),
-        F.col("NETWORK_DISPLAY_NAME").alias("ntwk"),
-    ]
-
+@dataclass(frozen=True)
+class CellTotals:
+    """Per-key sums of both cells, for all advertisers and for the chosen one.
 
-def _sum_cells(sums: DataFrame, *keys: str) -> DataFrame:
-    return sums.groupBy(*keys).agg(F.sum("older").alias("older"), F.sum("newer").alias("newer"))
+    At levels whose table is also the source of the genre totals, ``totals`` and ``genre`` (and
+    ``client`` and ``client_genre``) are the same frame, so Spark runs that aggregation once.
+    """
 
+    totals: DataFrame
+    genre: DataFrame
+    client: DataFrame
+    client_genre: DataFrame
 
-def genre_totals(sums: DataFrame, name: str) -> DataFrame:
-    """Total per genre name from per-key cell sums."""
-    return _sum_cells(sums, "genre").select("genre", counted_once().alias(name))
 
+def cell_totals(rollups, selection: Selection, level: Level) -> CellTotals:
+    """Aggregate the tables of the level to the selection.
 
-def level_totals(sums: DataFrame) -> DataFrame:
-    """Total per (category key, level key), one name of each kind per pair."""
-    return (
-        sums.withColumn("prog_metric", counted_once())
-        .groupBy("cat_key", "level_key")
-        .agg(
-            F.max("category").alias("category"),
-            F.max("level").alias("level"),
-            F.max("genre").alias("genre"),
-            F.max("ntwk").alias("ntwk"),
-            F.sum("prog_metric").alias("prog_metric"),
-        )
-    )
-
-
-def tg_affinity(
-    totals: DataFrame,
-    client: DataFrame,
-    genre_channel: DataFrame,
-    program: DataFrame,
-    selection: Selection,
-    level: Level,
-) -> DataFrame:
-    """Totals and advertiser totals per (category, level), next to the totals of the genre.
-
-    ``totals`` and ``client`` are the tables of the level; genre totals always come from the
-    genre-channel roll-up and advertiser genre totals from the program roll-up. Where those are the
-    tables of the level, both results share one aggregation.
+    Genre totals always come from the genre-channel roll-up and advertiser genre totals from the
+    program roll-up.
     """
-    sums = cell_sums(totals, selection, _level_columns(level))
-    genre_sums = sums if totals is genre_channel else cell_sums(genre_channel, selection, [_genre()])
-    of_client = selection.of_client()
-    client_keys = [
+    genre = F.col("GENRE_DISPLAY_NAME").alias("genre")
+    columns = [
         F.col(level.category_key).alias("cat_key"),
         F.col(level.level_key).alias("level_key"),
-        _genre(),
+        F.col(level.category).alias("category"),
+        F.col(level.level).alias("level"),
+        genre,
+        F.col("NETWORK_DISPLAY_NAME").alias("ntwk"),
     ]
-    client_sums = cell_sums(client.where(of_client), selection, client_keys)
-    client_genre_sums = (
-        client_sums if client is program else cell_sums(program.where(of_client), selection, [_genre()])
+    of_client = selection.of_client()
+    totals_table, client_table = getattr(rollups, level.totals), getattr(rollups, level.client)
+    totals = cell_sums(totals_table, selection, columns)
+    client = cell_sums(client_table.where(of_client), selection, columns)
+    return CellTotals(
+        totals=totals,
+        genre=totals
+        if totals_table is rollups.genre_channel
+        else cell_sums(rollups.genre_channel, selection, [genre]),
+        client=client,
+        client_genre=client
+        if client_table is rollups.program
+        else cell_sums(rollups.program.where(of_client), selection, [genre]),
     )
-    client_metric = _sum_cells(client_sums, "cat_key", "level_key").select(
-        "cat_key", "level_key", counted_once().alias("client_metric")
+
+
+def _per_key(sums: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    summed = sums.groupBy(*keys).agg(F.sum("older").alias("older"), F.sum("newer").alias("newer"))
+    return summed.select(*keys, counted_once().alias(name))
+
+
+def tg_affinity(cells: CellTotals) -> DataFrame:
+    """Totals and advertiser totals per (category, level), next to the totals of the genre."""
+    pair = ["cat_key", "level_key"]
+    totals = (
+        cells.totals.groupBy(*pair)
+        .agg(
+            *[F.max(name).alias(name) for name in NAMES],
+            F.sum(counted_once()).alias("prog_metric"),
+        )
     )
     return (
-        level_totals(sums)
-        .join(genre_totals(genre_sums, "metric_share"), "genre")
-        .join(client_metric, ["cat_key", "level_key"], "left")
-        .join(genre_totals(client_genre_sums, "client_share"), "genre", "left")
+        totals.join(_per_key(cells.genre, ["genre"], "metric_share"), "genre")
+        .join(_per_key(cells.client, pair, "client_metric"), pair, "left")
+        .join(_per_key(cells.client_genre, ["genre"], "client_share"), "genre", "left")
         .select(
             "category",
             "level",
@@ -216,8 +217,17 @@ def tg_affinity(
     )
 
 
-def _genre() -> Column:
-    return F.col("GENRE_DISPLAY_NAME").alias("genre")
+def client_total(cells: CellTotals) -> Column:
+    """The advertiser's grand total over all named pairs, as a scalar subquery.
+
+    The test on the names sits inside the sum, not in a filter, so that the subquery keeps the very
+    aggregation of ``cells.client`` and Spark reuses its shuffle.
+    """
+    named = reduce(and_, [F.col(name).isNotNull() for name in NAMES])
+    per_pair = cells.client.groupBy("cat_key", "level_key").agg(
+        F.sum(F.when(named, F.col("older"))).alias("older"), F.sum(F.when(named, F.col("newer"))).alias("newer")
+    )
+    return per_pair.agg(F.sum(counted_once())).scalar()
 
 
 def channel_insights(genre_channel: DataFrame, program: DataFrame, selection: Selection) -> DataFrame:
@@ -275,10 +285,9 @@ def affinity_denominator(base: DataFrame, selection: Selection, level: Level) ->
 
 def by_name(affinity: DataFrame) -> DataFrame:
     """Merge keys that share their display names; genre totals are averaged, not added."""
-    names = ["category", "level", "genre", "ntwk"]
     return (
-        affinity.dropna(subset=names)
-        .groupBy(*names)
+        affinity.dropna(subset=list(NAMES))
+        .groupBy(*NAMES)
         .agg(
             F.sum("prog_metric").alias("prog_metric"),
             F.avg("metric_share").alias("metric_share"),
@@ -288,12 +297,11 @@ def by_name(affinity: DataFrame) -> DataFrame:
     )
 
 
-def enrich(affinity: DataFrame, denominator: DataFrame) -> DataFrame:
-    """Shares and affinity per (category, level, genre, network); empty when the advertiser has no value."""
-    named = by_name(affinity)
-    client_total = named.agg(F.sum("client_metric")).scalar()
+def enrich(affinity: DataFrame, denominator: DataFrame, total: Column) -> DataFrame:
+    """Shares and affinity per (category, level, genre, network); empty when the advertiser total is 0."""
     return (
-        named.where(F.coalesce(client_total, F.lit(0)) != 0)
+        by_name(affinity)
+        .where(F.coalesce(total, F.lit(0)) != 0)
         .join(denominator, ["category", "level"], "left")
         .select(
             ascii_only(F.col("category")).alias("category"),
@@ -303,7 +311,7 @@ def enrich(affinity: DataFrame, denominator: DataFrame) -> DataFrame:
             percent(F.col("prog_metric"), F.col("affinity_denom")).alias("affinity"),
             F.col("client_metric").cast("double").alias("client_metric"),
             percent(F.col("client_metric"), F.col("client_share")).alias("client_genre_share"),
-            percent_of_total(F.col("client_metric"), client_total).alias("overall_share"),
+            percent_of_total(F.col("client_metric"), total).alias("overall_share"),
             "genre",
             "ntwk",
         )
@@ -318,14 +326,14 @@ def enrich_channels(insights: DataFrame, denominator: DataFrame) -> DataFrame:
         .groupBy(*names)
         .agg(F.sum("client_metric").alias("client_metric"), F.sum("prog_metric").alias("prog_metric"))
     )
-    client_total = named.agg(F.sum("client_metric")).scalar()
+    total = insights.dropna(subset=names).agg(F.sum("client_metric")).scalar()
     return named.join(denominator, ["category", "level"], "left").select(
         "category",
         "level",
         F.col("client_metric").cast("double").alias("client_metric"),
         F.col("prog_metric").cast("double").alias("prog_metric"),
         "ntwk",
-        percent_of_total(F.col("client_metric"), client_total).alias("overall_share"),
+        percent_of_total(F.col("client_metric"), total).alias("overall_share"),
         percent(F.col("prog_metric"), F.col("affinity_denom")).alias("affinity"),
     )
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachlens.operators import affinity, rollups
-from reachlens.plans import weekly
+from reachlens.functions import text
+from reachlens.operators import affinity, insights, present
+from reachlens.plans import dashboard, weekly
 from reachlens.schemas import METRICS
-from reachlens.sources import star
+from reachlens.session import scratch_path
+from reachlens.sources import sinks, star
 
 # Example selection of the dashboard queries.
 SELECTION = affinity.Selection(
@@ -31,9 +34,18 @@ def register(query: Query) -> Query:
     return query
 
 
-def _build(spark: SparkSession, folder: str, weeks: tuple[int, int] | None = None) -> weekly.Rollups:
-    return weekly.build_rollups(
-        star.fact(spark, folder, weeks),
+def _build(spark: SparkSession, folder: str) -> weekly.Rollups:
+    return weekly.Rollups(
+        star.fact(spark, folder),
+        star.ref_genre_tg_mkt(spark, folder),
+        star.ref_ch_group_tg_mkt(spark, folder),
+        names_follow_keys=True,
+    )
+
+
+def _request(spark: SparkSession, folder: str, selection: affinity.Selection = SELECTION) -> weekly.Rollups:
+    return weekly.FactOnly(
+        star.fact(spark, folder, selection.weeks),
         star.ref_genre_tg_mkt(spark, folder),
         star.ref_ch_group_tg_mkt(spark, folder),
         names_follow_keys=True,
@@ -91,23 +103,13 @@ _SHARES = ("genre_share", "affinity", "client_genre_share", "overall_share")
 def _affinity(
     spark: SparkSession, folder: str, level: affinity.Level, selection: affinity.Selection = SELECTION
 ) -> DataFrame:
-    tables = _build(spark, folder, selection.weeks)
-    return affinity.tg_affinity(
-        getattr(tables, level.totals),
-        getattr(tables, level.client),
-        tables.genre_channel,
-        tables.program,
-        selection,
-        level,
-    )
+    tables = _request(spark, folder, selection)
+    return affinity.tg_affinity(affinity.cell_totals(tables, selection, level))
 
 
 def _enriched(spark: SparkSession, folder: str, level: affinity.Level) -> DataFrame:
-    tables = _build(spark, folder, SELECTION.weeks)
-    return affinity.enrich(
-        _affinity(spark, folder, level),
-        affinity.affinity_denominator(getattr(tables, level.base), SELECTION, level),
-    )
+    tables = _request(spark, folder)
+    return dashboard.enriched(tables, SELECTION, level)
 
 
 @register
@@ -128,3 +130,243 @@ def affinity_show(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def enriched_genre(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_enriched(spark, folder, affinity.GENRE), *_SHARES)
+
+
+@register
+def enriched_channel(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(_enriched(spark, folder, affinity.CHANNEL), *_SHARES)
+
+
+@register
+def enriched_show_top100(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(present.top_rows(_enriched(spark, folder, affinity.SHOW)), *_SHARES)
+
+
+@register
+def enriched_show_by_total(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(present.top_rows_by_total(_enriched(spark, folder, affinity.SHOW)), *_SHARES)
+
+
+@register
+def affinity_same_cell_twice(spark: SparkSession, folder: str) -> DataFrame:
+    twice = replace(SELECTION, newer=SELECTION.older)
+    return _doubles(_affinity(spark, folder, affinity.GENRE, twice), *_AFFINITY_VALUES)
+
+
+@register
+def channel_insights(spark: SparkSession, folder: str) -> DataFrame:
+    tables = _request(spark, folder)
+    frame = affinity.channel_insights(tables.genre_channel, tables.program, SELECTION)
+    return _doubles(frame, "client_metric", "prog_metric")
+
+
+@register
+def channel_insights_enriched(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(dashboard.channels(_request(spark, folder), SELECTION), "overall_share", "affinity")
+
+
+@register
+def base_by_upper_name(spark: SparkSession, folder: str) -> DataFrame:
+    tables = _request(spark, folder)
+    frame = affinity.base_by_upper_name(
+        _affinity(spark, folder, affinity.GENRE),
+        star.ref_genre_tg_mkt(spark, folder),
+        "GENRE_NAME",
+        tables.genre_channel,
+        SELECTION,
+        affinity.GENRE,
+    )
+    return _doubles(frame, "affinity_denom")
+
+
+def _named_cells(spark: SparkSession, folder: str) -> DataFrame:
+    cells = star.ref_tg_mkt(spark, folder).select("TG_KEY", "MARKET_KEY", "TG_DISPLAY_NAME", "MARKET_DISPLAY_NAME")
+    return star.fact(spark, folder).join(cells, ["TG_KEY", "MARKET_KEY"])
+
+
+@register
+def exploration_all(spark: SparkSession, folder: str) -> DataFrame:
+    frame = affinity.exploration(_named_cells(spark, folder), "TG 1", "MKT 1", "ADGRP", 1997)
+    return _doubles(frame, "prog_metric")
+
+
+@register
+def exploration_per_advertiser(spark: SparkSession, folder: str) -> DataFrame:
+    frame = affinity.exploration(_named_cells(spark, folder), "TG 1", "MKT 1", "ADGRP", 1997, per_advertiser=True)
+    return _doubles(frame, "prog_metric")
+
+
+# --- insights ---
+
+
+def _rules(spark: SparkSession, folder: str) -> insights.Rules:
+    """The network with the smallest key plays the home network."""
+    network = star.table(spark, folder, "supplier").agg(F.min("s_nationkey")).scalar()
+    home = star.table(spark, folder, "nation").where(F.col("n_nationkey") == network).first()
+    return insights.Rules(home=home["n_name"])
+
+
+def _dashboard(spark: SparkSession, folder: str, level: affinity.Level) -> dashboard.Request:
+    return dashboard.Request(_request(spark, folder), SELECTION, level)
+
+
+@register
+def insight_home_share(spark: SparkSession, folder: str) -> DataFrame:
+    frame = insights.home_share(_enriched(spark, folder, affinity.GENRE), _rules(spark, folder))
+    return _rounded(frame, "market_share", "client_share")
+
+
+@register
+def insight_high_spend_low_affinity(spark: SparkSession, folder: str) -> DataFrame:
+    rows = insights.high_spend_low_affinity(_enriched(spark, folder, affinity.GENRE), _rules(spark, folder))
+    top = rows.orderBy(F.desc("overall_share"), "category", "level").limit(3)
+    return _rounded(top.select("category", "level", "overall_share", "affinity"), "overall_share", "affinity")
+
+
+@register
+def insight_low_spend_high_affinity(spark: SparkSession, folder: str) -> DataFrame:
+    rows = insights.low_spend_high_affinity(_enriched(spark, folder, affinity.CHANNEL), _rules(spark, folder))
+    top = rows.orderBy(F.asc("overall_share"), "category", "level").limit(3)
+    return _rounded(top.select("category", "level", "overall_share", "affinity"), "overall_share", "affinity")
+
+
+@register
+def insight_affinity_count(spark: SparkSession, folder: str) -> DataFrame:
+    channels = dashboard.channels(_request(spark, folder), SELECTION)
+    return insights.full_affinity_count(channels, _rules(spark, folder))
+
+
+@register
+def insight_top_competitor(spark: SparkSession, folder: str) -> DataFrame:
+    channels = dashboard.channels(_request(spark, folder), SELECTION)
+    rows = insights.competing_below_full(channels, _rules(spark, folder))
+    top = rows.orderBy(F.desc("client_metric"), "category", "level").limit(3)
+    return _rounded(top.select("category", "level", "overall_share", "affinity"), "overall_share", "affinity")
+
+
+@register
+def insight_list_genre(spark: SparkSession, folder: str) -> DataFrame:
+    frame = _dashboard(spark, folder, affinity.GENRE).insights(_rules(spark, folder))
+    return _rounded(frame, "overall_share", "affinity")
+
+
+@register
+def insight_list_channel(spark: SparkSession, folder: str) -> DataFrame:
+    frame = _dashboard(spark, folder, affinity.CHANNEL).insights(_rules(spark, folder))
+    return _rounded(frame, "overall_share", "affinity")
+
+
+@register
+def insight_list_show(spark: SparkSession, folder: str) -> DataFrame:
+    frame = _dashboard(spark, folder, affinity.SHOW).insights(_rules(spark, folder))
+    return _rounded(frame, "overall_share", "affinity")
+
+
+# --- display frames ---
+
+
+@register
+def top_networks(spark: SparkSession, folder: str) -> DataFrame:
+    return present.top_networks(_enriched(spark, folder, affinity.CHANNEL))
+
+
+@register
+def club_others(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(_dashboard(spark, folder, affinity.CHANNEL).shown, *present.VALUES)
+
+
+@register
+def club_others_show(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(_dashboard(spark, folder, affinity.SHOW).shown, *present.VALUES)
+
+
+@register
+def axis_extents(spark: SparkSession, folder: str) -> DataFrame:
+    extents = present.axis_extents(_dashboard(spark, folder, affinity.CHANNEL).shown)
+    return _rounded(extents, *extents.columns)
+
+
+@register
+def axis_range_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _dashboard(spark, folder, affinity.CHANNEL).shown
+    return _rounded(present.axis_range(rows, x_lo=50.0, y_hi=900.5), *present.VALUES)
+
+
+@register
+def axis_range_default(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _dashboard(spark, folder, affinity.CHANNEL).shown
+    return _rounded(present.axis_range(rows), *present.VALUES)
+
+
+@register
+def unit_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Spend per advertiser and for all of them, large enough for every unit."""
+    spend = star.fact(spark, folder).groupBy("ADVERTISERS_GROUP_KEY")
+    values = spend.agg(F.sum("FCT").alias("fct"), F.sum("ADGRP").alias("adgrp")).select(
+        "ADVERTISERS_GROUP_KEY",
+        F.col("fct").cast("double").alias("fct"),
+        F.col("adgrp").cast("double").alias("adgrp"),
+    )
+    return values.select(
+        "ADVERTISERS_GROUP_KEY",
+        text.unit_text(F.col("fct") * 100000).alias("huge"),
+        text.unit_text(F.col("fct")).alias("fct"),
+        text.unit_text(F.col("adgrp")).alias("adgrp"),
+        text.unit_text(F.col("adgrp") / 100).alias("hundredth"),
+        text.unit_text(F.col("adgrp") / 1e6).alias("tiny"),
+    )
+
+
+@register
+def cell_format(spark: SparkSession, folder: str) -> DataFrame:
+    cells = present.formatted(_dashboard(spark, folder, affinity.GENRE).shown, affinity.GENRE)
+    structs = ["category", "level", *present.VALUES]
+    flat = [F.col(f"{name}.{part}").alias(f"{name}_{part}") for name in structs for part in ("raw", "text")]
+    bars = [F.round(f"{name}_bar", 6).alias(f"{name}_bar") for name in present.SHARES if name != "affinity"]
+    return cells.select(*flat, *bars, "row_slug", "search")
+
+
+@register
+def bubbles(spark: SparkSession, folder: str) -> DataFrame:
+    request = _dashboard(spark, folder, affinity.CHANNEL)
+    colors = star.network_colors(spark, folder).withColumn("Network", F.lower("Network"))
+    frame = present.bubbles(request.shown, request.networks, colors)
+    return _rounded(frame, "x", "y", "radius")
+
+
+@register
+def search_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rows = present.search(_dashboard(spark, folder, affinity.CHANNEL).shown, "economy|nation_1[0-5]")
+    return rows.select(*present.NAMES)
+
+
+@register
+def pick_list_search(spark: SparkSession, folder: str) -> DataFrame:
+    channels = star.dim_channel_group(spark, folder)
+    return channels.where(text.contains(F.col("CHANNEL_GROUP_DISPLAY_NAME"), "supplier#0000000"))
+
+
+@register
+def base_market_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    markets = present.base_markets(star.ref_ch_group_tg_mkt(spark, folder), "CHANNEL_GROUP_DISPLAY_NAME")
+    return markets.select(
+        "name",
+        "tam",
+        "barc",
+        present.base_text(201512).alias("shown_before"),
+        present.base_text(201513).alias("shown_after"),
+    )
+
+
+@register
+def base_market_pivot_genre(spark: SparkSession, folder: str) -> DataFrame:
+    return present.base_markets(star.ref_genre_tg_mkt(spark, folder), "GENRE_DISPLAY_NAME")
+
+
+@register
+def download_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the export as CSV and read it back."""
+    rows = present.export_rows(_enriched(spark, folder, affinity.CHANNEL), affinity.CHANNEL, SELECTION.metric)
+    path = scratch_path(spark, "export")
+    sinks.write_csv(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True)

@@ -1,43 +1,72 @@
-"""The weekly build: fact to roll-ups to base tables, lazily or as tables."""
+"""The weekly build: fact to roll-ups to base tables, as lazy frames or as written tables."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from reachlens.operators import rollups
 
 
-@dataclass(frozen=True)
 class Rollups:
-    """The tables a dashboard request reads."""
-
-    fact: DataFrame
-    program: DataFrame
-    genre_channel: DataFrame
-    show: DataFrame
-    show_base: DataFrame
-    channel_base: DataFrame
-    genre_base: DataFrame
-
-
-def build_rollups(
-    fact: DataFrame,
-    genre_reference: DataFrame,
-    channel_reference: DataFrame,
-    names_follow_keys: bool = False,
-) -> Rollups:
-    """All roll-ups as lazy frames; filters of a later query reach the fact scan through them."""
-    program = rollups.program_rollup(fact, names_follow_keys)
-    genre_channel = rollups.genre_channel_rollup(program)
-    show = rollups.show_rollup(fact, names_follow_keys)
-    return Rollups(
-        fact=fact,
-        program=program,
-        genre_channel=genre_channel,
-        show=show,
-        show_base=rollups.show_base(show, channel_reference),
-        channel_base=rollups.channel_base(genre_channel, channel_reference),
-        genre_base=rollups.genre_base(genre_channel, genre_reference),
-    )
+    """The tables a dashboard request reads, each built from the fact when first asked for.
+
+    Filters of a request reach the fact scan through the aggregations, because they are on the keys.
+    """
+
+    def __init__(
+        self,
+        fact: DataFrame,
+        genre_reference: DataFrame,
+        channel_reference: DataFrame,
+        names_follow_keys: bool = False,
+    ) -> None:
+        self.fact = fact
+        self.genre_reference = genre_reference
+        self.channel_reference = channel_reference
+        self.names_follow_keys = names_follow_keys
+
+    @cached_property
+    def program(self) -> DataFrame:
+        return rollups.program_rollup(self.fact, self.names_follow_keys)
+
+    @cached_property
+    def genre_channel(self) -> DataFrame:
+        return rollups.genre_channel_rollup(self.program)
+
+    @cached_property
+    def show(self) -> DataFrame:
+        return rollups.show_rollup(self.fact, self.names_follow_keys)
+
+    @cached_property
+    def show_base(self) -> DataFrame:
+        return rollups.show_base(self.show, self.channel_reference)
+
+    @cached_property
+    def channel_base(self) -> DataFrame:
+        return rollups.channel_base(self.genre_channel, self.channel_reference)
+
+    @cached_property
+    def genre_base(self) -> DataFrame:
+        return rollups.genre_base(self.genre_channel, self.genre_reference)
+
+
+class FactOnly(Rollups):
+    """A request without roll-up tables: every total is summed straight from the fact.
+
+    Sums of sums are exact, so the results are those of the roll-ups, with one shuffle instead of three.
+    Needs a fact whose names follow from its keys.
+    """
+
+    @cached_property
+    def program(self) -> DataFrame:
+        return self.fact
+
+    @cached_property
+    def genre_channel(self) -> DataFrame:
+        return self.fact
+
+    @cached_property
+    def show(self) -> DataFrame:
+        return self.fact
