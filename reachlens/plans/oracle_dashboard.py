@@ -1,4 +1,4 @@
-"""DuckDB SQL of the registered queries, written independently of the DataFrame code."""
+"""DuckDB SQL of the roll-up, affinity, insight and display queries."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def _sums(table: str) -> str:
     return f"SELECT * EXCLUDE (ADGRP, FCT, TVT), {o.SUMS_OUT} FROM {table}"
 
 
-_HOME = "home AS (SELECT n_name AS name FROM nation WHERE n_nationkey = (SELECT min(s_nationkey) FROM supplier))"
+_HOME = "home AS (SELECT 'NATION_7' AS name)"
 _CHANNELS = [*_GENRE_CHANNEL, *o.channel_enriched_ctes()]
 _INSIGHT_ROWS = "SELECT category, level, round(overall_share, 6) AS overall_share, round(affinity, 6) AS affinity"
 _NAMED_CELLS = """named_cells AS (
@@ -77,14 +77,15 @@ def _cell(name: str, raw: str, text: str) -> str:
     )
 
 
-def _label(text: str) -> str:
+def _short(text: str) -> str:
     return f"CASE WHEN length({text}) >= 11 THEN substr({text}, 1, 10) || '..' ELSE {text} END"
 
 
+_BEFORE_NETWORK = "trim(split_part(level, 'Network', 1))"
 _CELLS = ", ".join(
     [
-        f"category AS category_raw, {_label('category')} AS category_text",
-        f"level AS level_raw, {_label(chr(116) + 'rim(split_part(level, ' + repr('Network') + ', 1))')} AS level_text",
+        f"category AS category_raw, {_short('category')} AS category_text",
+        f"level AS level_raw, {_short(_BEFORE_NETWORK)} AS level_text",
         _cell("prog_metric", _number("prog_metric", 0), _unit("prog_metric")),
         _cell("genre_share", _number("genre_share", 2), _number("genre_share", 0)),
         _cell("affinity", _number("affinity", 2), _number("affinity", 0) + " || '%'"),
@@ -199,6 +200,7 @@ ORACLES: dict[str, str] = {
     "affinity_channel": o.query(o.level_ctes("channel"), _AFFINITY),
     "affinity_show": o.query(o.level_ctes("show"), _AFFINITY),
     "enriched_genre": o.query(o.enriched_ctes("genre"), _ENRICHED),
+    "enriched_genre_from_tables": o.query(o.enriched_ctes("genre"), _ENRICHED),
     "enriched_channel": o.query(o.enriched_ctes("channel"), _ENRICHED),
     "enriched_show_top100": o.query([*o.enriched_ctes("show"), _TOP100], _ENRICHED.replace("FROM enriched", "FROM top100")),
     "enriched_show_by_total": o.query(
@@ -235,7 +237,7 @@ ORACLES: dict[str, str] = {
     "insight_high_spend_low_affinity": o.query(
         [*o.enriched_ctes("genre"), _HOME],
         f"{_INSIGHT_ROWS} FROM enriched, home WHERE client_metric IS NOT NULL AND ntwk <> home.name"
-        " AND enriched.overall_share > 5 AND enriched.affinity < 50"
+        " AND enriched.overall_share > 3 AND enriched.affinity < 80"
         " ORDER BY enriched.overall_share DESC, category, level LIMIT 3",
     ),
     "insight_low_spend_high_affinity": o.query(

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachlens.functions import text
-from reachlens.operators import affinity, insights, present
+from reachlens.functions import calendar, text
+from reachlens.functions import news as news_functions
+from reachlens.operators import affinity, insights, news, params, present, scope, weeks
 from reachlens.plans import dashboard, weekly
-from reachlens.schemas import METRICS
-from reachlens.session import scratch_path
-from reachlens.sources import sinks, star
+from reachlens.schemas import METRICS, NEWS_KEY, SOURCE_NEWER
+from reachlens.session import materialize, scratch_path
+from reachlens.sources import files, sinks, star
+from reachlens.streaming import news_archive
 
 # Example selection of the dashboard queries.
 SELECTION = affinity.Selection(
@@ -25,6 +29,9 @@ SELECTION = affinity.Selection(
     end=199652,
 )
 
+# The network that plays the home network, with the usual thresholds.
+RULES = insights.Rules(home="NATION_7")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -199,33 +206,27 @@ def exploration_per_advertiser(spark: SparkSession, folder: str) -> DataFrame:
 # --- insights ---
 
 
-def _rules(spark: SparkSession, folder: str) -> insights.Rules:
-    """The network with the smallest key plays the home network."""
-    network = star.table(spark, folder, "supplier").agg(F.min("s_nationkey")).scalar()
-    home = star.table(spark, folder, "nation").where(F.col("n_nationkey") == network).first()
-    return insights.Rules(home=home["n_name"])
-
-
 def _dashboard(spark: SparkSession, folder: str, level: affinity.Level) -> dashboard.Request:
     return dashboard.Request(_request(spark, folder), SELECTION, level)
 
 
 @register
 def insight_home_share(spark: SparkSession, folder: str) -> DataFrame:
-    frame = insights.home_share(_enriched(spark, folder, affinity.GENRE), _rules(spark, folder))
+    frame = insights.home_share(_enriched(spark, folder, affinity.GENRE), RULES)
     return _rounded(frame, "market_share", "client_share")
 
 
 @register
 def insight_high_spend_low_affinity(spark: SparkSession, folder: str) -> DataFrame:
-    rows = insights.high_spend_low_affinity(_enriched(spark, folder, affinity.GENRE), _rules(spark, folder))
+    rules = replace(RULES, share=3.0, low_affinity=80.0)
+    rows = insights.high_spend_low_affinity(_enriched(spark, folder, affinity.GENRE), rules)
     top = rows.orderBy(F.desc("overall_share"), "category", "level").limit(3)
     return _rounded(top.select("category", "level", "overall_share", "affinity"), "overall_share", "affinity")
 
 
 @register
 def insight_low_spend_high_affinity(spark: SparkSession, folder: str) -> DataFrame:
-    rows = insights.low_spend_high_affinity(_enriched(spark, folder, affinity.CHANNEL), _rules(spark, folder))
+    rows = insights.low_spend_high_affinity(_enriched(spark, folder, affinity.CHANNEL), RULES)
     top = rows.orderBy(F.asc("overall_share"), "category", "level").limit(3)
     return _rounded(top.select("category", "level", "overall_share", "affinity"), "overall_share", "affinity")
 
@@ -233,32 +234,32 @@ def insight_low_spend_high_affinity(spark: SparkSession, folder: str) -> DataFra
 @register
 def insight_affinity_count(spark: SparkSession, folder: str) -> DataFrame:
     channels = dashboard.channels(_request(spark, folder), SELECTION)
-    return insights.full_affinity_count(channels, _rules(spark, folder))
+    return insights.full_affinity_count(channels, RULES)
 
 
 @register
 def insight_top_competitor(spark: SparkSession, folder: str) -> DataFrame:
     channels = dashboard.channels(_request(spark, folder), SELECTION)
-    rows = insights.competing_below_full(channels, _rules(spark, folder))
+    rows = insights.competing_below_full(channels, RULES)
     top = rows.orderBy(F.desc("client_metric"), "category", "level").limit(3)
     return _rounded(top.select("category", "level", "overall_share", "affinity"), "overall_share", "affinity")
 
 
 @register
 def insight_list_genre(spark: SparkSession, folder: str) -> DataFrame:
-    frame = _dashboard(spark, folder, affinity.GENRE).insights(_rules(spark, folder))
+    frame = _dashboard(spark, folder, affinity.GENRE).insights(RULES)
     return _rounded(frame, "overall_share", "affinity")
 
 
 @register
 def insight_list_channel(spark: SparkSession, folder: str) -> DataFrame:
-    frame = _dashboard(spark, folder, affinity.CHANNEL).insights(_rules(spark, folder))
+    frame = _dashboard(spark, folder, affinity.CHANNEL).insights(RULES)
     return _rounded(frame, "overall_share", "affinity")
 
 
 @register
 def insight_list_show(spark: SparkSession, folder: str) -> DataFrame:
-    frame = _dashboard(spark, folder, affinity.SHOW).insights(_rules(spark, folder))
+    frame = _dashboard(spark, folder, affinity.SHOW).insights(RULES)
     return _rounded(frame, "overall_share", "affinity")
 
 
@@ -370,3 +371,506 @@ def download_export(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "export")
     sinks.write_csv(rows, path)
     return spark.read.schema(rows.schema).csv(path, header=True)
+
+
+# --- calendar and week keys ---
+
+REPAIRED_WEEKS = (199552, 199653, 199752, 199953, 200052)
+
+
+def _fact_by_week(fact: DataFrame) -> DataFrame:
+    sums = fact.groupBy("CALENDAR_YEAR", "MONTH", "WEEK_KEY").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(metric).alias(metric) for metric in METRICS]
+    )
+    return _doubles(sums, *METRICS)
+
+
+@register
+def week_key_from_date(spark: SparkSession, folder: str) -> DataFrame:
+    day = F.col("day")
+    days = star.table(spark, folder, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
+    return days.select(
+        "day",
+        calendar.week_number(day).alias("week"),
+        calendar.week_key(day).alias("week_key"),
+        calendar.week_key(day, "iso_year").alias("week_key_iso_year"),
+        calendar.week_range_label(day, F.date_add(day, 7)).alias("label"),
+        calendar.slash_date(day).alias("slash_date"),
+    )
+
+
+@register
+def week_repair(spark: SparkSession, folder: str) -> DataFrame:
+    fact = weeks.set_week_key(star.fact(spark, folder))
+    return _fact_by_week(weeks.repair_year_end(fact, REPAIRED_WEEKS))
+
+
+@register
+def week_shift_older(spark: SparkSession, folder: str) -> DataFrame:
+    return _fact_by_week(weeks.set_week_key(weeks.shift_older_years(star.fact(spark, folder))))
+
+
+@register
+def week_retention(spark: SparkSession, folder: str) -> DataFrame:
+    return _fact_by_week(weeks.retain_recent(star.fact(spark, folder)))
+
+
+@register
+def max_week(spark: SparkSession, folder: str) -> DataFrame:
+    return weeks.max_week(_build(spark, folder).genre_channel)
+
+
+@register
+def default_end_date(spark: SparkSession, folder: str) -> DataFrame:
+    return weeks.default_selection(_build(spark, folder).genre_channel)
+
+
+@register
+def end_date_per_week(spark: SparkSession, folder: str) -> DataFrame:
+    """The default end date for every week that could be the newest one."""
+    keys = star.fact(spark, folder).select("WEEK_KEY").distinct()
+    return keys.select("WEEK_KEY", calendar.default_end_date(F.col("WEEK_KEY")).alias("end_date"))
+
+
+@register
+def latest_dates(spark: SparkSession, folder: str) -> DataFrame:
+    revenue = weeks.max_date(star.fact_cust_rev_agg_dly(spark, folder)).select(F.lit("revenue").alias("fact"), "max_date")
+    breaks = weeks.max_date(star.fact_cust_break_agg_dly(spark, folder)).select(F.lit("break").alias("fact"), "max_date")
+    return revenue.unionByName(breaks)
+
+
+@register
+def week_to_date_key(spark: SparkSession, folder: str) -> DataFrame:
+    return weeks.last_date_keys(star.dim_date(spark, folder))
+
+
+@register
+def date_range_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return weeks.date_range_keys(star.dim_date(spark, folder), dt.date(1996, 11, 20), dt.date(1997, 2, 14))
+
+
+@register
+def week_range_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return weeks.week_range_keys(star.dim_date(spark, folder), dt.date(1996, 11, 20), dt.date(1997, 2, 14))
+
+
+@register
+def period_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Which order-to-shipment periods a report would accept."""
+    orders = star.table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    first, last = F.to_date("o_orderdate"), F.to_date("l_shipdate")
+    periods = star.table(spark, folder, "lineitem").select("l_orderkey", "l_shipdate").join(orders, "l_orderkey")
+    return periods.groupBy(
+        params.period_is_valid(first, last, weeks=params.MAX_DASHBOARD_WEEKS).alias("dashboard"),
+        params.period_is_valid(first, last, days=params.MAX_REVENUE_DAYS).alias("revenue"),
+        params.period_is_valid(first, last, weeks=params.MAX_RATING_WEEKS).alias("ratings"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- tables ---
+
+
+_GENRE_TABLES = ("program", "genre_channel", "genre_base")
+
+
+def _written(
+    spark: SparkSession, folder: str, fact: DataFrame, names: Sequence[str] = weekly.WEEKLY_TABLES
+) -> weekly.TableRollups:
+    built = weekly.Rollups(
+        fact,
+        star.ref_genre_tg_mkt(spark, folder),
+        star.ref_ch_group_tg_mkt(spark, folder),
+        names_follow_keys=True,
+    )
+    return weekly.write_tables(built, sinks.scratch_database(spark, "weekly"), names)
+
+
+def _rebuilt(spark: SparkSession, folder: str, names: Sequence[str]) -> weekly.TableRollups:
+    """Write tables, repair the year ends of the fact, rebuild only the weeks concerned."""
+    fact = weeks.set_week_key(star.fact(spark, folder))
+    written = _written(spark, folder, fact, names)
+    repaired = weeks.repair_year_end(fact, REPAIRED_WEEKS)
+    return weekly.rebuild_weeks(
+        written, repaired, weeks.repaired_weeks(REPAIRED_WEEKS), names, names_follow_keys=True
+    )
+
+
+@register
+def incremental_week_rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    return _doubles(_rebuilt(spark, folder, ["program"]).program, *METRICS)
+
+
+@register
+def incremental_base_rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    return _doubles(_rebuilt(spark, folder, _GENRE_TABLES).genre_base, *METRICS)
+
+
+@register
+def weekly_build(spark: SparkSession, folder: str) -> DataFrame:
+    """Write all tables and count their rows."""
+    written = _written(spark, folder, star.fact(spark, folder))
+    counts = [
+        getattr(written, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        for name in weekly.WEEKLY_TABLES
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@register
+def enriched_genre_from_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The genre request on written tables, where the week range prunes partitions."""
+    written = _written(spark, folder, star.fact(spark, folder), _GENRE_TABLES)
+    return _rounded(dashboard.enriched(written, SELECTION, affinity.GENRE), *_SHARES)
+
+
+# --- lists, lookups, parameters ---
+
+
+@register
+def dates_as_text(spark: SparkSession, folder: str) -> DataFrame:
+    return files.as_text(star.dim_date(spark, folder))
+
+
+@register
+def client_list(spark: SparkSession, folder: str) -> DataFrame:
+    return params.names_with_keys(
+        _build(spark, folder).program, "ADVERTISERS_GROUP_KEY", "ADVERTISERS_GROUP_DISPLAY_NAME"
+    )
+
+
+@register
+def client_list_revenue(spark: SparkSession, folder: str) -> DataFrame:
+    return params.names_with_keys(
+        star.fact_cust_rev_agg_dly(spark, folder), "ADVERTISERS_GROUP_KEY", "ADVERTISERS_GROUP_DISPLAY_NAME"
+    )
+
+
+@register
+def client_list_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """The precomputed client table where there is one, else the aggregate."""
+    fallback = client_list(spark, folder)
+    missing = files.table_or(spark, "client_table_that_is_not_there", fallback)
+    database = sinks.scratch_database(spark, "clients")
+    sinks.replace_table(fallback, f"{database}.clients")
+    present_table = files.table_or(spark, f"{database}.clients", fallback.limit(0))
+    return missing.withColumn("origin", F.lit("aggregate")).unionByName(
+        present_table.withColumn("origin", F.lit("table"))
+    )
+
+
+@register
+def genre_list(spark: SparkSession, folder: str) -> DataFrame:
+    return params.names_with_keys(star.ref_genre_tg_mkt(spark, folder), "GENRE_KEY", "GENRE_DISPLAY_NAME")
+
+
+@register
+def genre_pick_list(spark: SparkSession, folder: str) -> DataFrame:
+    return params.first_keys(star.ref_genre_tg_mkt(spark, folder), "GENRE_KEY", "GENRE_NAME").orderBy("name")
+
+
+@register
+def program_first_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return params.first_keys(star.fact(spark, folder), "PROGRAM_GROUP_KEY", "PROGRAM_GROUP_DISPLAY_NAME")
+
+
+@register
+def cell_pick_list(spark: SparkSession, folder: str) -> DataFrame:
+    cells = star.ref_tg_mkt(spark, folder).withColumn("cell_key", text.pair_key(F.col("TG_KEY"), F.col("MARKET_KEY")))
+    return cells.orderBy("TG_MARKET_DISPLAY_NAME")
+
+
+@register
+def cells_of_source(spark: SparkSession, folder: str) -> DataFrame:
+    return star.ref_tg_mkt(spark, folder).where(F.col("SOURCE") == SOURCE_NEWER)
+
+
+def _chosen_names(spark: SparkSession, folder: str) -> DataFrame:
+    nations = star.table(spark, folder, "nation").select(F.col("n_name").alias("name"))
+    return nations.unionByName(star.table(spark, folder, "supplier").select(F.col("s_name").alias("name")))
+
+
+@register
+def name_to_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return params.to_keys(_chosen_names(spark, folder), client_list(spark, folder))
+
+
+@register
+def validate_params(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = _chosen_names(spark, folder).withColumn("parameter", F.lit("client"))
+    domain = client_list(spark, folder).withColumn("parameter", F.lit("client"))
+    return params.unknown(chosen, domain)
+
+
+# --- files ---
+
+
+@register
+def network_colors_csv(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "colors")
+    sinks.write_csv(star.network_colors(spark, folder), path)
+    return files.network_colors(spark, path)
+
+
+@register
+def reference_cells_csv(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "reference")
+    sinks.write_csv(star.ref_ch_group_tg_mkt(spark, folder), path)
+    return files.reference_cells(spark, path, "TG 1")
+
+
+@register
+def search_terms_csv(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "terms")
+    sinks.write_csv(star.table(spark, folder, "nation").select("n_name"), path, header=False)
+    return files.search_terms(spark, path)
+
+
+@register
+def news_csv_append(spark: SparkSession, folder: str) -> DataFrame:
+    """Append all items twice to a header-less file and read it back."""
+    path = scratch_path(spark, "news")
+    rows = files.as_text(star.news(spark, folder).select(*NEWS_KEY))
+    sinks.append_csv(rows, path)
+    sinks.append_csv(rows, path)
+    return files.news_items(spark, path)
+
+
+# --- hierarchy, scope, entitlements ---
+
+# Dashboards per group; the ids of the home-network and affinity dashboards are free parameters.
+ENTITLEMENTS = scope.Entitlements(
+    groups={
+        "Group 1": (
+            "my_view",
+            "my_view_manager",
+            "client_on_home",
+            "client_on_tv",
+            "client_overview",
+            "affinity",
+            "whom_to_target",
+            "my_reports_genre_performance",
+            "my_reports_detailed_revenue",
+            "my_reports_market_share",
+            "my_reports_program_ratings",
+        ),
+        "Group 2": (
+            "client_on_home",
+            "client_on_tv",
+            "client_overview",
+            "affinity",
+            "whom_to_target",
+            "my_reports_genre_performance",
+            "my_reports_market_share",
+            "my_reports_detailed_revenue",
+            "my_reports_program_ratings",
+        ),
+        "Group 3": (
+            "client_on_home",
+            "client_on_tv",
+            "client_overview",
+            "affinity",
+            "whom_to_target",
+            "my_reports_genre_performance",
+            "my_reports_market_share",
+            "my_reports_program_ratings",
+        ),
+        "Group 4": (
+            "client_on_tv",
+            "client_overview",
+            "affinity",
+            "whom_to_target",
+            "my_reports_genre_performance",
+            "my_reports_market_share",
+            "my_reports_program_ratings",
+        ),
+    },
+    executive_view="my_view",
+    manager_view="my_view_manager",
+    home_view="client_on_home",
+)
+
+
+@register
+def reportee_closure(spark: SparkSession, folder: str) -> DataFrame:
+    return scope.reportees(star.ref_employee_hierarchy(spark, folder), star.ref_employee_access(spark, folder))
+
+
+@register
+def channel_closure(spark: SparkSession, folder: str) -> DataFrame:
+    return scope.channels_below(star.ref_employee_hierarchy(spark, folder), star.ref_employee_access(spark, folder))
+
+
+@register
+def channel_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return scope.key_lists(channel_closure(spark, folder), "manager", "CHANNEL_GROUP_KEY")
+
+
+@register
+def row_scope(spark: SparkSession, folder: str) -> DataFrame:
+    return scope.row_scope(star.ref_employee_hierarchy(spark, folder), reportee_closure(spark, folder))
+
+
+@register
+def row_scope_reportees(spark: SparkSession, folder: str) -> DataFrame:
+    """The scope of the market-share report: reportees without the user."""
+    return scope.row_scope(
+        star.ref_employee_hierarchy(spark, folder), reportee_closure(spark, folder), include_self=False
+    )
+
+
+@register
+def rows_in_scope(spark: SparkSession, folder: str) -> DataFrame:
+    """Real channels that employee 1 sees, and what the top employee sees."""
+    access = star.ref_employee_access(spark, folder)
+    scopes = materialize(row_scope(spark, folder), "scope")
+    seen = [
+        scope.without_everything(scope.rows_in_scope(access, scopes, user)).withColumn("user", F.lit(user))
+        for user in ("U1", "U0")
+    ]
+    return seen[0].unionByName(seen[1])
+
+
+@register
+def scope_key_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Employee and location key texts of the market-share report of employee 1."""
+    access = star.ref_employee_access(spark, folder)
+    seen = scope.rows_in_scope(access, row_scope_reportees(spark, folder), "U1")
+    employees = scope.key_lists(seen.withColumn("kind", F.lit("employees")), "kind", "EMPLOYEE_KEY")
+    locations = scope.key_lists(seen.withColumn("kind", F.lit("locations")), "kind", "LOCATION_KEY")
+    return employees.unionByName(locations)
+
+
+@register
+def channel_key_texts(spark: SparkSession, folder: str) -> DataFrame:
+    access = scope.without_everything(star.ref_employee_access(spark, folder))
+    return scope.key_lists(access, "CHANNEL_GROUP_DISPLAY_NAME", "CHANNEL_GROUP_KEY")
+
+
+@register
+def may_see_all(spark: SparkSession, folder: str) -> DataFrame:
+    return scope.may_see_all(star.ref_employee_hierarchy(spark, folder), star.ref_employee_access(spark, folder))
+
+
+@register
+def employee_roles(spark: SparkSession, folder: str) -> DataFrame:
+    return scope.roles_of(star.ref_employee_hierarchy(spark, folder))
+
+
+@register
+def entitlement_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    return scope.entitlement_matrix(star.ref_employee_hierarchy(spark, folder), ENTITLEMENTS)
+
+
+# --- news ---
+
+# The moment of a news request is a parameter.
+NEWS_NOW = "2024-01-08 00:00:00"
+
+
+def _now() -> Column:
+    return F.lit(NEWS_NOW).cast("timestamp_ntz")
+
+
+def _news_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("PublishDate", F.date_format("PublishDate", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _archive(spark: SparkSession, folder: str) -> str:
+    """An archive that got every item twice, in two runs."""
+    table = f"{sinks.scratch_database(spark, 'news')}.archive"
+    news.create_archive(spark, table)
+    rows = star.news(spark, folder).select(*NEWS_KEY)
+    news.archive_items(rows.unionByName(rows), table)
+    news.archive_items(rows, table)
+    return table
+
+
+@register
+def news_parse(spark: SparkSession, folder: str) -> DataFrame:
+    return _news_text(news.items(star.feeds(spark, folder)))
+
+
+@register
+def news_top10(spark: SparkSession, folder: str) -> DataFrame:
+    return _news_text(news.first_items(news.items(star.feeds(spark, folder))))
+
+
+@register
+def news_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    rows = star.news(spark, folder).select(*NEWS_KEY)
+    return _news_text(news.deduplicated(rows.unionByName(rows)))
+
+
+@register
+def news_archive_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    return _news_text(spark.table(_archive(spark, folder)).select(*NEWS_KEY))
+
+
+@register
+def news_visible(spark: SparkSession, folder: str) -> DataFrame:
+    archive = star.news(spark, folder).select(*NEWS_KEY)
+    hosts = ("www.example.com", "THTHRE.example.com", "m.ththth.example.net")
+    return _news_text(news.visible(archive, _now(), hosts, days=3))
+
+
+@register
+def news_fresh_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return news.fresh_counts(star.news(spark, folder), _now(), days=3)
+
+
+def _terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The terms of the items, and the nation names, for which there is no news."""
+    found = star.news(spark, folder).select(F.col("SearchTerm").alias("term")).distinct()
+    return found.unionByName(star.table(spark, folder, "nation").select(F.col("n_name").alias("term")))
+
+
+@register
+def news_terms_to_fetch(spark: SparkSession, folder: str) -> DataFrame:
+    return news.terms_to_fetch(_terms(spark, folder), star.news(spark, folder), _now())
+
+
+@register
+def news_ticker(spark: SparkSession, folder: str) -> DataFrame:
+    return news.ticker(star.news(spark, folder), _terms(spark, folder), _now(), ("m.ththth.example.net",))
+
+
+@register
+def term_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    """Product names as search terms; each has two mapping rows, the first one counts."""
+    parts = star.table(spark, folder, "part")
+    chosen = parts.select(F.concat(F.upper("p_name"), F.lit("'s & \"Co\"/"), F.col("p_type")).alias("term"))
+    mapping = parts.groupBy("p_name").agg(F.min("p_size").alias("size"), F.max("p_size").alias("largest"))
+    encoded = F.concat(F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("s%20%26%20co/economy"))
+    first = mapping.select(
+        F.lit(1).alias("ordinal"), encoded.alias("searchterm"), F.concat_ws(" ", "p_name", "size").alias("to_be_searched")
+    )
+    second = mapping.select(
+        F.lit(2).alias("ordinal"), encoded.alias("searchterm"), F.concat_ws(" ", "p_name", "largest").alias("to_be_searched")
+    )
+    return news.mapped_terms(chosen.distinct(), second.unionByName(first))
+
+
+@register
+def news_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Term and name clean-up on titles and sources."""
+    rows = star.news(spark, folder)
+    return rows.select(
+        "page_id",
+        news_functions.compact_term(F.col("Title")).alias("compact"),
+        text.ascii_only(F.col("Title")).alias("ascii"),
+        text.slug(F.col("Title")).alias("slug"),
+        text.spell_ampersand(F.col("Title")).alias("spelled"),
+    )
+
+
+@register
+def news_stream_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Feed files read as a stream, twice, into one archive."""
+    path = scratch_path(spark, "feeds")
+    star.feeds(spark, folder).write.parquet(path)
+    table = f"{sinks.scratch_database(spark, 'stream')}.archive"
+    news.create_archive(spark, table)
+    for _ in range(2):
+        checkpoint = scratch_path(spark, "stream-state")
+        news_archive.start(spark, path, table, checkpoint).awaitTermination()
+    return _news_text(spark.table(table).select(*NEWS_KEY))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from reachlens.operators import rollups
+from reachlens.sources import sinks
 
 
 class Rollups:
@@ -70,3 +74,104 @@ class FactOnly(Rollups):
     @cached_property
     def show(self) -> DataFrame:
         return self.fact
+
+
+class TableRollups(Rollups):
+    """Roll-ups read from the tables of a database; a week range prunes their partitions."""
+
+    def __init__(
+        self, fact: DataFrame, genre_reference: DataFrame, channel_reference: DataFrame, database: str
+    ) -> None:
+        super().__init__(fact, genre_reference, channel_reference)
+        self.database = database
+
+    def _table(self, name: str) -> DataFrame:
+        return self.fact.sparkSession.table(f"{self.database}.{name}")
+
+    @cached_property
+    def program(self) -> DataFrame:
+        return self._table("program")
+
+    @cached_property
+    def genre_channel(self) -> DataFrame:
+        return self._table("genre_channel")
+
+    @cached_property
+    def show(self) -> DataFrame:
+        return self._table("show")
+
+    @cached_property
+    def show_base(self) -> DataFrame:
+        return self._table("show_base")
+
+    @cached_property
+    def channel_base(self) -> DataFrame:
+        return self._table("channel_base")
+
+    @cached_property
+    def genre_base(self) -> DataFrame:
+        return self._table("genre_base")
+
+
+BASE_TABLES = ("show_base", "channel_base", "genre_base")
+WEEKLY_TABLES = ("program", "genre_channel", "show", *BASE_TABLES)
+
+
+def write_tables(built: Rollups, database: str, names: Sequence[str] = WEEKLY_TABLES) -> TableRollups:
+    """Write roll-ups partitioned by week, each once and from the tables written before it.
+
+    Tables that do not depend on each other are written at the same time. A table of ``names`` needs
+    the tables it is built from among them.
+    """
+    written = TableRollups(built.fact, built.genre_reference, built.channel_reference, database)
+
+    def write(frames: dict[str, Callable[[], DataFrame]]) -> None:
+        wanted = {name: frame for name, frame in frames.items() if name in names}
+        with ThreadPoolExecutor(max_workers=max(len(wanted), 1)) as pool:
+            jobs = [
+                pool.submit(lambda name=name, frame=frame: sinks.replace_table(frame(), f"{database}.{name}", sinks.WEEK))
+                for name, frame in wanted.items()
+            ]
+            for job in jobs:
+                job.result()
+
+    write({"program": lambda: built.program, "show": lambda: built.show})
+    write({"genre_channel": lambda: rollups.genre_channel_rollup(written.program)})
+    write({name: lambda name=name: _bases(written)[name]() for name in BASE_TABLES})
+    return TableRollups(built.fact, built.genre_reference, built.channel_reference, database)
+
+
+def _bases(tables: Rollups) -> dict[str, Callable[[], DataFrame]]:
+    return {
+        "show_base": lambda: rollups.show_base(tables.show, tables.channel_reference),
+        "channel_base": lambda: rollups.channel_base(tables.genre_channel, tables.channel_reference),
+        "genre_base": lambda: rollups.genre_base(tables.genre_channel, tables.genre_reference),
+    }
+
+
+def rebuild_weeks(
+    written: TableRollups,
+    repaired_fact: DataFrame,
+    weeks: Sequence[int],
+    names: Sequence[str] = WEEKLY_TABLES,
+    names_follow_keys: bool = False,
+) -> TableRollups:
+    """Replace single weeks in the roll-up tables.
+
+    The week is part of every grain, so the coarser tables follow week by week as well: nothing
+    outside ``weeks`` is read or written.
+    """
+    database = written.database
+    listed = F.col(sinks.WEEK).isin([int(week) for week in weeks])
+    of_weeks = repaired_fact.where(listed)
+    rebuilt = TableRollups(repaired_fact, written.genre_reference, written.channel_reference, database)
+    frames = {
+        "program": lambda: rollups.program_rollup(of_weeks, names_follow_keys),
+        "show": lambda: rollups.show_rollup(of_weeks, names_follow_keys),
+        "genre_channel": lambda: rollups.genre_channel_rollup(rebuilt.program.where(listed)),
+        **_bases(rebuilt),
+    }
+    for name, frame in frames.items():
+        if name in names:
+            sinks.replace_weeks(frame(), f"{database}.{name}", weeks)
+    return TableRollups(repaired_fact, written.genre_reference, written.channel_reference, database)

@@ -108,6 +108,10 @@ NEWS = _struct(
     SearchTerm=T.StringType(),
 )
 
+# The archive is partitioned by day of publication.
+ARCHIVE_DAY = "PublishDay"
+ARCHIVE = T.StructType([*NEWS.fields, T.StructField(ARCHIVE_DAY, T.DateType())])
+
 # The header-less news file keeps the publish date as the feed wrote it.
 NEWS_TEXT = _struct(**{name: T.StringType() for name in NEWS_KEY})
 

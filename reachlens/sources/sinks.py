@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,21 +21,31 @@ def scratch_database(spark: SparkSession, label: str) -> str:
     return name
 
 
-def replace_table(df: DataFrame, table: str, partition: Sequence[str] = (), cluster: Sequence[str] = ()) -> None:
+def replace_table(df: DataFrame, table: str, partition: str | None = None) -> None:
     """Create the table anew.
 
-    With partition columns the rows are first brought together by partition and spread within it by the
-    ``cluster`` columns, so that one large week is written by many tasks and no task writes a file
-    into every week.
+    Rows are rebalanced by the partition column first: adaptive execution then joins small partitions
+    and splits a large one over several tasks, so files have an even size whatever the week holds.
     """
+    writer = (df.hint("rebalance", F.col(partition)) if partition else df).write
+    writer = writer.mode("overwrite").format("parquet")
     if partition:
-        df = df.repartition(*partition, *cluster)
-    writer = df.write.mode("overwrite").format("parquet")
-    if partition:
-        writer = writer.partitionBy(*partition)
+        writer = writer.partitionBy(partition)
     writer.saveAsTable(table)
 
 
+@contextmanager
+def _only_present_partitions(spark: SparkSession) -> Iterator[None]:
+    """Within the block an overwrite replaces only the partitions that the new rows fall into."""
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def replace_weeks(df: DataFrame, table: str, weeks: Sequence[int]) -> None:
     """Replace the rows of ``weeks`` in a table partitioned by week; other weeks stay untouched.
 
@@ -44,7 +55,8 @@ def replace_weeks(df: DataFrame, table: str, weeks: Sequence[int]) -> None:
     spark = df.sparkSession
     listed = F.col(WEEK).isin([int(week) for week in weeks])
     rows = materialize(df.where(listed).select(*spark.table(table).columns), "weeks")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    with _only_present_partitions(spark):
+        rows.write.mode("overwrite").insertInto(table)
     filled = {row[0] for row in rows.select(WEEK).distinct().collect()}
     for week in sorted({int(week) for week in weeks} - filled):
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({WEEK} = {week})")
@@ -60,14 +72,29 @@ def append(df: DataFrame, table: str) -> None:
     df.select(*df.sparkSession.table(table).columns).write.insertInto(table)
 
 
-def insert_ignore(df: DataFrame, table: str, key: Sequence[str]) -> None:
-    """Append the rows whose key is new, each key once; missing key values are equal to each other."""
-    archived = df.sparkSession.table(table).select(*[F.col(name).alias(f"archived_{name}") for name in key])
-    same = [F.col(name).eqNullSafe(F.col(f"archived_{name}")) for name in key]
-    fresh = df.dropDuplicates(list(key)).join(archived, same, "left_anti")
+def insert_ignore(df: DataFrame, table: str, key: Sequence[str], prune: str | None = None) -> None:
+    """Append the rows whose key is not in the table yet, each key once.
+
+    ``prune`` names a partition column that follows from the key: only partitions that the new rows
+    fall into are read.
+    """
+    archived = df.sparkSession.table(table)
+    if prune:
+        archived = archived.join(df.select(prune).distinct(), prune, "left_semi")
+    fresh = df.dropDuplicates(list(key)).join(archived.select(*key), list(key), "left_anti")
     append(fresh, table)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV files with a header."""
-    df.write.mode("errorifexists").option("escape", '"').csv(path, header=True)
+def _csv_options() -> dict[str, str | bool]:
+    """Quotes are doubled and outer blanks are kept, so that text comes back as it was."""
+    return {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
+    """CSV files at a new path."""
+    df.write.mode("errorifexists").options(**_csv_options()).csv(path, header=header)
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Add rows to header-less CSV files."""
+    df.write.mode("append").options(**_csv_options()).csv(path, header=False)
