@@ -19,7 +19,8 @@ from reachlens.schemas import METRICS
 class Level:
     """Which columns a dashboard level shows as category and level, and which tables it reads.
 
-    ``totals``, ``client`` and ``base`` name fields of :class:`reachlens.plans.weekly.Rollups`.
+    ``totals``, ``client`` and ``base`` name tables of :class:`reachlens.plans.weekly.Rollups`;
+    ``base_key`` is the key whose reference row names the base cell.
     """
 
     title: str
@@ -31,6 +32,7 @@ class Level:
     totals: str
     client: str
     base: str
+    base_key: str
 
 
 GENRE = Level(
@@ -43,6 +45,7 @@ GENRE = Level(
     "genre_channel",
     "program",
     "genre_base",
+    "GENRE_KEY",
 )
 CHANNEL = Level(
     "Channel",
@@ -54,6 +57,7 @@ CHANNEL = Level(
     "genre_channel",
     "program",
     "channel_base",
+    "CHANNEL_GROUP_KEY",
 )
 # The show level carries the channel key as category key and the program key as level key.
 SHOW = Level(
@@ -66,6 +70,7 @@ SHOW = Level(
     "show",
     "fact",
     "show_base",
+    "CHANNEL_GROUP_KEY",
 )
 LEVELS = {level.title: level for level in (GENRE, CHANNEL, SHOW)}
 
@@ -110,21 +115,28 @@ class Selection:
         return F.col("ADVERTISERS_GROUP_KEY") == int(self.client)
 
 
+# Metrics have up to seven decimal places.
+EXACT_SUM = "decimal(36,7)"
+
 # Display names that identify a row of the dashboard.
 NAMES = ("category", "level", "genre", "ntwk")
 
 
+def _side_by_side(selection: Selection, prefix: str = "", rows: Column | None = None) -> list[Column]:
+    """Sum of the metric and number of rows per cell, as ``older``, ``newer``, ``older_rows``, ``newer_rows``."""
+    metric = F.col(selection.metric)
+    sums, counts = [], []
+    for name, cell in (("older", selection.older), ("newer", selection.newer)):
+        matches = cell.matches() if rows is None else cell.matches() & rows
+        sums.append(F.sum(F.when(matches, metric)).alias(f"{prefix}{name}"))
+        counts.append(F.count_if(matches).alias(f"{prefix}{name}_rows"))
+    return [*sums, *counts]
+
+
 def cell_sums(df: DataFrame, selection: Selection, keys: Sequence[Column]) -> DataFrame:
     """Sums of the metric per key, side by side for the two chosen cells, from one scan."""
-    metric = F.col(selection.metric)
-    return (
-        df.where(selection.in_weeks() & selection.in_cells())
-        .groupBy(*keys)
-        .agg(
-            F.sum(F.when(selection.older.matches(), metric)).alias("older"),
-            F.sum(F.when(selection.newer.matches(), metric)).alias("newer"),
-        )
-    )
+    chosen = df.where(selection.in_weeks() & selection.in_cells())
+    return chosen.groupBy(*keys).agg(*_side_by_side(selection))
 
 
 def counted_once() -> Column:
@@ -133,8 +145,9 @@ def counted_once() -> Column:
     The two cells are combined like a distinct union of their rows: when the same cell is chosen twice,
     or both cells have the same value for a key, that value counts a single time.
     """
-    older, newer = F.col("older"), F.col("newer")
-    zero = F.lit(0)
+    # A fixed precision: adding two decimals of the highest precision would cost them a decimal place.
+    older, newer = F.col("older").cast(EXACT_SUM), F.col("newer").cast(EXACT_SUM)
+    zero = F.lit(0).cast(EXACT_SUM)
     return F.when(older.eqNullSafe(newer), older).otherwise(F.coalesce(older, zero) + F.coalesce(newer, zero))
 
 
@@ -152,6 +165,17 @@ class CellTotals:
     client_genre: DataFrame
 
 
+def _pair_columns(level: Level) -> list[Column]:
+    return [
+        F.col(level.category_key).alias("cat_key"),
+        F.col(level.level_key).alias("level_key"),
+        F.col(level.category).alias("category"),
+        F.col(level.level).alias("level"),
+        F.col("GENRE_DISPLAY_NAME").alias("genre"),
+        F.col("NETWORK_DISPLAY_NAME").alias("ntwk"),
+    ]
+
+
 def cell_totals(rollups, selection: Selection, level: Level) -> CellTotals:
     """Aggregate the tables of the level to the selection.
 
@@ -159,14 +183,7 @@ def cell_totals(rollups, selection: Selection, level: Level) -> CellTotals:
     program roll-up.
     """
     genre = F.col("GENRE_DISPLAY_NAME").alias("genre")
-    columns = [
-        F.col(level.category_key).alias("cat_key"),
-        F.col(level.level_key).alias("level_key"),
-        F.col(level.category).alias("category"),
-        F.col(level.level).alias("level"),
-        genre,
-        F.col("NETWORK_DISPLAY_NAME").alias("ntwk"),
-    ]
+    columns = _pair_columns(level)
     of_client = selection.of_client()
     totals_table, client_table = getattr(rollups, level.totals), getattr(rollups, level.client)
     totals = cell_sums(totals_table, selection, columns)
@@ -183,6 +200,41 @@ def cell_totals(rollups, selection: Selection, level: Level) -> CellTotals:
     )
 
 
+def sums_in_one_pass(fact: DataFrame, reference: DataFrame, selection: Selection, level: Level) -> DataFrame:
+    """Everything a request needs from the fact, per key, in one aggregation.
+
+    Next to the cell sums of all advertisers and of the chosen one it has ``base``, the metric in the
+    base cell. A reference row that occurs twice counts its rows twice, as a join with it does.
+    """
+    cell = [level.base_key, "TG_KEY", "MARKET_KEY"]
+    base = reference.groupBy(*cell).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    rows = (
+        fact.where(selection.in_weeks())
+        .join(base, cell, "left")
+        .where(selection.in_cells() | F.col("times").isNotNull())
+    )
+    return rows.groupBy(*_pair_columns(level)).agg(
+        *_side_by_side(selection),
+        *_side_by_side(selection, "client_", selection.of_client()),
+        F.sum(F.when(F.col("times").isNotNull(), F.col(selection.metric) * F.col("times"))).alias("base"),
+    )
+
+
+def split_sums(sums: DataFrame) -> tuple[CellTotals, DataFrame]:
+    """Cell totals and affinity denominators of :func:`sums_in_one_pass`."""
+    pair = ["cat_key", "level_key", *NAMES]
+    parts = ["older", "newer", "older_rows", "newer_rows"]
+
+    def cells(prefix: str) -> DataFrame:
+        frame = sums.select(*pair, *[F.col(f"{prefix}{part}").alias(part) for part in parts])
+        return frame.where((F.col("older_rows") > 0) | (F.col("newer_rows") > 0))
+
+    totals, client = cells(""), cells("client_")
+    named = sums.dropna(subset=["category", "level"]).groupBy("category", "level")
+    denominator = named.agg(F.sum("base").alias("affinity_denom"))
+    return CellTotals(totals=totals, genre=totals, client=client, client_genre=client), denominator
+
+
 def _per_key(sums: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     summed = sums.groupBy(*keys).agg(F.sum("older").alias("older"), F.sum("newer").alias("newer"))
     return summed.select(*keys, counted_once().alias(name))
@@ -230,41 +282,42 @@ def client_total(cells: CellTotals) -> Column:
     return per_pair.agg(F.sum(counted_once())).scalar()
 
 
-def channel_insights(genre_channel: DataFrame, program: DataFrame, selection: Selection) -> DataFrame:
+def channel_insights(cells: CellTotals) -> DataFrame:
     """Advertiser and total metric per channel and genre, for pairs the advertiser uses.
 
-    The advertiser is matched to the totals within each cell, so a pair counts only in the cells where
-    the advertiser is present.
+    ``cells`` are those of the channel level. The advertiser is matched to the totals within each
+    cell, so a cell counts only where the advertiser is present, and once when both cells have the
+    same pair of values. The result carries the genre key as category key.
     """
-    keys = [
-        F.col("GENRE_KEY").alias("cat_key"),
-        F.col("CHANNEL_GROUP_KEY").alias("level_key"),
-    ]
-    names = [
-        F.max("CHANNEL_GROUP_DISPLAY_NAME").alias("category"),
-        F.max("GENRE_DISPLAY_NAME").alias("level"),
-        F.max("NETWORK_DISPLAY_NAME").alias("ntwk"),
-    ]
+    pair = ["cat_key", "level_key"]
+    parts = ["older", "newer"]
+    client = cells.client.groupBy(*pair).agg(
+        *[F.max(name).alias(name) for name in ("category", "level", "ntwk")],
+        *[F.sum(part).alias(f"client_{part}") for part in parts],
+        *[(F.sum(f"{part}_rows") > 0).alias(f"in_{part}") for part in parts],
+    )
+    totals = cells.totals.groupBy(*pair).agg(*[F.sum(part).alias(f"prog_{part}") for part in parts])
+    both_equal = (
+        F.col("in_older")
+        & F.col("in_newer")
+        & F.col("client_older").eqNullSafe(F.col("client_newer"))
+        & F.col("prog_older").eqNullSafe(F.col("prog_newer"))
+    )
 
-    def per_cell(df: DataFrame, name: str, *extra: Column) -> DataFrame:
-        chosen = df.where(selection.in_weeks() & selection.in_cells())
-        return chosen.groupBy("TG_KEY", "MARKET_KEY", *keys).agg(F.sum(selection.metric).alias(name), *extra)
+    def present(kind: str) -> Column:
+        older = F.when(F.col("in_older"), F.col(f"{kind}_older").cast(EXACT_SUM))
+        newer = F.when(F.col("in_newer") & ~both_equal, F.col(f"{kind}_newer").cast(EXACT_SUM))
+        zero = F.lit(0).cast(EXACT_SUM)
+        return F.when(older.isNotNull() | newer.isNotNull(), F.coalesce(older, zero) + F.coalesce(newer, zero))
 
-    client = per_cell(program.where(selection.of_client()), "client_metric", *names)
-    totals = per_cell(genre_channel, "prog_metric")
-    per_source = client.join(totals, ["TG_KEY", "MARKET_KEY", "cat_key", "level_key"])
-    return (
-        per_source.drop("TG_KEY", "MARKET_KEY")
-        .distinct()
-        .groupBy("cat_key", "level_key")
-        .agg(
-            F.max("category").alias("category"),
-            F.max("level").alias("level"),
-            F.max("ntwk").alias("ntwk"),
-            F.sum("client_metric").alias("client_metric"),
-            F.sum("prog_metric").alias("prog_metric"),
-        )
-        .select("category", "level", "cat_key", "level_key", "ntwk", "client_metric", "prog_metric")
+    return client.join(totals, pair).select(
+        "category",
+        "level",
+        F.col("level_key").alias("cat_key"),
+        F.col("cat_key").alias("level_key"),
+        "ntwk",
+        present("client").alias("client_metric"),
+        present("prog").alias("prog_metric"),
     )
 
 

@@ -13,20 +13,17 @@ from reachlens.session import materialize
 
 def enriched(tables: Rollups, selection: affinity.Selection, level: affinity.Level) -> DataFrame:
     """Totals, shares and affinity of one selection at one level."""
-    cells = affinity.cell_totals(tables, selection, level)
-    base = getattr(tables, level.base)
+    cells = tables.cells(selection, level)
     return affinity.enrich(
-        affinity.tg_affinity(cells),
-        affinity.affinity_denominator(base, selection, level),
-        affinity.client_total(cells),
+        affinity.tg_affinity(cells), tables.denominator(selection, level), affinity.client_total(cells)
     )
 
 
 def channels(tables: Rollups, selection: affinity.Selection) -> DataFrame:
     """The advertiser's channels with share of spend and affinity."""
     return affinity.enrich_channels(
-        affinity.channel_insights(tables.genre_channel, tables.program, selection),
-        affinity.affinity_denominator(tables.channel_base, selection, affinity.CHANNEL),
+        affinity.channel_insights(tables.cells(selection, affinity.CHANNEL)),
+        tables.denominator(selection, affinity.CHANNEL),
     )
 
 

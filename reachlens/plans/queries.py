@@ -55,7 +55,6 @@ def _request(spark: SparkSession, folder: str, selection: affinity.Selection = S
         star.fact(spark, folder, selection.weeks),
         star.ref_genre_tg_mkt(spark, folder),
         star.ref_ch_group_tg_mkt(spark, folder),
-        names_follow_keys=True,
     )
 
 
@@ -110,13 +109,11 @@ _SHARES = ("genre_share", "affinity", "client_genre_share", "overall_share")
 def _affinity(
     spark: SparkSession, folder: str, level: affinity.Level, selection: affinity.Selection = SELECTION
 ) -> DataFrame:
-    tables = _request(spark, folder, selection)
-    return affinity.tg_affinity(affinity.cell_totals(tables, selection, level))
+    return affinity.tg_affinity(_request(spark, folder, selection).cells(selection, level))
 
 
 def _enriched(spark: SparkSession, folder: str, level: affinity.Level) -> DataFrame:
-    tables = _request(spark, folder)
-    return dashboard.enriched(tables, SELECTION, level)
+    return dashboard.enriched(_request(spark, folder), SELECTION, level)
 
 
 @register
@@ -162,8 +159,7 @@ def affinity_same_cell_twice(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def channel_insights(spark: SparkSession, folder: str) -> DataFrame:
-    tables = _request(spark, folder)
-    frame = affinity.channel_insights(tables.genre_channel, tables.program, SELECTION)
+    frame = affinity.channel_insights(_request(spark, folder).cells(SELECTION, affinity.CHANNEL))
     return _doubles(frame, "client_metric", "prog_metric")
 
 
@@ -174,12 +170,11 @@ def channel_insights_enriched(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def base_by_upper_name(spark: SparkSession, folder: str) -> DataFrame:
-    tables = _request(spark, folder)
     frame = affinity.base_by_upper_name(
         _affinity(spark, folder, affinity.GENRE),
         star.ref_genre_tg_mkt(spark, folder),
         "GENRE_NAME",
-        tables.genre_channel,
+        star.fact(spark, folder, SELECTION.weeks),
         SELECTION,
         affinity.GENRE,
     )

@@ -9,7 +9,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachlens.operators import rollups
+from reachlens.operators import affinity, rollups
+from reachlens.session import materialize
 from reachlens.sources import sinks
 
 
@@ -56,24 +57,41 @@ class Rollups:
         return rollups.genre_base(self.genre_channel, self.genre_reference)
 
 
-class FactOnly(Rollups):
-    """A request without roll-up tables: every total is summed straight from the fact.
+    def cells(self, selection: affinity.Selection, level: affinity.Level) -> affinity.CellTotals:
+        """Cell totals of a request."""
+        return affinity.cell_totals(self, selection, level)
 
-    Sums of sums are exact, so the results are those of the roll-ups, with one shuffle instead of three.
-    Needs a fact whose names follow from its keys.
-    """
+    def denominator(self, selection: affinity.Selection, level: affinity.Level) -> DataFrame:
+        """Affinity denominators of a request."""
+        return affinity.affinity_denominator(getattr(self, level.base), selection, level)
 
-    @cached_property
-    def program(self) -> DataFrame:
-        return self.fact
 
-    @cached_property
-    def genre_channel(self) -> DataFrame:
-        return self.fact
+class FactOnly(Rollups):
+    """A request without roll-up tables: one aggregation of the fact, written once, holds all it needs.
 
-    @cached_property
-    def show(self) -> DataFrame:
-        return self.fact
+    Sums of sums are exact, so the results are those of the roll-ups. Needs a fact whose names follow
+    from its keys.
+    """
+
+    def __init__(self, fact: DataFrame, genre_reference: DataFrame, channel_reference: DataFrame) -> None:
+        super().__init__(fact, genre_reference, channel_reference, names_follow_keys=True)
+        self._requests: dict[tuple, tuple[affinity.CellTotals, DataFrame]] = {}
+
+    def _request(
+        self, selection: affinity.Selection, level: affinity.Level
+    ) -> tuple[affinity.CellTotals, DataFrame]:
+        key = (selection, level)
+        if key not in self._requests:
+            reference = self.genre_reference if level is affinity.GENRE else self.channel_reference
+            sums = affinity.sums_in_one_pass(self.fact, reference, selection, level)
+            self._requests[key] = affinity.split_sums(materialize(sums, "request"))
+        return self._requests[key]
+
+    def cells(self, selection: affinity.Selection, level: affinity.Level) -> affinity.CellTotals:
+        return self._request(selection, level)[0]
+
+    def denominator(self, selection: affinity.Selection, level: affinity.Level) -> DataFrame:
+        return self._request(selection, level)[1]
 
 
 class TableRollups(Rollups):
