@@ -13,7 +13,9 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return build_session("tests", 8, spark__sql__shuffle__partitions="4")
+    return build_session(
+        "tests", 8, spark__sql__shuffle__partitions="4", spark__sql__maxMetadataStringLength="2000"
+    )
 
 
 @pytest.fixture(scope="session")
