@@ -200,38 +200,44 @@ def cell_totals(rollups, selection: Selection, level: Level) -> CellTotals:
     )
 
 
-def sums_in_one_pass(fact: DataFrame, reference: DataFrame, selection: Selection, level: Level) -> DataFrame:
-    """Everything a request needs from the fact, per key, in one aggregation.
+def sums_in_one_pass(fact: DataFrame, references: dict[Level, DataFrame], selection: Selection) -> DataFrame:
+    """Everything that requests at the levels of ``references`` need from the fact, in one aggregation.
 
-    Next to the cell sums of all advertisers and of the chosen one it has ``base``, the metric in the
-    base cell. A reference row that occurs twice counts its rows twice, as a join with it does.
+    The grain holds the keys and names of all those levels. Next to the cell sums of all advertisers
+    and of the chosen one there is, per level, the metric in the base cell. A reference row that
+    occurs twice counts its rows twice, as a join with it does.
     """
-    cell = [level.base_key, "TG_KEY", "MARKET_KEY"]
-    base = reference.groupBy(*cell).agg(F.count(F.lit(1)).cast("int").alias("times"))
-    rows = (
-        fact.where(selection.in_weeks())
-        .join(base, cell, "left")
-        .where(selection.in_cells() | F.col("times").isNotNull())
-    )
-    return rows.groupBy(*_pair_columns(level)).agg(
-        *_side_by_side(selection),
-        *_side_by_side(selection, "client_", selection.of_client()),
-        F.sum(F.when(F.col("times").isNotNull(), F.col(selection.metric) * F.col("times"))).alias("base"),
+    metric = F.col(selection.metric)
+    rows = fact.where(selection.in_weeks())
+    columns = ["GENRE_DISPLAY_NAME", "NETWORK_DISPLAY_NAME"]
+    wanted, bases = selection.in_cells(), []
+    for level, reference in references.items():
+        columns += [level.category_key, level.level_key, level.category, level.level]
+        cell = [level.base_key, "TG_KEY", "MARKET_KEY"]
+        times = F.count(F.lit(1)).cast("int").alias(f"{level.base}_times")
+        rows = rows.join(reference.groupBy(*cell).agg(times), cell, "left")
+        in_base = F.col(f"{level.base}_times").isNotNull()
+        wanted = wanted | in_base
+        bases.append(F.sum(F.when(in_base, metric * F.col(f"{level.base}_times"))).alias(level.base))
+    return (
+        rows.where(wanted)
+        .groupBy(*dict.fromkeys(columns))
+        .agg(*_side_by_side(selection), *_side_by_side(selection, "client_", selection.of_client()), *bases)
     )
 
 
-def split_sums(sums: DataFrame) -> tuple[CellTotals, DataFrame]:
-    """Cell totals and affinity denominators of :func:`sums_in_one_pass`."""
-    pair = ["cat_key", "level_key", *NAMES]
+def split_sums(sums: DataFrame, level: Level) -> tuple[CellTotals, DataFrame]:
+    """Cell totals and affinity denominators of one level from :func:`sums_in_one_pass`."""
     parts = ["older", "newer", "older_rows", "newer_rows"]
 
     def cells(prefix: str) -> DataFrame:
-        frame = sums.select(*pair, *[F.col(f"{prefix}{part}").alias(part) for part in parts])
-        return frame.where((F.col("older_rows") > 0) | (F.col("newer_rows") > 0))
+        frame = sums.where((F.col(f"{prefix}older_rows") > 0) | (F.col(f"{prefix}newer_rows") > 0))
+        return frame.groupBy(*_pair_columns(level)).agg(*[F.sum(f"{prefix}{part}").alias(part) for part in parts])
 
     totals, client = cells(""), cells("client_")
-    named = sums.dropna(subset=["category", "level"]).groupBy("category", "level")
-    denominator = named.agg(F.sum("base").alias("affinity_denom"))
+    names = sums.select(F.col(level.category).alias("category"), F.col(level.level).alias("level"), level.base)
+    named = names.dropna(subset=["category", "level"]).groupBy("category", "level")
+    denominator = named.agg(F.sum(level.base).alias("affinity_denom"))
     return CellTotals(totals=totals, genre=totals, client=client, client_genre=client), denominator
 
 

@@ -75,17 +75,21 @@ class FactOnly(Rollups):
 
     def __init__(self, fact: DataFrame, genre_reference: DataFrame, channel_reference: DataFrame) -> None:
         super().__init__(fact, genre_reference, channel_reference, names_follow_keys=True)
-        self._requests: dict[tuple, tuple[affinity.CellTotals, DataFrame]] = {}
+        self._sums: dict[tuple[affinity.Selection, bool], DataFrame] = {}
 
     def _request(
         self, selection: affinity.Selection, level: affinity.Level
     ) -> tuple[affinity.CellTotals, DataFrame]:
-        key = (selection, level)
-        if key not in self._requests:
-            reference = self.genre_reference if level is affinity.GENRE else self.channel_reference
-            sums = affinity.sums_in_one_pass(self.fact, reference, selection, level)
-            self._requests[key] = affinity.split_sums(materialize(sums, "request"))
-        return self._requests[key]
+        """The genre and the channel level share one aggregation; the show level has a finer one."""
+        key = (selection, level is affinity.SHOW)
+        if key not in self._sums:
+            references = (
+                {affinity.SHOW: self.channel_reference}
+                if level is affinity.SHOW
+                else {affinity.GENRE: self.genre_reference, affinity.CHANNEL: self.channel_reference}
+            )
+            self._sums[key] = materialize(affinity.sums_in_one_pass(self.fact, references, selection), "request")
+        return affinity.split_sums(self._sums[key], level)
 
     def cells(self, selection: affinity.Selection, level: affinity.Level) -> affinity.CellTotals:
         return self._request(selection, level)[0]
