@@ -49,7 +49,7 @@ def deduplicated(df: DataFrame) -> DataFrame:
 def terms_to_fetch(terms: DataFrame, archive: DataFrame, now: Column, days: int = FRESH_DAYS) -> DataFrame:
     """Search terms without an archived item newer than ``days``."""
     fresh = archive.where(F.col("PublishDate") > now - F.make_dt_interval(F.lit(days)))
-    return terms.join(fresh.select(F.col("SearchTerm").alias("term")), "term", "left_anti")
+    return terms.join(fresh.select(F.col("SearchTerm").alias("term")).distinct(), "term", "left_anti")
 
 
 def fresh_counts(archive: DataFrame, now: Column, days: int = FRESH_DAYS) -> DataFrame:
@@ -81,16 +81,16 @@ def mapped_terms(chosen: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def ticker(archive: DataFrame, terms: DataFrame, now: Column, excluded=EXCLUDED_SOURCES) -> DataFrame:
-    """Anchors to show per search term; a term without recent items shows one notice."""
-    items_of_term = recent(archive, now).select(
-        F.col("SearchTerm").alias("term"),
-        fields.anchor(F.col("Title"), F.col("Link")).alias("anchor"),
-        (~any_of(F.col("Source"), excluded)).alias("shown"),
-    )
-    return (
-        terms.join(items_of_term, "term", "left")
-        .where(F.coalesce("shown", F.lit(True)))
-        .select("term", F.coalesce("anchor", F.lit(fields.NO_DATA)).alias("anchor"))
+    """Anchors to show per search term; a term without recent items shows one notice.
+
+    Items are joined to the few terms and not the terms to their items, so the items of a frequent
+    term stay spread over many tasks.
+    """
+    items_of_term = recent(archive, now).withColumnRenamed("SearchTerm", "term")
+    shown = items_of_term.where(~any_of(F.col("Source"), excluded)).join(terms, "term")
+    without = terms.join(items_of_term.select("term").distinct(), "term", "left_anti")
+    return shown.select("term", fields.anchor(F.col("Title"), F.col("Link")).alias("anchor")).unionByName(
+        without.select("term", F.lit(fields.NO_DATA).alias("anchor"))
     )
 
 

@@ -38,6 +38,18 @@ def to_keys(chosen: DataFrame, domain: DataFrame, default: int = UNKNOWN_KEY) ->
     return chosen.join(known, "name", "left").select("name", F.coalesce("key", F.lit(default)).alias("key"))
 
 
+def to_cells(chosen: DataFrame, cells: DataFrame, default: int = UNKNOWN_KEY) -> DataFrame:
+    """Audience and market key of each chosen cell text, ``default`` for an unknown one."""
+    known = cells.groupBy(F.col("TG_MARKET_DISPLAY_NAME").alias("name")).agg(
+        F.min(F.struct("TG_KEY", "MARKET_KEY")).alias("cell")
+    )
+    return chosen.join(known, "name", "left").select(
+        "name",
+        F.coalesce("cell.TG_KEY", F.lit(default)).alias("TG_KEY"),
+        F.coalesce("cell.MARKET_KEY", F.lit(default)).alias("MARKET_KEY"),
+    )
+
+
 def unknown(chosen: DataFrame, domain: DataFrame) -> DataFrame:
     """Chosen (parameter, name) pairs that their parameter's domain does not contain."""
     return chosen.join(domain, ["parameter", "name"], "left_anti")

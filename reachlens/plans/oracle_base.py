@@ -183,16 +183,18 @@ LEVELS = {
 }
 
 
-def _once(keys: str, columns: str, table: str, value: str, cells: tuple[str, str], extra: str = "") -> str:
+def _once(
+    keys: str, columns: str, table: str, value: str, cells: tuple[str, str], extra: str = "", metric: str = METRIC
+) -> str:
     """Distinct union of the two cells' grouped sums."""
     branches = [
-        f"SELECT {columns}, sum({METRIC}) AS {value} FROM {table} WHERE {cell} AND {WEEKS} {extra} GROUP BY {keys}"
+        f"SELECT {columns}, sum({metric}) AS {value} FROM {table} WHERE {cell} AND {WEEKS} {extra} GROUP BY {keys}"
         for cell in cells
     ]
     return " UNION ".join(branches)
 
 
-def affinity(level: str, older: str = OLDER, newer: str = NEWER) -> str:
+def affinity(level: str, older: str = OLDER, newer: str = NEWER, metric: str = METRIC) -> str:
     """The four two-stage totals and their join, as a CTE named ``affinity``."""
     category, name, cat_key, level_key, totals, client, _ = LEVELS[level]
     cells = (older, newer)
@@ -208,20 +210,20 @@ def affinity(level: str, older: str = OLDER, newer: str = NEWER) -> str:
 prog_all AS (
   SELECT cat_key, level_key, max(category) AS category, max(level) AS level, max(genre) AS genre,
     max(ntwk) AS ntwk, sum(v) AS prog_metric
-  FROM ({_once(keys, columns, totals, "v", cells)}) GROUP BY cat_key, level_key
+  FROM ({_once(keys, columns, totals, "v", cells, metric=metric)}) GROUP BY cat_key, level_key
 ),
 prog_share AS (
   SELECT genre, sum(v) AS metric_share
-  FROM ({_once("GENRE_DISPLAY_NAME", genre, "genre_channel", "v", cells)}) GROUP BY genre
+  FROM ({_once("GENRE_DISPLAY_NAME", genre, "genre_channel", "v", cells, metric=metric)}) GROUP BY genre
 ),
 client_metric AS (
   SELECT cat_key, level_key, sum(v) AS client_metric
-  FROM ({_once(f"{cat_key}, {level_key}", client_columns, client, "v", cells, of_client)})
+  FROM ({_once(f"{cat_key}, {level_key}", client_columns, client, "v", cells, of_client, metric)})
   GROUP BY cat_key, level_key
 ),
 client_share AS (
   SELECT genre, sum(v) AS client_share
-  FROM ({_once("GENRE_DISPLAY_NAME", genre, "program", "v", cells, of_client)}) GROUP BY genre
+  FROM ({_once("GENRE_DISPLAY_NAME", genre, "program", "v", cells, of_client, metric)}) GROUP BY genre
 ),
 affinity AS (
   SELECT a.category, a.level, a.cat_key, a.level_key, a.prog_metric, s.metric_share, c.client_metric,
@@ -270,12 +272,12 @@ enriched AS (
 )"""
 
 
-def level_ctes(level: str, older: str = OLDER, newer: str = NEWER) -> list[str]:
+def level_ctes(level: str, older: str = OLDER, newer: str = NEWER, metric: str = METRIC) -> list[str]:
     """Everything up to ``affinity`` for one level."""
     parts = [FACT, program(), genre_channel()]
     if level == "show":
         parts.append(show())
-    return [*parts, affinity(level, older, newer)]
+    return [*parts, affinity(level, older, newer, metric)]
 
 
 def enriched_ctes(level: str) -> list[str]:

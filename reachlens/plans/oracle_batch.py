@@ -128,6 +128,12 @@ _DASHBOARDS = """dashboards(auth_group, dashboard) AS (
     'my_reports_genre_performance', 'my_reports_market_share', 'my_reports_program_ratings'])
 )"""
 
+_ENTITLED = """SELECT 'U' || key AS EMPLOYEE_NT_ID, dashboard FROM staff JOIN dashboards USING (auth_group)
+  WHERE NOT (dashboard = 'my_view' AND role <> 'SALES EXECUTIVE')
+    AND NOT (dashboard = 'my_view_manager' AND role = 'SALES EXECUTIVE')
+    AND NOT (dashboard = 'client_on_home' AND auth_group = 'Group 1'
+      AND role NOT IN ('CLUSTER HEAD', 'BRANCH HEAD', 'HO GROUP'))"""
+
 # --- news ---
 
 _NEWS = """news AS (
@@ -221,6 +227,11 @@ ORACLES: dict[str, str] = {
         [_CLIENTS, _CHOSEN],
         "SELECT name, CAST(coalesce(key, -1) AS INTEGER) AS key FROM chosen LEFT JOIN clients USING (name)",
     ),
+    "cell_name_to_keys": f"""WITH {o.REF_CHANNEL}, {o.REF_TG_MKT},
+      chosen AS (SELECT TG_MARKET_DISPLAY_NAME AS name FROM ref_channel
+        UNION SELECT TG_MARKET_DISPLAY_NAME || '?' FROM ref_channel)
+      SELECT name, CAST(coalesce(TG_KEY, -1) AS INTEGER) AS TG_KEY, CAST(coalesce(MARKET_KEY, -1) AS INTEGER) AS MARKET_KEY
+      FROM chosen LEFT JOIN ref_tg_mkt ON TG_MARKET_DISPLAY_NAME = name""",
     "validate_params": o.query(
         [_CLIENTS, _CHOSEN],
         "SELECT 'client' AS parameter, name FROM chosen WHERE name NOT IN (SELECT name FROM clients)",
@@ -289,13 +300,9 @@ ORACLES: dict[str, str] = {
           CASE WHEN second_role IS NULL OR second_role LIKE '-%' THEN 'NONE' ELSE second_role END AS SECONDARY_ROLE
           FROM staff""",
     ),
-    "entitlement_matrix": o.query(
-        [_STAFF, _DASHBOARDS],
-        """SELECT 'U' || key AS EMPLOYEE_NT_ID, dashboard FROM staff JOIN dashboards USING (auth_group)
-          WHERE NOT (dashboard = 'my_view' AND role <> 'SALES EXECUTIVE')
-            AND NOT (dashboard = 'my_view_manager' AND role = 'SALES EXECUTIVE')
-            AND NOT (dashboard = 'client_on_home' AND auth_group = 'Group 1'
-              AND role NOT IN ('CLUSTER HEAD', 'BRANCH HEAD', 'HO GROUP'))""",
+    "entitlement_matrix": o.query([_STAFF, _DASHBOARDS], _ENTITLED),
+    "entitlement_removal": o.query(
+        [_STAFF, _DASHBOARDS], _ENTITLED + " AND NOT (role = 'SALES EXECUTIVE' AND dashboard = 'client_overview')"
     ),
     "news_parse": o.query([_NEWS, _PARSED], f"SELECT {_NEWS_OUT}, feed_no, position FROM parsed"),
     "news_top10": o.query(

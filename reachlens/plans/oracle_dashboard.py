@@ -197,6 +197,8 @@ ORACLES: dict[str, str] = {
     "channel_affinity_base": o.query([*_GENRE_CHANNEL, o.REF_CHANNEL, o.CHANNEL_BASE], _sums("channel_base")),
     "genre_affinity_base": o.query([*_GENRE_CHANNEL, o.REF_GENRE, o.GENRE_BASE], _sums("genre_base")),
     "affinity_genre": o.query(o.level_ctes("genre"), _AFFINITY),
+    "affinity_genre_fct": o.query(o.level_ctes("genre", metric="FCT"), _AFFINITY),
+    "affinity_genre_tvt": o.query(o.level_ctes("genre", metric="TVT"), _AFFINITY),
     "affinity_channel": o.query(o.level_ctes("channel"), _AFFINITY),
     "affinity_show": o.query(o.level_ctes("show"), _AFFINITY),
     "enriched_genre": o.query(o.enriched_ctes("genre"), _ENRICHED),

@@ -16,7 +16,7 @@ from reachlens.operators import affinity, insights, news, params, present, scope
 from reachlens.plans import dashboard, weekly
 from reachlens.schemas import METRICS, NEWS_KEY, SOURCE_NEWER
 from reachlens.session import materialize, scratch_path
-from reachlens.sources import files, sinks, star
+from reachlens.sources import files, mapping, sinks
 from reachlens.streaming import news_archive
 
 # Example selection of the dashboard queries.
@@ -43,18 +43,18 @@ def register(query: Query) -> Query:
 
 def _build(spark: SparkSession, folder: str) -> weekly.Rollups:
     return weekly.Rollups(
-        star.fact(spark, folder),
-        star.ref_genre_tg_mkt(spark, folder),
-        star.ref_ch_group_tg_mkt(spark, folder),
+        mapping.fact(spark, folder),
+        mapping.ref_genre_tg_mkt(spark, folder),
+        mapping.ref_ch_group_tg_mkt(spark, folder),
         names_follow_keys=True,
     )
 
 
 def _request(spark: SparkSession, folder: str, selection: affinity.Selection = SELECTION) -> weekly.Rollups:
     return weekly.FactOnly(
-        star.fact(spark, folder, selection.weeks),
-        star.ref_genre_tg_mkt(spark, folder),
-        star.ref_ch_group_tg_mkt(spark, folder),
+        mapping.fact(spark, folder, selection.weeks),
+        mapping.ref_genre_tg_mkt(spark, folder),
+        mapping.ref_ch_group_tg_mkt(spark, folder),
     )
 
 
@@ -131,6 +131,16 @@ def affinity_show(spark: SparkSession, folder: str) -> DataFrame:
     return _doubles(_affinity(spark, folder, affinity.SHOW), *_AFFINITY_VALUES)
 
 
+@register
+def affinity_genre_fct(spark: SparkSession, folder: str) -> DataFrame:
+    return _doubles(_affinity(spark, folder, affinity.GENRE, replace(SELECTION, metric="FCT")), *_AFFINITY_VALUES)
+
+
+@register
+def affinity_genre_tvt(spark: SparkSession, folder: str) -> DataFrame:
+    return _doubles(_affinity(spark, folder, affinity.GENRE, replace(SELECTION, metric="TVT")), *_AFFINITY_VALUES)
+
+
 @register
 def enriched_genre(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_enriched(spark, folder, affinity.GENRE), *_SHARES)
@@ -172,9 +182,9 @@ def channel_insights_enriched(spark: SparkSession, folder: str) -> DataFrame:
 def base_by_upper_name(spark: SparkSession, folder: str) -> DataFrame:
     frame = affinity.base_by_upper_name(
         _affinity(spark, folder, affinity.GENRE),
-        star.ref_genre_tg_mkt(spark, folder),
+        mapping.ref_genre_tg_mkt(spark, folder),
         "GENRE_NAME",
-        star.fact(spark, folder, SELECTION.weeks),
+        mapping.fact(spark, folder, SELECTION.weeks),
         SELECTION,
         affinity.GENRE,
     )
@@ -182,8 +192,8 @@ def base_by_upper_name(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _named_cells(spark: SparkSession, folder: str) -> DataFrame:
-    cells = star.ref_tg_mkt(spark, folder).select("TG_KEY", "MARKET_KEY", "TG_DISPLAY_NAME", "MARKET_DISPLAY_NAME")
-    return star.fact(spark, folder).join(cells, ["TG_KEY", "MARKET_KEY"])
+    cells = mapping.ref_tg_mkt(spark, folder).select("TG_KEY", "MARKET_KEY", "TG_DISPLAY_NAME", "MARKET_DISPLAY_NAME")
+    return mapping.fact(spark, folder).join(cells, ["TG_KEY", "MARKET_KEY"])
 
 
 @register
@@ -297,7 +307,7 @@ def axis_range_default(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def unit_format(spark: SparkSession, folder: str) -> DataFrame:
     """Spend per advertiser and for all of them, large enough for every unit."""
-    spend = star.fact(spark, folder).groupBy("ADVERTISERS_GROUP_KEY")
+    spend = mapping.fact(spark, folder).groupBy("ADVERTISERS_GROUP_KEY")
     values = spend.agg(F.sum("FCT").alias("fct"), F.sum("ADGRP").alias("adgrp")).select(
         "ADVERTISERS_GROUP_KEY",
         F.col("fct").cast("double").alias("fct"),
@@ -325,7 +335,7 @@ def cell_format(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def bubbles(spark: SparkSession, folder: str) -> DataFrame:
     request = _dashboard(spark, folder, affinity.CHANNEL)
-    colors = star.network_colors(spark, folder).withColumn("Network", F.lower("Network"))
+    colors = mapping.network_colors(spark, folder).withColumn("Network", F.lower("Network"))
     frame = present.bubbles(request.shown, request.networks, colors)
     return _rounded(frame, "x", "y", "radius")
 
@@ -338,13 +348,13 @@ def search_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def pick_list_search(spark: SparkSession, folder: str) -> DataFrame:
-    channels = star.dim_channel_group(spark, folder)
+    channels = mapping.dim_channel_group(spark, folder)
     return channels.where(text.contains(F.col("CHANNEL_GROUP_DISPLAY_NAME"), "supplier#0000000"))
 
 
 @register
 def base_market_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    markets = present.base_markets(star.ref_ch_group_tg_mkt(spark, folder), "CHANNEL_GROUP_DISPLAY_NAME")
+    markets = present.base_markets(mapping.ref_ch_group_tg_mkt(spark, folder), "CHANNEL_GROUP_DISPLAY_NAME")
     return markets.select(
         "name",
         "tam",
@@ -356,7 +366,7 @@ def base_market_pivot(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def base_market_pivot_genre(spark: SparkSession, folder: str) -> DataFrame:
-    return present.base_markets(star.ref_genre_tg_mkt(spark, folder), "GENRE_DISPLAY_NAME")
+    return present.base_markets(mapping.ref_genre_tg_mkt(spark, folder), "GENRE_DISPLAY_NAME")
 
 
 @register
@@ -383,7 +393,7 @@ def _fact_by_week(fact: DataFrame) -> DataFrame:
 @register
 def week_key_from_date(spark: SparkSession, folder: str) -> DataFrame:
     day = F.col("day")
-    days = star.table(spark, folder, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
+    days = mapping.table(spark, folder, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
     return days.select(
         "day",
         calendar.week_number(day).alias("week"),
@@ -396,18 +406,18 @@ def week_key_from_date(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def week_repair(spark: SparkSession, folder: str) -> DataFrame:
-    fact = weeks.set_week_key(star.fact(spark, folder))
+    fact = weeks.set_week_key(mapping.fact(spark, folder))
     return _fact_by_week(weeks.repair_year_end(fact, REPAIRED_WEEKS))
 
 
 @register
 def week_shift_older(spark: SparkSession, folder: str) -> DataFrame:
-    return _fact_by_week(weeks.set_week_key(weeks.shift_older_years(star.fact(spark, folder))))
+    return _fact_by_week(weeks.set_week_key(weeks.shift_older_years(mapping.fact(spark, folder))))
 
 
 @register
 def week_retention(spark: SparkSession, folder: str) -> DataFrame:
-    return _fact_by_week(weeks.retain_recent(star.fact(spark, folder)))
+    return _fact_by_week(weeks.retain_recent(mapping.fact(spark, folder)))
 
 
 @register
@@ -423,38 +433,38 @@ def default_end_date(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def end_date_per_week(spark: SparkSession, folder: str) -> DataFrame:
     """The default end date for every week that could be the newest one."""
-    keys = star.fact(spark, folder).select("WEEK_KEY").distinct()
+    keys = mapping.fact(spark, folder).select("WEEK_KEY").distinct()
     return keys.select("WEEK_KEY", calendar.default_end_date(F.col("WEEK_KEY")).alias("end_date"))
 
 
 @register
 def latest_dates(spark: SparkSession, folder: str) -> DataFrame:
-    revenue = weeks.max_date(star.fact_cust_rev_agg_dly(spark, folder)).select(F.lit("revenue").alias("fact"), "max_date")
-    breaks = weeks.max_date(star.fact_cust_break_agg_dly(spark, folder)).select(F.lit("break").alias("fact"), "max_date")
+    revenue = weeks.max_date(mapping.fact_cust_rev_agg_dly(spark, folder)).select(F.lit("revenue").alias("fact"), "max_date")
+    breaks = weeks.max_date(mapping.fact_cust_break_agg_dly(spark, folder)).select(F.lit("break").alias("fact"), "max_date")
     return revenue.unionByName(breaks)
 
 
 @register
 def week_to_date_key(spark: SparkSession, folder: str) -> DataFrame:
-    return weeks.last_date_keys(star.dim_date(spark, folder))
+    return weeks.last_date_keys(mapping.dim_date(spark, folder))
 
 
 @register
 def date_range_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return weeks.date_range_keys(star.dim_date(spark, folder), dt.date(1996, 11, 20), dt.date(1997, 2, 14))
+    return weeks.date_range_keys(mapping.dim_date(spark, folder), dt.date(1996, 11, 20), dt.date(1997, 2, 14))
 
 
 @register
 def week_range_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return weeks.week_range_keys(star.dim_date(spark, folder), dt.date(1996, 11, 20), dt.date(1997, 2, 14))
+    return weeks.week_range_keys(mapping.dim_date(spark, folder), dt.date(1996, 11, 20), dt.date(1997, 2, 14))
 
 
 @register
 def period_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Which order-to-shipment periods a report would accept."""
-    orders = star.table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    orders = mapping.table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     first, last = F.to_date("o_orderdate"), F.to_date("l_shipdate")
-    periods = star.table(spark, folder, "lineitem").select("l_orderkey", "l_shipdate").join(orders, "l_orderkey")
+    periods = mapping.table(spark, folder, "lineitem").select("l_orderkey", "l_shipdate").join(orders, "l_orderkey")
     return periods.groupBy(
         params.period_is_valid(first, last, weeks=params.MAX_DASHBOARD_WEEKS).alias("dashboard"),
         params.period_is_valid(first, last, days=params.MAX_REVENUE_DAYS).alias("revenue"),
@@ -473,8 +483,8 @@ def _written(
 ) -> weekly.TableRollups:
     built = weekly.Rollups(
         fact,
-        star.ref_genre_tg_mkt(spark, folder),
-        star.ref_ch_group_tg_mkt(spark, folder),
+        mapping.ref_genre_tg_mkt(spark, folder),
+        mapping.ref_ch_group_tg_mkt(spark, folder),
         names_follow_keys=True,
     )
     return weekly.write_tables(built, sinks.scratch_database(spark, "weekly"), names)
@@ -482,7 +492,7 @@ def _written(
 
 def _rebuilt(spark: SparkSession, folder: str, names: Sequence[str]) -> weekly.TableRollups:
     """Write tables, repair the year ends of the fact, rebuild only the weeks concerned."""
-    fact = weeks.set_week_key(star.fact(spark, folder))
+    fact = weeks.set_week_key(mapping.fact(spark, folder))
     written = _written(spark, folder, fact, names)
     repaired = weeks.repair_year_end(fact, REPAIRED_WEEKS)
     return weekly.rebuild_weeks(
@@ -503,7 +513,7 @@ def incremental_base_rebuild(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def weekly_build(spark: SparkSession, folder: str) -> DataFrame:
     """Write all tables and count their rows."""
-    written = _written(spark, folder, star.fact(spark, folder))
+    written = _written(spark, folder, mapping.fact(spark, folder))
     counts = [
         getattr(written, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
         for name in weekly.WEEKLY_TABLES
@@ -514,7 +524,7 @@ def weekly_build(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def enriched_genre_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The genre request on written tables, where the week range prunes partitions."""
-    written = _written(spark, folder, star.fact(spark, folder), _GENRE_TABLES)
+    written = _written(spark, folder, mapping.fact(spark, folder), _GENRE_TABLES)
     return _rounded(dashboard.enriched(written, SELECTION, affinity.GENRE), *_SHARES)
 
 
@@ -523,7 +533,7 @@ def enriched_genre_from_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def dates_as_text(spark: SparkSession, folder: str) -> DataFrame:
-    return files.as_text(star.dim_date(spark, folder))
+    return files.as_text(mapping.dim_date(spark, folder))
 
 
 @register
@@ -536,7 +546,7 @@ def client_list(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def client_list_revenue(spark: SparkSession, folder: str) -> DataFrame:
     return params.names_with_keys(
-        star.fact_cust_rev_agg_dly(spark, folder), "ADVERTISERS_GROUP_KEY", "ADVERTISERS_GROUP_DISPLAY_NAME"
+        mapping.fact_cust_rev_agg_dly(spark, folder), "ADVERTISERS_GROUP_KEY", "ADVERTISERS_GROUP_DISPLAY_NAME"
     )
 
 
@@ -555,33 +565,33 @@ def client_list_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def genre_list(spark: SparkSession, folder: str) -> DataFrame:
-    return params.names_with_keys(star.ref_genre_tg_mkt(spark, folder), "GENRE_KEY", "GENRE_DISPLAY_NAME")
+    return params.names_with_keys(mapping.ref_genre_tg_mkt(spark, folder), "GENRE_KEY", "GENRE_DISPLAY_NAME")
 
 
 @register
 def genre_pick_list(spark: SparkSession, folder: str) -> DataFrame:
-    return params.first_keys(star.ref_genre_tg_mkt(spark, folder), "GENRE_KEY", "GENRE_NAME").orderBy("name")
+    return params.first_keys(mapping.ref_genre_tg_mkt(spark, folder), "GENRE_KEY", "GENRE_NAME").orderBy("name")
 
 
 @register
 def program_first_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return params.first_keys(star.fact(spark, folder), "PROGRAM_GROUP_KEY", "PROGRAM_GROUP_DISPLAY_NAME")
+    return params.first_keys(mapping.fact(spark, folder), "PROGRAM_GROUP_KEY", "PROGRAM_GROUP_DISPLAY_NAME")
 
 
 @register
 def cell_pick_list(spark: SparkSession, folder: str) -> DataFrame:
-    cells = star.ref_tg_mkt(spark, folder).withColumn("cell_key", text.pair_key(F.col("TG_KEY"), F.col("MARKET_KEY")))
+    cells = mapping.ref_tg_mkt(spark, folder).withColumn("cell_key", text.pair_key(F.col("TG_KEY"), F.col("MARKET_KEY")))
     return cells.orderBy("TG_MARKET_DISPLAY_NAME")
 
 
 @register
 def cells_of_source(spark: SparkSession, folder: str) -> DataFrame:
-    return star.ref_tg_mkt(spark, folder).where(F.col("SOURCE") == SOURCE_NEWER)
+    return mapping.ref_tg_mkt(spark, folder).where(F.col("SOURCE") == SOURCE_NEWER)
 
 
 def _chosen_names(spark: SparkSession, folder: str) -> DataFrame:
-    nations = star.table(spark, folder, "nation").select(F.col("n_name").alias("name"))
-    return nations.unionByName(star.table(spark, folder, "supplier").select(F.col("s_name").alias("name")))
+    nations = mapping.table(spark, folder, "nation").select(F.col("n_name").alias("name"))
+    return nations.unionByName(mapping.table(spark, folder, "supplier").select(F.col("s_name").alias("name")))
 
 
 @register
@@ -589,6 +599,15 @@ def name_to_keys(spark: SparkSession, folder: str) -> DataFrame:
     return params.to_keys(_chosen_names(spark, folder), client_list(spark, folder))
 
 
+@register
+def cell_name_to_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of the base cells' texts, and of two that do not exist."""
+    reference = mapping.ref_ch_group_tg_mkt(spark, folder)
+    chosen = reference.select(F.col("TG_MARKET_DISPLAY_NAME").alias("name"))
+    missing = chosen.select(F.concat("name", F.lit("?")).alias("name"))
+    return params.to_cells(chosen.unionByName(missing).distinct(), mapping.ref_tg_mkt(spark, folder))
+
+
 @register
 def validate_params(spark: SparkSession, folder: str) -> DataFrame:
     chosen = _chosen_names(spark, folder).withColumn("parameter", F.lit("client"))
@@ -602,21 +621,21 @@ def validate_params(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def network_colors_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "colors")
-    sinks.write_csv(star.network_colors(spark, folder), path)
+    sinks.write_csv(mapping.network_colors(spark, folder), path)
     return files.network_colors(spark, path)
 
 
 @register
 def reference_cells_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "reference")
-    sinks.write_csv(star.ref_ch_group_tg_mkt(spark, folder), path)
+    sinks.write_csv(mapping.ref_ch_group_tg_mkt(spark, folder), path)
     return files.reference_cells(spark, path, "TG 1")
 
 
 @register
 def search_terms_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "terms")
-    sinks.write_csv(star.table(spark, folder, "nation").select("n_name"), path, header=False)
+    sinks.write_csv(mapping.table(spark, folder, "nation").select("n_name"), path, header=False)
     return files.search_terms(spark, path)
 
 
@@ -624,7 +643,7 @@ def search_terms_csv(spark: SparkSession, folder: str) -> DataFrame:
 def news_csv_append(spark: SparkSession, folder: str) -> DataFrame:
     """Append all items twice to a header-less file and read it back."""
     path = scratch_path(spark, "news")
-    rows = files.as_text(star.news(spark, folder).select(*NEWS_KEY))
+    rows = files.as_text(mapping.news(spark, folder).select(*NEWS_KEY))
     sinks.append_csv(rows, path)
     sinks.append_csv(rows, path)
     return files.news_items(spark, path)
@@ -687,12 +706,12 @@ ENTITLEMENTS = scope.Entitlements(
 
 @register
 def reportee_closure(spark: SparkSession, folder: str) -> DataFrame:
-    return scope.reportees(star.ref_employee_hierarchy(spark, folder), star.ref_employee_access(spark, folder))
+    return scope.reportees(mapping.ref_employee_hierarchy(spark, folder), mapping.ref_employee_access(spark, folder))
 
 
 @register
 def channel_closure(spark: SparkSession, folder: str) -> DataFrame:
-    return scope.channels_below(star.ref_employee_hierarchy(spark, folder), star.ref_employee_access(spark, folder))
+    return scope.channels_below(mapping.ref_employee_hierarchy(spark, folder), mapping.ref_employee_access(spark, folder))
 
 
 @register
@@ -702,21 +721,21 @@ def channel_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def row_scope(spark: SparkSession, folder: str) -> DataFrame:
-    return scope.row_scope(star.ref_employee_hierarchy(spark, folder), reportee_closure(spark, folder))
+    return scope.row_scope(mapping.ref_employee_hierarchy(spark, folder), reportee_closure(spark, folder))
 
 
 @register
 def row_scope_reportees(spark: SparkSession, folder: str) -> DataFrame:
     """The scope of the market-share report: reportees without the user."""
     return scope.row_scope(
-        star.ref_employee_hierarchy(spark, folder), reportee_closure(spark, folder), include_self=False
+        mapping.ref_employee_hierarchy(spark, folder), reportee_closure(spark, folder), include_self=False
     )
 
 
 @register
 def rows_in_scope(spark: SparkSession, folder: str) -> DataFrame:
     """Real channels that employee 1 sees, and what the top employee sees."""
-    access = star.ref_employee_access(spark, folder)
+    access = mapping.ref_employee_access(spark, folder)
     scopes = materialize(row_scope(spark, folder), "scope")
     seen = [
         scope.without_everything(scope.rows_in_scope(access, scopes, user)).withColumn("user", F.lit(user))
@@ -728,7 +747,7 @@ def rows_in_scope(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def scope_key_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Employee and location key texts of the market-share report of employee 1."""
-    access = star.ref_employee_access(spark, folder)
+    access = mapping.ref_employee_access(spark, folder)
     seen = scope.rows_in_scope(access, row_scope_reportees(spark, folder), "U1")
     employees = scope.key_lists(seen.withColumn("kind", F.lit("employees")), "kind", "EMPLOYEE_KEY")
     locations = scope.key_lists(seen.withColumn("kind", F.lit("locations")), "kind", "LOCATION_KEY")
@@ -737,23 +756,32 @@ def scope_key_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def channel_key_texts(spark: SparkSession, folder: str) -> DataFrame:
-    access = scope.without_everything(star.ref_employee_access(spark, folder))
+    access = scope.without_everything(mapping.ref_employee_access(spark, folder))
     return scope.key_lists(access, "CHANNEL_GROUP_DISPLAY_NAME", "CHANNEL_GROUP_KEY")
 
 
 @register
 def may_see_all(spark: SparkSession, folder: str) -> DataFrame:
-    return scope.may_see_all(star.ref_employee_hierarchy(spark, folder), star.ref_employee_access(spark, folder))
+    return scope.may_see_all(mapping.ref_employee_hierarchy(spark, folder), mapping.ref_employee_access(spark, folder))
 
 
 @register
 def employee_roles(spark: SparkSession, folder: str) -> DataFrame:
-    return scope.roles_of(star.ref_employee_hierarchy(spark, folder))
+    return scope.roles_of(mapping.ref_employee_hierarchy(spark, folder))
 
 
 @register
 def entitlement_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return scope.entitlement_matrix(star.ref_employee_hierarchy(spark, folder), ENTITLEMENTS)
+    return scope.entitlement_matrix(mapping.ref_employee_hierarchy(spark, folder), ENTITLEMENTS)
+
+
+@register
+def entitlement_removal(spark: SparkSession, folder: str) -> DataFrame:
+    """The matrix without the dashboard that executives lose."""
+    hierarchy = mapping.ref_employee_hierarchy(spark, folder)
+    executives = hierarchy.where(F.col("EMPLOYEE_ROLE") == scope.EXECUTIVE_ROLE)
+    removals = executives.select("EMPLOYEE_NT_ID", F.lit("client_overview").alias("dashboard"))
+    return scope.remove_entitlement(scope.entitlement_matrix(hierarchy, ENTITLEMENTS), removals)
 
 
 # --- news ---
@@ -774,7 +802,7 @@ def _archive(spark: SparkSession, folder: str) -> str:
     """An archive that got every item twice, in two runs."""
     table = f"{sinks.scratch_database(spark, 'news')}.archive"
     news.create_archive(spark, table)
-    rows = star.news(spark, folder).select(*NEWS_KEY)
+    rows = mapping.news(spark, folder).select(*NEWS_KEY)
     news.archive_items(rows.unionByName(rows), table)
     news.archive_items(rows, table)
     return table
@@ -782,17 +810,17 @@ def _archive(spark: SparkSession, folder: str) -> str:
 
 @register
 def news_parse(spark: SparkSession, folder: str) -> DataFrame:
-    return _news_text(news.items(star.feeds(spark, folder)))
+    return _news_text(news.items(mapping.feeds(spark, folder)))
 
 
 @register
 def news_top10(spark: SparkSession, folder: str) -> DataFrame:
-    return _news_text(news.first_items(news.items(star.feeds(spark, folder))))
+    return _news_text(news.first_items(news.items(mapping.feeds(spark, folder))))
 
 
 @register
 def news_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    rows = star.news(spark, folder).select(*NEWS_KEY)
+    rows = mapping.news(spark, folder).select(*NEWS_KEY)
     return _news_text(news.deduplicated(rows.unionByName(rows)))
 
 
@@ -803,36 +831,36 @@ def news_archive_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def news_visible(spark: SparkSession, folder: str) -> DataFrame:
-    archive = star.news(spark, folder).select(*NEWS_KEY)
+    archive = mapping.news(spark, folder).select(*NEWS_KEY)
     hosts = ("www.example.com", "THTHRE.example.com", "m.ththth.example.net")
     return _news_text(news.visible(archive, _now(), hosts, days=3))
 
 
 @register
 def news_fresh_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return news.fresh_counts(star.news(spark, folder), _now(), days=3)
+    return news.fresh_counts(mapping.news(spark, folder), _now(), days=3)
 
 
 def _terms(spark: SparkSession, folder: str) -> DataFrame:
     """The terms of the items, and the nation names, for which there is no news."""
-    found = star.news(spark, folder).select(F.col("SearchTerm").alias("term")).distinct()
-    return found.unionByName(star.table(spark, folder, "nation").select(F.col("n_name").alias("term")))
+    found = mapping.news(spark, folder).select(F.col("SearchTerm").alias("term")).distinct()
+    return found.unionByName(mapping.table(spark, folder, "nation").select(F.col("n_name").alias("term")))
 
 
 @register
 def news_terms_to_fetch(spark: SparkSession, folder: str) -> DataFrame:
-    return news.terms_to_fetch(_terms(spark, folder), star.news(spark, folder), _now())
+    return news.terms_to_fetch(_terms(spark, folder), mapping.news(spark, folder), _now())
 
 
 @register
 def news_ticker(spark: SparkSession, folder: str) -> DataFrame:
-    return news.ticker(star.news(spark, folder), _terms(spark, folder), _now(), ("m.ththth.example.net",))
+    return news.ticker(mapping.news(spark, folder), _terms(spark, folder), _now(), ("m.ththth.example.net",))
 
 
 @register
 def term_mapping(spark: SparkSession, folder: str) -> DataFrame:
     """Product names as search terms; each has two mapping rows, the first one counts."""
-    parts = star.table(spark, folder, "part")
+    parts = mapping.table(spark, folder, "part")
     chosen = parts.select(F.concat(F.upper("p_name"), F.lit("'s & \"Co\"/"), F.col("p_type")).alias("term"))
     mapping = parts.groupBy("p_name").agg(F.min("p_size").alias("size"), F.max("p_size").alias("largest"))
     encoded = F.concat(F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("s%20%26%20co/economy"))
@@ -848,7 +876,7 @@ def term_mapping(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def news_fields(spark: SparkSession, folder: str) -> DataFrame:
     """Term and name clean-up on titles and sources."""
-    rows = star.news(spark, folder)
+    rows = mapping.news(spark, folder)
     return rows.select(
         "page_id",
         news_functions.compact_term(F.col("Title")).alias("compact"),
@@ -862,7 +890,7 @@ def news_fields(spark: SparkSession, folder: str) -> DataFrame:
 def news_stream_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Feed files read as a stream, twice, into one archive."""
     path = scratch_path(spark, "feeds")
-    star.feeds(spark, folder).write.parquet(path)
+    mapping.feeds(spark, folder).write.parquet(path)
     table = f"{sinks.scratch_database(spark, 'stream')}.archive"
     news.create_archive(spark, table)
     for _ in range(2):

@@ -1 +1 @@
-"""Readers, table writers and the mapping of the given star-schema tables to the logical tables."""
+"""Readers, table writers and the mapping of the given tables to the logical tables."""

@@ -1,4 +1,4 @@
-"""The logical tables, derived from a TPC-H-like star schema (``lineitem``, ``orders``, ... and ``pages``).
+"""The logical tables, derived from the given ones (``lineitem``, ``orders``, ... and ``pages``).
 
 Joins carry no broadcast hints: Spark's own size threshold broadcasts small dimensions, larger ones are
 shuffled, and adaptive execution splits skewed partitions.

@@ -4,7 +4,7 @@ from helpers import fact, rows
 from reachlens.operators import affinity, present
 from reachlens.plans import dashboard, weekly
 from reachlens.schemas import REF_CH_GROUP_TG_MKT, REF_GENRE_TG_MKT
-from reachlens.sources import star
+from reachlens.sources import mapping
 
 SELECTION = affinity.Selection(1, "ADGRP", affinity.Cell(1, 1), affinity.Cell(11, 1), 201501, 201552)
 
@@ -95,7 +95,7 @@ def test_unknown_metric_is_refused():
 def test_rollups_and_fact_give_the_same_request(spark, small, level):
     from reachlens.plans.queries import SELECTION as chosen
 
-    parts = star.fact(spark, small), star.ref_genre_tg_mkt(spark, small), star.ref_ch_group_tg_mkt(spark, small)
+    parts = mapping.fact(spark, small), mapping.ref_genre_tg_mkt(spark, small), mapping.ref_ch_group_tg_mkt(spark, small)
     through_rollups = dashboard.enriched(weekly.Rollups(*parts), chosen, level)
     from_fact = dashboard.enriched(weekly.FactOnly(*parts), chosen, level)
     names = through_rollups.columns

@@ -5,7 +5,7 @@ from helpers import plan_text
 
 from reachlens.operators import affinity, rollups
 from reachlens.plans import queries, weekly
-from reachlens.sources import sinks, star
+from reachlens.sources import mapping, sinks
 
 LAZY = [
     "prog_rollup",
@@ -32,27 +32,27 @@ def test_no_python_and_no_cross_join(spark, small, name):
 
 
 def test_week_range_reaches_the_scan(spark, small):
-    plan = plan_text(star.fact(spark, small, (199601, 199652)))
+    plan = plan_text(mapping.fact(spark, small, (199601, 199652)))
     assert "GreaterThanOrEqual(l_shipdate,1996-01-06" in plan
     assert "LessThan(l_shipdate,1997-01-01" in plan
 
 
 def test_rollup_reads_no_text_it_does_not_need(spark, small):
     """The program name is not part of the program roll-up, so it is not read."""
-    plan = plan_text(rollups.program_rollup(star.fact(spark, small), names_follow_keys=True))
+    plan = plan_text(rollups.program_rollup(mapping.fact(spark, small), names_follow_keys=True))
     assert "p_name" not in plan
     assert "o_totalprice" not in plan
 
 
 def test_rollup_with_clean_names_needs_no_sort(spark, small):
-    data = star.fact(spark, small)
+    data = mapping.fact(spark, small)
     assert "SortAggregate" not in plan_text(rollups.program_rollup(data, names_follow_keys=True))
 
 
 def test_equal_tables_are_aggregated_once(spark, small):
     """Genre totals and level totals come from the same frame at the genre level."""
     frames = weekly.Rollups(
-        star.fact(spark, small), star.ref_genre_tg_mkt(spark, small), star.ref_ch_group_tg_mkt(spark, small), True
+        mapping.fact(spark, small), mapping.ref_genre_tg_mkt(spark, small), mapping.ref_ch_group_tg_mkt(spark, small), True
     )
     cells = affinity.cell_totals(frames, queries.SELECTION, affinity.GENRE)
     assert cells.genre is cells.totals
@@ -63,9 +63,9 @@ def test_equal_tables_are_aggregated_once(spark, small):
 
 def test_week_range_prunes_table_partitions(spark, small):
     frames = weekly.Rollups(
-        star.fact(spark, small).where("WEEK_KEY between 199605 and 199609"),
-        star.ref_genre_tg_mkt(spark, small),
-        star.ref_ch_group_tg_mkt(spark, small),
+        mapping.fact(spark, small).where("WEEK_KEY between 199605 and 199609"),
+        mapping.ref_genre_tg_mkt(spark, small),
+        mapping.ref_ch_group_tg_mkt(spark, small),
         True,
     )
     written = weekly.write_tables(frames, sinks.scratch_database(spark, "p"), ["program"])

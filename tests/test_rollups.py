@@ -5,7 +5,7 @@ from helpers import fact, rows
 from reachlens.operators import rollups, weeks
 from reachlens.plans import weekly
 from reachlens.schemas import REF_CH_GROUP_TG_MKT, REF_GENRE_TG_MKT
-from reachlens.sources import sinks, star
+from reachlens.sources import mapping, sinks
 
 
 def channel_reference(spark, *cells):
@@ -32,7 +32,7 @@ def test_one_name_per_key(spark):
 
 
 def test_name_shortcut_changes_nothing_for_clean_names(spark, small):
-    clean = star.fact(spark, small)
+    clean = mapping.fact(spark, small)
     for build in (rollups.program_rollup, rollups.show_rollup):
         full, short = build(clean), build(clean, names_follow_keys=True)
         assert full.exceptAll(short).isEmpty()
