@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reachlens.functions import calendar, text
 from reachlens.functions import news as news_functions
-from reachlens.operators import affinity, insights, news, params, present, scope, weeks
+from reachlens.operators import affinity, insights, news, params, present, rollups, scope, weeks
 from reachlens.plans import dashboard, weekly
 from reachlens.schemas import METRICS, NEWS_KEY, SOURCE_NEWER
 from reachlens.session import materialize, scratch_path
@@ -70,19 +70,27 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 # --- weekly roll-ups ---
 
 
+def _program(spark: SparkSession, folder: str) -> DataFrame:
+    return rollups.program_rollup(mapping.fact(spark, folder), names_follow_keys=True)
+
+
+def _genre_channel(spark: SparkSession, folder: str) -> DataFrame:
+    return rollups.genre_channel_rollup(_program(spark, folder))
+
+
 @register
 def prog_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    return _doubles(_build(spark, folder).program, *METRICS)
+    return _doubles(_program(spark, folder), *METRICS)
 
 
 @register
 def genre_channel_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    return _doubles(_build(spark, folder).genre_channel, *METRICS)
+    return _doubles(_genre_channel(spark, folder), *METRICS)
 
 
 @register
 def show_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    return _doubles(_build(spark, folder).show, *METRICS)
+    return _doubles(rollups.show_rollup(mapping.fact(spark, folder), names_follow_keys=True), *METRICS)
 
 
 @register
@@ -422,12 +430,12 @@ def week_retention(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def max_week(spark: SparkSession, folder: str) -> DataFrame:
-    return weeks.max_week(_build(spark, folder).genre_channel)
+    return weeks.max_week(_genre_channel(spark, folder))
 
 
 @register
 def default_end_date(spark: SparkSession, folder: str) -> DataFrame:
-    return weeks.default_selection(_build(spark, folder).genre_channel)
+    return weeks.default_selection(_genre_channel(spark, folder))
 
 
 @register
@@ -539,7 +547,7 @@ def dates_as_text(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def client_list(spark: SparkSession, folder: str) -> DataFrame:
     return params.names_with_keys(
-        _build(spark, folder).program, "ADVERTISERS_GROUP_KEY", "ADVERTISERS_GROUP_DISPLAY_NAME"
+        _program(spark, folder), "ADVERTISERS_GROUP_KEY", "ADVERTISERS_GROUP_DISPLAY_NAME"
     )
 
 

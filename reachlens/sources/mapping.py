@@ -43,6 +43,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(GIVEN[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Share the rows out when a table has fewer splits than the session has cores.
+
+    A file with a single row group is one task, and the joins and sums behind it would be too. A table of
+    many files has splits enough and is read as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _money(column: str) -> Column:
     """Doubles become exact decimals before any arithmetic, so that sums do not depend on row order."""
     return F.col(column).cast("decimal(15,2)")
@@ -79,6 +89,8 @@ def fact(spark: SparkSession, folder: str, weeks: tuple[int, int] | None = None)
         after = dt.datetime.combine(calendar.week_last_day(weeks[1]), dt.time()) + dt.timedelta(days=1)
         ship = F.col("l_shipdate")
         lines = lines.where((ship >= _ntz(first)) & (ship < _ntz(after)))
+    else:
+        lines = _spread(lines)
     nation = table(spark, folder, "nation")
     network = nation.select(
         F.col("n_nationkey").alias("NETWORK_KEY"),
@@ -164,13 +176,15 @@ def ref_tg_mkt(spark: SparkSession, folder: str) -> DataFrame:
 
 def _with_base_cells(keyed: DataFrame, key: str) -> DataFrame:
     """Two base cells per key, one per measurement source."""
-    offsets = F.explode(F.array(F.lit(0), F.lit(NEWER_OFFSET)))
-    return (
-        keyed.withColumn("offset", offsets)
-        .withColumn("TG_KEY", (F.col(key) % 3 + 1 + F.col("offset")).cast("int"))
-        .withColumn("MARKET_KEY", (F.col(key) % 5 + 1).cast("int"))
-        .withColumn("SOURCE", _source_of(F.col("TG_KEY")))
-        .withColumns(_cell_names(F.col("TG_KEY"), F.col("MARKET_KEY")))
+    offsets = F.explode(F.array(F.lit(0), F.lit(NEWER_OFFSET))).alias("offset")
+    tg = (F.col(key) % 3 + 1 + F.col("offset")).cast("int")
+    market = (F.col(key) % 5 + 1).cast("int")
+    return keyed.select("*", offsets).select(
+        *keyed.columns,
+        tg.alias("TG_KEY"),
+        market.alias("MARKET_KEY"),
+        _source_of(tg).alias("SOURCE"),
+        *[column.alias(name) for name, column in _cell_names(tg, market).items()],
     )
 
 
