@@ -870,12 +870,12 @@ def term_mapping(spark: SparkSession, folder: str) -> DataFrame:
     """Product names as search terms; each has two mapping rows, the first one counts."""
     parts = mapping.table(spark, folder, "part")
     chosen = parts.select(F.concat(F.upper("p_name"), F.lit("'s & \"Co\"/"), F.col("p_type")).alias("term"))
-    mapping = parts.groupBy("p_name").agg(F.min("p_size").alias("size"), F.max("p_size").alias("largest"))
+    sizes = parts.groupBy("p_name").agg(F.min("p_size").alias("size"), F.max("p_size").alias("largest"))
     encoded = F.concat(F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("s%20%26%20co/economy"))
-    first = mapping.select(
+    first = sizes.select(
         F.lit(1).alias("ordinal"), encoded.alias("searchterm"), F.concat_ws(" ", "p_name", "size").alias("to_be_searched")
     )
-    second = mapping.select(
+    second = sizes.select(
         F.lit(2).alias("ordinal"), encoded.alias("searchterm"), F.concat_ws(" ", "p_name", "largest").alias("to_be_searched")
     )
     return news.mapped_terms(chosen.distinct(), second.unionByName(first))
