@@ -1,0 +1,42 @@
+"""The registered queries of this subpackage: thin uses of the operators with their production settings."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+from reachlens.llm import substrings
+
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this repository; a cluster ships it with --py-files or installs it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def registered(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        importable(spark)
+        return query(spark, folder)
+
+    QUERIES[query.__name__] = run
+    return run
+
+
+@registered
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document that repeat 20 or more words from earlier in the corpus are cut."""
+    return substrings.remove_repeats(table(spark, folder, "documents"), with_text=False)
