@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import substrings
+from reachlens.llm import decontaminate, simhash, substrings
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -36,7 +36,39 @@ def registered(query: Query) -> Query:
     return run
 
 
+@registered
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold 80 % or more of the distinct five-word shingles of a benchmark item."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op1_decontamination"] = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-/:-`{-\x7f]+') AS w FROM documents WHERE text IS NOT NULL
+), item_words AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[^\x00-/:-`{-\x7f]+') AS w FROM benchmark WHERE text IS NOT NULL
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM doc_words WHERE len(w) > 0)
+), item_shingles AS (
+  SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM item_words WHERE len(w) > 0)
+), sizes AS (
+  SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id
+)
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_contained, count(*) / n::DOUBLE AS containment
+FROM doc_shingles JOIN item_shingles USING (s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
+"""
+
+
 @registered
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each document that repeat 20 or more words from earlier in the corpus are cut."""
     return substrings.remove_repeats(table(spark, folder, "documents"), with_text=False)
+
+
+@registered
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Four-word SimHash fingerprints, linked at four or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
