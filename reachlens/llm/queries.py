@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import decontaminate, simhash, substrings
+from reachlens.llm import decontaminate, packing, simhash, substrings
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -68,6 +68,19 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents"), with_text=False)
 
 
+def tokenizer_file() -> str:
+    """The production setting of the tokenizer's path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@registered
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    return packing.pack(table(spark, folder, "documents"), packing.Packing(str(tokenizer_file())))
+
+
 @registered
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Four-word SimHash fingerprints, linked at four or fewer differing bits."""
