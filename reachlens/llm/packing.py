@@ -136,10 +136,14 @@ def _cut(rule: Packing):
 
 
 class Plan:
-    """Groups of equal sequences for given counts of pieces by length."""
+    """Groups of equal sequences for given counts of pieces by length.
 
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.capacity, self.groups = capacity, []
+    ``depth``: lengths that an exact complement may have. Complements of many short lengths use up what would fill the
+    last gaps, so ``fewest`` plans with every depth and takes the one with the fewest sequences.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int, depth: int = 3):
+        self.capacity, self.depth, self.groups = capacity, depth, []
         left = np.zeros(capacity + 1, dtype=np.int64)
         for length, count in counts.items():
             left[length] = count
@@ -149,6 +153,13 @@ class Plan:
                 self._use(lengths)
         self._best_fit()
 
+    @classmethod
+    def fewest(cls, counts: dict[int, int], capacity: int) -> Plan:
+        return min((cls(counts, capacity, depth) for depth in (3, 2, 1, 0)), key=cls.sequences)
+
+    def sequences(self) -> int:
+        return sum(times for _, times in self.groups)
+
     def _use(self, lengths: tuple[int, ...]) -> None:
         wanted = Counter(lengths)
         times = min(int(self._left[n]) // need for n, need in wanted.items())
@@ -173,10 +184,16 @@ class Plan:
         gap, one = self.capacity - length, Counter([length])
         if not gap:
             return (length,)
+        if not self.depth:
+            return None
         if self._left[gap] >= 1 + (gap == length):
             return (length, gap)
+        if self.depth == 1:
+            return None
         if pair := self._pair(gap, one):
             return (length, *pair)
+        if self.depth == 2:
+            return None
         for third in np.flatnonzero(self._left[: gap - 1])[::-1].tolist():
             if self._left[third] > one[third] and (pair := self._pair(gap - third, one + Counter([third]))):
                 return (length, third, *pair)
@@ -244,7 +261,7 @@ def pack(docs: DataFrame, rule: Packing, id_column: str = "doc_id", text_column:
     before = F.coalesce(F.sum("own").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = materialize(by_task.withColumn("before", before), "piece-counts")
     counts = offsets.groupBy("length").agg(F.sum("own")).collect()  # one row for each length at most
-    plan = Plan({length: count for length, count in counts}, rule.capacity)
+    plan = Plan.fewest({length: count for length, count in counts}, rule.capacity)
     numbered = pieces.join(offsets, ["length", "task"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("number")).alias("number")
     )
