@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import decontaminate, packing, simhash, substrings
+from reachlens.llm import decontaminate, language, packing, simhash, substrings
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -85,3 +85,10 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Four-word SimHash fingerprints, linked at four or fewer differing bits."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@registered
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, by code lengths under context trees of the labelled ones."""
+    found = language.identify(table(spark, folder, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_symbol")
