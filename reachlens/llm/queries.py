@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import decontaminate, language, packing, simhash, substrings
+from reachlens.llm import decontaminate, language, packing, prefix_forest, simhash, substrings
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -92,3 +92,9 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, by code lengths under context trees of the labelled ones."""
     found = language.identify(table(spark, folder, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_symbol")
+
+
+@registered
+def op8_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth one."""
+    return prefix_forest.search(table(spark, folder, "embeddings"))
