@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import decontaminate, language, packing, prefix_forest, simhash, substrings
+from reachlens.llm import decontaminate, language, packing, prefix_forest, simhash, substrings, warc
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -62,6 +62,28 @@ GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
 """
 
 
+@registered
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to dictionary-compressed WARC archives and read back."""
+    found = warc.round_trip(table(spark, folder, "pages"), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op2_warc"] = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), parts AS (
+  SELECT *, list_transform(range(0, 4), lambda k: ('0x' || substr(h, 1 + 10 * k, 10))::BIGINT) AS fives FROM hashed
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((fives[1 + i // 8] >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = min(page_id) OVER (PARTITION BY h) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id > min(page_id) OVER (PARTITION BY h) THEN min(page_id) OVER (PARTITION BY h) END AS refers_to
+FROM parts
+"""
+
+
 @registered
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each document that repeat 20 or more words from earlier in the corpus are cut."""
