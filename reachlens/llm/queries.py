@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import decontaminate, language, packing, prefix_forest, simhash, substrings, warc
+from reachlens.llm import decontaminate, language, packing, prefix_forest, sharding, simhash, substrings, warc
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -120,3 +120,9 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op8_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors found for every hundredth one."""
     return prefix_forest.search(table(spark, folder, "embeddings"))
+
+
+@registered
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight shards by a Feistel permutation of the row numbers."""
+    return sharding.shard(table(spark, folder, "documents")).drop("number")
