@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import decontaminate, language, packing, prefix_forest, sharding, simhash, substrings, warc
+from reachlens.llm import decontaminate, language, packing, prefix_forest, secret_scan, sharding, simhash, substrings, warc
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -90,6 +90,12 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents"), with_text=False)
 
 
+@registered
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of known formats and random-looking tokens in every document."""
+    return secret_scan.scan(table(spark, folder, "documents")).drop("found")
+
+
 def tokenizer_file() -> str:
     """The production setting of the tokenizer's path."""
     import public_tokenizers
