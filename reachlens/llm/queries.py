@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import decontaminate, language, packing, prefix_forest, secret_scan, sharding, simhash, substrings, warc
+from reachlens.llm import decontaminate, language, packing, pii, prefix_forest, secret_scan, sharding, simhash, substrings, warc
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -132,3 +132,9 @@ def op8_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards by a Feistel permutation of the row numbers."""
     return sharding.shard(table(spark, folder, "documents")).drop("number")
+
+
+@registered
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.scan(table(spark, folder, "documents")).drop("found")
