@@ -244,7 +244,8 @@ def write_archives(
     records = told.select(
         "page_id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "size", "digest", "revisit", "first"
     )
-    lines = records.mapInArrow(_write(rule), "frame binary").select(F.col("frame").cast("string").alias("value"))
+    # The join may have made more partitions than asked for; they are put together without another shuffle.
+    lines = records.coalesce(archives).mapInArrow(_write(rule), "frame binary").select(F.col("frame").cast("string").alias("value"))
     lines.write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
 
 
