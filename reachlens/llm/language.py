@@ -226,7 +226,10 @@ def identify(
 def keep_identified(
     docs: DataFrame, rule: Training = Training(), id_column: str = "doc_id", lang_column: str = "lang", text_column: str = "text"
 ) -> DataFrame:
-    """The rows whose language can be told; all columns stay as they are."""
+    """The rows whose language can be told; all columns stay as they are.
+
+    Null texts and texts without a letter go. Without a single labelled text no language can be told, so no row stays.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, rule, id_column, lang_column, text_column))
     plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs[text_column].alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
