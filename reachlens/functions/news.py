@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Month names of a feed date, and the mark-up around the source name in a description.
+# Month names of a feed date, the mark-up around the source name in a description, the mark-up of an
+# item, and the notice of a term without items.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 SOURCE_PATTERN = '<font color="#6f6f6f">([^<]*)</font>'
+ANCHOR = '<a target = "blank" class="tab" href="%s">%s</a>'
 NO_DATA = "No Data Available"
 
 _FEED_DATE = r"^\w{3}, (\d{1,2}) (\w{3}) (\d{4}) (\d{2}:\d{2}:\d{2}) \w+$"
@@ -35,7 +37,7 @@ def source_name(description: Column) -> Column:
 
 
 def anchor(title: Column, link: Column) -> Column:
-    return F.format_string('<a target = "blank" class="tab" href="%s">%s</a>', link, title)
+    return F.format_string(ANCHOR, link, title)
 
 
 def compact_term(term: Column) -> Column:

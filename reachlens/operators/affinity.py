@@ -200,45 +200,30 @@ def cell_totals(rollups, selection: Selection, level: Level) -> CellTotals:
     )
 
 
-def sums_in_one_pass(fact: DataFrame, references: dict[Level, DataFrame], selection: Selection) -> DataFrame:
-    """Everything that requests at the levels of ``references`` need from the fact, in one aggregation.
+def sums_of_request(fact: DataFrame, selection: Selection, level: Level) -> DataFrame:
+    """Cell sums of all advertisers and of the chosen one, side by side, per row of the level.
 
-    The grain holds the keys and names of all those levels. Next to the cell sums of all advertisers
-    and of the chosen one there is, per level, the metric in the base cell. A reference row that
-    occurs twice counts its rows twice, as a join with it does.
+    The tests on weeks and cells stand alone on the fact, so they reach the scans below its joins.
     """
-    metric = F.col(selection.metric)
-    rows = fact.where(selection.in_weeks())
-    columns = ["GENRE_DISPLAY_NAME", "NETWORK_DISPLAY_NAME"]
-    wanted, bases = selection.in_cells(), []
-    for level, reference in references.items():
-        columns += [level.category_key, level.level_key, level.category, level.level]
-        cell = [level.base_key, "TG_KEY", "MARKET_KEY"]
-        times = F.count(F.lit(1)).cast("int").alias(f"{level.base}_times")
-        rows = rows.join(reference.groupBy(*cell).agg(times), cell, "left")
-        in_base = F.col(f"{level.base}_times").isNotNull()
-        wanted = wanted | in_base
-        bases.append(F.sum(F.when(in_base, metric * F.col(f"{level.base}_times"))).alias(level.base))
-    return (
-        rows.where(wanted)
-        .groupBy(*dict.fromkeys(columns))
-        .agg(*_side_by_side(selection), *_side_by_side(selection, "client_", selection.of_client()), *bases)
-    )
+    chosen = fact.where(selection.in_weeks() & selection.in_cells())
+    sums = [*_side_by_side(selection), *_side_by_side(selection, "client_", selection.of_client())]
+    return chosen.groupBy(*_pair_columns(level)).agg(*sums)
 
 
-def split_sums(sums: DataFrame, level: Level) -> tuple[CellTotals, DataFrame]:
-    """Cell totals and affinity denominators of one level from :func:`sums_in_one_pass`."""
+def split_sums(sums: DataFrame) -> CellTotals:
+    """Cell totals from :func:`sums_of_request`."""
+    keys = ["cat_key", "level_key", *NAMES]
     parts = ["older", "newer", "older_rows", "newer_rows"]
+    of_client = sums.where((F.col("client_older_rows") > 0) | (F.col("client_newer_rows") > 0))
+    client = of_client.select(*keys, *[F.col(f"client_{part}").alias(part) for part in parts])
+    totals = sums.select(*keys, *parts)
+    return CellTotals(totals=totals, genre=totals, client=client, client_genre=client)
 
-    def cells(prefix: str) -> DataFrame:
-        frame = sums.where((F.col(f"{prefix}older_rows") > 0) | (F.col(f"{prefix}newer_rows") > 0))
-        return frame.groupBy(*_pair_columns(level)).agg(*[F.sum(f"{prefix}{part}").alias(part) for part in parts])
 
-    totals, client = cells(""), cells("client_")
-    names = sums.select(F.col(level.category).alias("category"), F.col(level.level).alias("level"), level.base)
-    named = names.dropna(subset=["category", "level"]).groupBy("category", "level")
-    denominator = named.agg(F.sum(level.base).alias("affinity_denom"))
-    return CellTotals(totals=totals, genre=totals, client=client, client_genre=client), denominator
+def at_base_cells(fact: DataFrame, reference: DataFrame, level: Level) -> DataFrame:
+    """Rows of the fact in the base cell of their category; once per reference row that names the cell."""
+    cell = [level.base_key, "TG_KEY", "MARKET_KEY"]
+    return fact.join(reference.select(*cell), cell)
 
 
 def _per_key(sums: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -397,26 +382,13 @@ def enrich_channels(insights: DataFrame, denominator: DataFrame) -> DataFrame:
     )
 
 
-def exploration(
-    fact: DataFrame, tg_name: str, market_name: str, metric: str, since_year: int, per_advertiser: bool = False
-) -> DataFrame:
-    """Metric by genre and network in one named cell, for all advertisers or per advertiser.
-
-    ``fact`` carries ``TG_DISPLAY_NAME`` and ``MARKET_DISPLAY_NAME``.
-    """
+def exploration(fact: DataFrame, cell: Cell, metric: str, since_year: int, per_advertiser: bool = False) -> DataFrame:
+    """Metric by genre and network in one cell, for all advertisers or per advertiser."""
     keys = ["GENRE_DISPLAY_NAME", "NETWORK_DISPLAY_NAME"]
     if per_advertiser:
         keys = ["ADVERTISERS_GROUP_DISPLAY_NAME", *keys]
-    return (
-        fact.where(
-            (F.col("TG_DISPLAY_NAME") == tg_name)
-            & (F.col("MARKET_DISPLAY_NAME") == market_name)
-            & (F.col("BARC_WEEK") >= 0)
-            & (F.col("CALENDAR_YEAR") >= since_year)
-        )
-        .groupBy(*keys)
-        .agg(F.sum(metric).alias("prog_metric"))
-    )
+    chosen = fact.where(cell.matches() & (F.col("BARC_WEEK") >= 0) & (F.col("CALENDAR_YEAR") >= since_year))
+    return chosen.groupBy(*keys).agg(F.sum(metric).alias("prog_metric"))
 
 
 def base_by_upper_name(
@@ -453,8 +425,11 @@ def base_by_upper_name(
         )
     )
     wanted = pairs.select("category", "level", "cat_key", "level_key", F.inline(cells))
+    # The distinct cells are few, the rows of all other cells are not summed.
+    cells_wanted = wanted.select("TG_KEY", "MARKET_KEY").distinct()
     sums = (
         rollup.where(selection.in_weeks())
+        .join(cells_wanted, ["TG_KEY", "MARKET_KEY"], "left_semi")
         .groupBy(
             F.col(level.category_key).alias("cat_key"),
             F.col(level.level_key).alias("level_key"),

@@ -47,9 +47,10 @@ def deduplicated(df: DataFrame) -> DataFrame:
 
 
 def terms_to_fetch(terms: DataFrame, archive: DataFrame, now: Column, days: int = FRESH_DAYS) -> DataFrame:
-    """Search terms without an archived item newer than ``days``."""
+    """Search terms, in lower case, without an archived item newer than ``days``; case doesn't tell terms apart."""
     fresh = archive.where(F.col("PublishDate") > now - F.make_dt_interval(F.lit(days)))
-    return terms.join(fresh.select(F.col("SearchTerm").alias("term")).distinct(), "term", "left_anti")
+    asked = terms.select(F.lower("term").alias("term")).distinct()
+    return asked.join(fresh.select(F.lower("SearchTerm").alias("term")).distinct(), "term", "left_anti")
 
 
 def fresh_counts(archive: DataFrame, now: Column, days: int = FRESH_DAYS) -> DataFrame:
@@ -94,6 +95,15 @@ def ticker(archive: DataFrame, terms: DataFrame, now: Column, excluded=EXCLUDED_
     )
 
 
+def ticker_of_choices(
+    archive: DataFrame, chosen: DataFrame, mapping: DataFrame, now: Column, excluded=EXCLUDED_SOURCES
+) -> DataFrame:
+    """The ticker of chosen terms: each is cleaned, replaced by its mapping, and that term's items are shown."""
+    mapped = mapped_terms(chosen, mapping)
+    shown = ticker(archive, mapped.select(F.col("search_term").alias("term")).distinct(), now, excluded)
+    return mapped.join(shown.withColumnRenamed("term", "search_term"), "search_term").select("term", "search_term", "anchor")
+
+
 def create_archive(spark: SparkSession, table: str) -> None:
     """The archive: the five key columns, partitioned by day of publication."""
     sinks.create_if_missing(spark, table, ARCHIVE, [ARCHIVE_DAY])
@@ -102,7 +112,7 @@ def create_archive(spark: SparkSession, table: str) -> None:
 def archive_items(rows: DataFrame, table: str) -> None:
     """Add the items that the archive does not hold yet, each once.
 
-    Every column of the key is required. Only the days of the new items are read from the archive.
+    Every column of the key is required. Only days from the first to the last of the new items are read.
     """
     complete = rows.select(*NEWS_KEY).dropna().withColumn(ARCHIVE_DAY, F.to_date("PublishDate"))
     sinks.insert_ignore(complete, table, NEWS_KEY, prune=ARCHIVE_DAY)

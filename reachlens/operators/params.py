@@ -22,8 +22,13 @@ class InvalidParameter(ValueError):
 
 
 def names_with_keys(df: DataFrame, key: str, name: str) -> DataFrame:
-    """One row per key with its cleaned name; rows without key or name are left out."""
-    pairs = df.select(F.col(key).alias("key"), F.col(name).alias("name")).dropna().distinct()
+    """One row per key with its cleaned name; rows without key or name are left out.
+
+    Rows are first counted per pair, a hash aggregation that combines before the shuffle; the count is used, else
+    the optimizer would drop that step and sort every row for the text maximum.
+    """
+    named = df.select(F.col(key).alias("key"), F.col(name).alias("name")).dropna()
+    pairs = named.groupBy("key", "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
     return pairs.groupBy("key").agg(ascii_only(F.max("name")).alias("name"))
 
 

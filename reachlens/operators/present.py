@@ -216,6 +216,24 @@ def export_selection(spark: SparkSession, selection: dict[str, str]) -> DataFram
     return spark.createDataFrame(rows, "position int, name string, value string")
 
 
+def export_with_selection(rows: DataFrame, selection: dict[str, str]) -> DataFrame:
+    """The lines of an export as texts: ``block`` 0 is the selection, 1 the column titles, 2 the rows.
+
+    ``line`` orders the lines of the first two blocks; rows keep the export's own order by their values.
+    """
+    spark, names = rows.sparkSession, rows.columns
+    columns = [f"c{i}" for i in range(len(names))]
+    blank = [None] * (len(names) - 2)
+    head = [(0, i, name, value, *blank) for i, (name, value) in enumerate(selection.items())] + [(1, 0, *names)]
+    schema = "block int, line int, " + ", ".join(f"{column} string" for column in columns)
+    texts = [
+        F.col(f"`{name}`").cast("decimal(20,2)" if kind == "double" else "string").cast("string").alias(column)
+        for (name, kind), column in zip(rows.dtypes, columns)
+    ]
+    body = rows.select(F.lit(2).alias("block"), F.lit(None).cast("int").alias("line"), *texts)
+    return spark.createDataFrame(head, schema).unionByName(body)
+
+
 def base_markets(reference: DataFrame, name: str) -> DataFrame:
     """Base cell text per name and measurement source; a missing one is empty."""
     pivoted = (

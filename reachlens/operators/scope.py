@@ -18,7 +18,7 @@ EVERYTHING = "ALL"
 NO_ROLE = "NONE"
 FIRST_GROUP = "GROUP 1"
 
-# Keys per text of a key list; a longer list continues in further rows.
+# Width of the key range of one text of a key list.
 LIST_KEYS = 1000
 
 
@@ -140,19 +140,18 @@ def may_see_all(hierarchy: DataFrame, access: DataFrame) -> DataFrame:
 
 
 def key_lists(df: DataFrame, name: str, key: str, most: int = LIST_KEYS) -> DataFrame:
-    """Distinct keys per name joined by ``;``, in order.
+    """Distinct keys per name joined by ``;``, in parts by key range.
 
-    A name with more than ``most`` keys gets several rows (``part`` 0, 1, ...) of about that many keys,
-    so no single value grows with the data; together the rows hold every key.
+    Part n has the numeric keys from ``n * most`` on in numeric order, part -1 the keys that are no number, in order
+    of their text. The form is the same whatever the number of keys, a part never has more than ``most`` numbers, and
+    the parts of a name in their order are the sorted list.
     """
+    number = F.col("key").try_cast("long")
     pairs = df.select(F.col(name).alias("name"), F.col(key).cast("string").alias("key")).dropna().distinct()
-    parts = pairs.groupBy("name").agg(F.ceil(F.count("key") / most).alias("parts"))
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("key"), F.col("parts"))).otherwise(F.lit(0))
-    return (
-        pairs.join(parts, "name")
-        .groupBy("name", part.cast("int").alias("part"))
-        .agg(F.array_join(F.array_sort(F.collect_list("key")), ";").alias("keys"))
-    )
+    ranged = pairs.withColumn("part", F.coalesce(F.floor(number / most), F.lit(-1)).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct(number.alias("number"), "key")))
+    texts = F.transform(ordered, lambda entry: entry["key"])
+    return ranged.groupBy("name", "part").agg(F.array_join(texts, ";").alias("keys"))
 
 
 def role_or_none(role: Column) -> Column:

@@ -204,6 +204,10 @@ ORACLES: dict[str, str] = {
     "enriched_genre": o.query(o.enriched_ctes("genre"), _ENRICHED),
     "enriched_genre_from_tables": o.query(o.enriched_ctes("genre"), _ENRICHED),
     "enriched_channel": o.query(o.enriched_ctes("channel"), _ENRICHED),
+    "enriched_channel_from_tables": o.query(o.enriched_ctes("channel"), _ENRICHED),
+    "enriched_show_from_tables": o.query(
+        [*o.enriched_ctes("show"), _TOP100], _ENRICHED.replace("FROM enriched", "FROM top100")
+    ),
     "enriched_show_top100": o.query([*o.enriched_ctes("show"), _TOP100], _ENRICHED.replace("FROM enriched", "FROM top100")),
     "enriched_show_by_total": o.query(
         o.enriched_ctes("show"),
@@ -320,6 +324,21 @@ ORACLES: dict[str, str] = {
         coalesce(max(TG_MARKET_DISPLAY_NAME) FILTER (WHERE SOURCE = 'CUST_SALES'), '') AS tam,
         coalesce(max(TG_MARKET_DISPLAY_NAME) FILTER (WHERE SOURCE = 'CUST_SALES/BARC'), '') AS barc
       FROM ref_genre GROUP BY 1""",
+    "download_export_selection": o.query(
+        o.enriched_ctes("channel"),
+        """SELECT 0::INTEGER AS block, 0::INTEGER AS line, 'Client' AS c0, n_name AS c1, NULL::VARCHAR AS c2,
+            NULL::VARCHAR AS c3, NULL::VARCHAR AS c4, NULL::VARCHAR AS c5, NULL::VARCHAR AS c6, NULL::VARCHAR AS c7
+          FROM nation WHERE n_nationkey = 3
+          UNION ALL SELECT * FROM (VALUES (0, 1, 'Metric', 'ADGRP', NULL, NULL, NULL, NULL, NULL, NULL),
+            (0, 2, 'Period', '199601 - 199652', NULL, NULL, NULL, NULL, NULL, NULL),
+            (0, 3, 'Level', 'Channel', NULL, NULL, NULL, NULL, NULL, NULL),
+            (1, 0, 'Channel', 'Genre', 'Total AD GRP', 'Genre Share', 'Affinity', 'Client AD GRP',
+              'Client Genre Share', 'Overall Share'))
+          UNION ALL SELECT 2, NULL, category, level, round(prog_metric, 2)::DECIMAL(20,2)::VARCHAR,
+            round(genre_share, 2)::DECIMAL(20,2)::VARCHAR, round(affinity, 2)::DECIMAL(20,2)::VARCHAR,
+            round(client_metric, 2)::DECIMAL(20,2)::VARCHAR, round(client_genre_share, 2)::DECIMAL(20,2)::VARCHAR,
+            round(overall_share, 2)::DECIMAL(20,2)::VARCHAR FROM enriched""",
+    ),
     "download_export": o.query(
         o.enriched_ctes("channel"),
         """SELECT category AS "Channel", level AS "Genre", round(prog_metric, 2) AS "Total AD GRP",

@@ -51,10 +51,14 @@ def _build(spark: SparkSession, folder: str) -> weekly.Rollups:
 
 
 def _request(spark: SparkSession, folder: str, selection: affinity.Selection = SELECTION) -> weekly.Rollups:
+    genres, channels = mapping.ref_genre_tg_mkt(spark, folder), mapping.ref_ch_group_tg_mkt(spark, folder)
     return weekly.FactOnly(
         mapping.fact(spark, folder, selection.weeks),
-        mapping.ref_genre_tg_mkt(spark, folder),
-        mapping.ref_ch_group_tg_mkt(spark, folder),
+        genres,
+        channels,
+        lambda level: mapping.fact(
+            spark, folder, selection.weeks, base_cells=genres if level is affinity.GENRE else channels
+        ),
     )
 
 
@@ -199,21 +203,24 @@ def base_by_upper_name(spark: SparkSession, folder: str) -> DataFrame:
     return _doubles(frame, "affinity_denom")
 
 
-def _named_cells(spark: SparkSession, folder: str) -> DataFrame:
-    cells = mapping.ref_tg_mkt(spark, folder).select("TG_KEY", "MARKET_KEY", "TG_DISPLAY_NAME", "MARKET_DISPLAY_NAME")
-    return mapping.fact(spark, folder).join(cells, ["TG_KEY", "MARKET_KEY"])
+def _explored(spark: SparkSession, folder: str, per_advertiser: bool) -> DataFrame:
+    """Names are looked up among the base cells first; keys and year then reach the scans."""
+    reference = mapping.ref_ch_group_tg_mkt(spark, folder)
+    chosen = spark.createDataFrame([("TG 1 MKT 1",)], "name string")
+    found = params.to_cells(chosen, reference).first()
+    cell = affinity.Cell(found["TG_KEY"], found["MARKET_KEY"])
+    fact = mapping.fact(spark, folder, since=dt.date(1997, 1, 1))
+    return _doubles(affinity.exploration(fact, cell, "ADGRP", 1997, per_advertiser), "prog_metric")
 
 
 @register
 def exploration_all(spark: SparkSession, folder: str) -> DataFrame:
-    frame = affinity.exploration(_named_cells(spark, folder), "TG 1", "MKT 1", "ADGRP", 1997)
-    return _doubles(frame, "prog_metric")
+    return _explored(spark, folder, per_advertiser=False)
 
 
 @register
 def exploration_per_advertiser(spark: SparkSession, folder: str) -> DataFrame:
-    frame = affinity.exploration(_named_cells(spark, folder), "TG 1", "MKT 1", "ADGRP", 1997, per_advertiser=True)
-    return _doubles(frame, "prog_metric")
+    return _explored(spark, folder, per_advertiser=True)
 
 
 # --- insights ---
@@ -386,6 +393,21 @@ def download_export(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(rows.schema).csv(path, header=True)
 
 
+@register
+def download_export_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The export with its leading rows: what was selected, then titles and values, in the order of the file."""
+    level = affinity.CHANNEL
+    client = mapping.table(spark, folder, "nation").where(F.col("n_nationkey") == SELECTION.client).select("n_name")
+    chosen = {
+        "Client": client.first()[0],
+        "Metric": SELECTION.metric,
+        "Period": f"{SELECTION.start} - {SELECTION.end}",
+        "Level": level.title,
+    }
+    rows = present.export_rows(_enriched(spark, folder, level), level, SELECTION.metric)
+    return present.export_with_selection(rows, chosen)
+
+
 # --- calendar and week keys ---
 
 REPAIRED_WEEKS = (199552, 199653, 199752, 199953, 200052)
@@ -414,40 +436,41 @@ def week_key_from_date(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def week_repair(spark: SparkSession, folder: str) -> DataFrame:
-    fact = weeks.set_week_key(mapping.fact(spark, folder))
+    fact = weeks.set_week_key(mapping.spots(spark, folder))
     return _fact_by_week(weeks.repair_year_end(fact, REPAIRED_WEEKS))
 
 
 @register
 def week_shift_older(spark: SparkSession, folder: str) -> DataFrame:
-    return _fact_by_week(weeks.set_week_key(weeks.shift_older_years(mapping.fact(spark, folder))))
+    return _fact_by_week(weeks.set_week_key(weeks.shift_older_years(mapping.spots(spark, folder))))
 
 
 @register
 def week_retention(spark: SparkSession, folder: str) -> DataFrame:
-    return _fact_by_week(weeks.retain_recent(mapping.fact(spark, folder)))
+    return _fact_by_week(weeks.retain_recent(mapping.spots(spark, folder)))
 
 
 @register
 def max_week(spark: SparkSession, folder: str) -> DataFrame:
-    return weeks.max_week(_genre_channel(spark, folder))
+    return weeks.max_week(mapping.spots(spark, folder))
 
 
 @register
 def default_end_date(spark: SparkSession, folder: str) -> DataFrame:
-    return weeks.default_selection(_genre_channel(spark, folder))
+    return weeks.default_selection(mapping.spots(spark, folder))
 
 
 @register
 def end_date_per_week(spark: SparkSession, folder: str) -> DataFrame:
     """The default end date for every week that could be the newest one."""
-    keys = mapping.fact(spark, folder).select("WEEK_KEY").distinct()
+    keys = mapping.spots(spark, folder).select("WEEK_KEY").distinct()
     return keys.select("WEEK_KEY", calendar.default_end_date(F.col("WEEK_KEY")).alias("end_date"))
 
 
 @register
 def latest_dates(spark: SparkSession, folder: str) -> DataFrame:
-    revenue = weeks.max_date(mapping.fact_cust_rev_agg_dly(spark, folder)).select(F.lit("revenue").alias("fact"), "max_date")
+    orders = mapping.table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("PRG_DATE"))
+    revenue = weeks.max_date(orders).select(F.lit("revenue").alias("fact"), "max_date")
     breaks = weeks.max_date(mapping.fact_cust_break_agg_dly(spark, folder)).select(F.lit("break").alias("fact"), "max_date")
     return revenue.unionByName(breaks)
 
@@ -518,6 +541,43 @@ def incremental_base_rebuild(spark: SparkSession, folder: str) -> DataFrame:
     return _doubles(_rebuilt(spark, folder, _GENRE_TABLES).genre_base, *METRICS)
 
 
+@register
+def incremental_show_rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    return _doubles(_rebuilt(spark, folder, ["show"]).show, *METRICS)
+
+
+@register
+def incremental_show_base_rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    return _doubles(_rebuilt(spark, folder, ["show", "show_base"]).show_base, *METRICS)
+
+
+@register
+def incremental_channel_base_rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    return _doubles(_rebuilt(spark, folder, ["program", "genre_channel", "channel_base"]).channel_base, *METRICS)
+
+
+def _contents(table: str, needs: Sequence[str]) -> Query:
+    """A query of what the weekly build writes into a table."""
+
+    def contents(spark: SparkSession, folder: str) -> DataFrame:
+        written = _written(spark, folder, mapping.fact(spark, folder), needs)
+        return _doubles(getattr(written, table), *METRICS)
+
+    contents.__name__ = f"written_{table}"
+    return contents
+
+
+for _name, _needs in {
+    "program": ["program"],
+    "show": ["show"],
+    "genre_channel": ["program", "genre_channel"],
+    "show_base": ["show", "show_base"],
+    "channel_base": ["program", "genre_channel", "channel_base"],
+    "genre_base": _GENRE_TABLES,
+}.items():
+    register(_contents(_name, _needs))
+
+
 @register
 def weekly_build(spark: SparkSession, folder: str) -> DataFrame:
     """Write all tables and count their rows."""
@@ -536,6 +596,20 @@ def enriched_genre_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(dashboard.enriched(written, SELECTION, affinity.GENRE), *_SHARES)
 
 
+@register
+def enriched_channel_from_tables(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("program", "genre_channel", "channel_base")
+    written = _written(spark, folder, mapping.fact(spark, folder), names)
+    return _rounded(dashboard.enriched(written, SELECTION, affinity.CHANNEL), *_SHARES)
+
+
+@register
+def enriched_show_from_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The show level reads the advertiser's rows from the fact itself."""
+    written = _written(spark, folder, mapping.fact(spark, folder))
+    return _rounded(present.top_rows(dashboard.enriched(written, SELECTION, affinity.SHOW)), *_SHARES)
+
+
 # --- lists, lookups, parameters ---
 
 
@@ -659,56 +733,17 @@ def news_csv_append(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- hierarchy, scope, entitlements ---
 
-# Dashboards per group; the ids of the home-network and affinity dashboards are free parameters.
+# Example: views of one's own, of the team and of the market are given to ever more groups, and group g sees the
+# report of every g-th region.
+_VIEWS = ("market_view", "team_view", "own_view")
 ENTITLEMENTS = scope.Entitlements(
     groups={
-        "Group 1": (
-            "my_view",
-            "my_view_manager",
-            "client_on_home",
-            "client_on_tv",
-            "client_overview",
-            "affinity",
-            "whom_to_target",
-            "my_reports_genre_performance",
-            "my_reports_detailed_revenue",
-            "my_reports_market_share",
-            "my_reports_program_ratings",
-        ),
-        "Group 2": (
-            "client_on_home",
-            "client_on_tv",
-            "client_overview",
-            "affinity",
-            "whom_to_target",
-            "my_reports_genre_performance",
-            "my_reports_market_share",
-            "my_reports_detailed_revenue",
-            "my_reports_program_ratings",
-        ),
-        "Group 3": (
-            "client_on_home",
-            "client_on_tv",
-            "client_overview",
-            "affinity",
-            "whom_to_target",
-            "my_reports_genre_performance",
-            "my_reports_market_share",
-            "my_reports_program_ratings",
-        ),
-        "Group 4": (
-            "client_on_tv",
-            "client_overview",
-            "affinity",
-            "whom_to_target",
-            "my_reports_genre_performance",
-            "my_reports_market_share",
-            "my_reports_program_ratings",
-        ),
+        f"Group {group}": (*_VIEWS[: 4 - group], *[f"region_{region}" for region in range(5) if region % group == 0])
+        for group in range(1, 5)
     },
-    executive_view="my_view",
-    manager_view="my_view_manager",
-    home_view="client_on_home",
+    executive_view="own_view",
+    manager_view="team_view",
+    home_view="market_view",
 )
 
 
@@ -724,7 +759,7 @@ def channel_closure(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def channel_lists(spark: SparkSession, folder: str) -> DataFrame:
-    return scope.key_lists(channel_closure(spark, folder), "manager", "CHANNEL_GROUP_KEY")
+    return scope.key_lists(channel_closure(spark, folder), "manager", "CHANNEL_GROUP_KEY", most=6)
 
 
 @register
@@ -788,7 +823,7 @@ def entitlement_removal(spark: SparkSession, folder: str) -> DataFrame:
     """The matrix without the dashboard that executives lose."""
     hierarchy = mapping.ref_employee_hierarchy(spark, folder)
     executives = hierarchy.where(F.col("EMPLOYEE_ROLE") == scope.EXECUTIVE_ROLE)
-    removals = executives.select("EMPLOYEE_NT_ID", F.lit("client_overview").alias("dashboard"))
+    removals = executives.select("EMPLOYEE_NT_ID", F.lit("region_0").alias("dashboard"))
     return scope.remove_entitlement(scope.entitlement_matrix(hierarchy, ENTITLEMENTS), removals)
 
 
@@ -865,6 +900,23 @@ def news_ticker(spark: SparkSession, folder: str) -> DataFrame:
     return news.ticker(mapping.news(spark, folder), _terms(spark, folder), _now(), ("m.ththth.example.net",))
 
 
+@register
+def news_ticker_mapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Choices in mixed case, one per search term, that the mapping leads back to it, and nations without news."""
+    archive = mapping.news(spark, folder)
+    found = archive.select("SearchTerm").where(F.col("SearchTerm") != "").distinct()
+    choice = F.concat(F.upper("SearchTerm"), F.lit("'s & Co"))
+    chosen = found.select(choice.alias("term")).unionByName(
+        mapping.table(spark, folder, "nation").select(F.initcap("n_name").alias("term"))
+    )
+    table = found.select(
+        F.lit(1).alias("ordinal"),
+        F.concat(F.lower("SearchTerm"), F.lit("s%20%26%20co")).alias("searchterm"),
+        F.col("SearchTerm").alias("to_be_searched"),
+    )
+    return news.ticker_of_choices(archive, chosen, table, _now())
+
+
 @register
 def term_mapping(spark: SparkSession, folder: str) -> DataFrame:
     """Product names as search terms; each has two mapping rows, the first one counts."""

@@ -56,7 +56,6 @@ class Rollups:
     def genre_base(self) -> DataFrame:
         return rollups.genre_base(self.genre_channel, self.genre_reference)
 
-
     def cells(self, selection: affinity.Selection, level: affinity.Level) -> affinity.CellTotals:
         """Cell totals of a request."""
         return affinity.cell_totals(self, selection, level)
@@ -67,35 +66,40 @@ class Rollups:
 
 
 class FactOnly(Rollups):
-    """A request without roll-up tables: one aggregation of the fact, written once, holds all it needs.
+    """A request without roll-up tables.
+
+    The cell sums of a level are one aggregation of the chosen cells, written once because totals, shares and the
+    advertiser's sums all read it. Denominators are another one, of the base cells, and only made when asked for.
+    Sums of sums are exact, so the results are those of the roll-ups. Needs a fact whose names follow from its keys.
 
-    Sums of sums are exact, so the results are those of the roll-ups. Needs a fact whose names follow
-    from its keys.
+    ``base_rows`` gives the fact in the base cells of a level; a source that joins dimensions to its fact can test the
+    cell before those joins. Without it the fact is joined with the reference.
     """
 
-    def __init__(self, fact: DataFrame, genre_reference: DataFrame, channel_reference: DataFrame) -> None:
+    def __init__(
+        self,
+        fact: DataFrame,
+        genre_reference: DataFrame,
+        channel_reference: DataFrame,
+        base_rows: Callable[[affinity.Level], DataFrame] | None = None,
+    ) -> None:
         super().__init__(fact, genre_reference, channel_reference, names_follow_keys=True)
-        self._sums: dict[tuple[affinity.Selection, bool], DataFrame] = {}
-
-    def _request(
-        self, selection: affinity.Selection, level: affinity.Level
-    ) -> tuple[affinity.CellTotals, DataFrame]:
-        """The genre and the channel level share one aggregation; the show level has a finer one."""
-        key = (selection, level is affinity.SHOW)
-        if key not in self._sums:
-            references = (
-                {affinity.SHOW: self.channel_reference}
-                if level is affinity.SHOW
-                else {affinity.GENRE: self.genre_reference, affinity.CHANNEL: self.channel_reference}
-            )
-            self._sums[key] = materialize(affinity.sums_in_one_pass(self.fact, references, selection), "request")
-        return affinity.split_sums(self._sums[key], level)
+        self._base_rows = base_rows or self._joined
+        self._cells: dict[tuple[affinity.Selection, affinity.Level], affinity.CellTotals] = {}
+
+    def _joined(self, level: affinity.Level) -> DataFrame:
+        reference = self.genre_reference if level is affinity.GENRE else self.channel_reference
+        return affinity.at_base_cells(self.fact, reference, level)
 
     def cells(self, selection: affinity.Selection, level: affinity.Level) -> affinity.CellTotals:
-        return self._request(selection, level)[0]
+        key = (selection, level)
+        if key not in self._cells:
+            sums = materialize(affinity.sums_of_request(self.fact, selection, level), "request")
+            self._cells[key] = affinity.split_sums(sums)
+        return self._cells[key]
 
     def denominator(self, selection: affinity.Selection, level: affinity.Level) -> DataFrame:
-        return self._request(selection, level)[1]
+        return affinity.affinity_denominator(self._base_rows(level), selection, level)
 
 
 class TableRollups(Rollups):

@@ -121,5 +121,3 @@ SEARCH_TERMS = _struct(term=T.StringType())
 
 # One feed as fetched: the term it was fetched for and the whole document.
 FEED = _struct(SearchTerm=T.StringType(), feed_no=T.LongType(), document=T.StringType())
-
-TERM_MAPPING = _struct(ordinal=T.IntegerType(), searchterm=T.StringType(), to_be_searched=T.StringType())

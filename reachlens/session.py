@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,8 +33,8 @@ def build_session(app: str = "reachlens", cores: str | int = "*", **conf: str) -
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; on a cluster a machine-local
-    folder would lose data with the machine, so the missing setting is an error there.
+    Only a local session without that setting gets a temporary folder, which goes when the process ends; on a
+    cluster a machine-local folder would lose data with the machine, so the missing setting is an error there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
@@ -40,6 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="reachlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

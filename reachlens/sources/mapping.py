@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reachlens import schemas
@@ -43,16 +43,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(GIVEN[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Share the rows out when a table has fewer splits than the session has cores.
-
-    A file with a single row group is one task, and the joins and sums behind it would be too. A table of
-    many files has splits enough and is read as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _money(column: str) -> Column:
     """Doubles become exact decimals before any arithmetic, so that sums do not depend on row order."""
     return F.col(column).cast("decimal(15,2)")
@@ -62,10 +52,10 @@ def _list_position(values: tuple[str, ...], column: Column) -> Column:
     return F.array_position(F.array(*[F.lit(value) for value in values]), column).cast("int")
 
 
-def _genre_key(spark: SparkSession, folder: str) -> Column:
-    """Dense rank of the genre name. The genre list is short (its domain is fixed) and read once."""
-    genres = table(spark, folder, "part").agg(F.array_sort(F.collect_set("p_type")))
-    return F.array_position(genres.scalar(), F.col("p_type")).cast("int")
+def _genres(spark: SparkSession, folder: str) -> DataFrame:
+    """Every genre name once, with its dense rank; only distinct names are ranked."""
+    names = table(spark, folder, "part").select("p_type").where(F.col("p_type").isNotNull()).distinct()
+    return names.withColumn("GENRE_KEY", F.row_number().over(Window.orderBy("p_type")))
 
 
 def _tg_key() -> Column:
@@ -77,20 +67,56 @@ def _market_key() -> Column:
     return F.substring("o_orderpriority", 1, 1).cast("int")
 
 
-def fact(spark: SparkSession, folder: str, weeks: tuple[int, int] | None = None) -> DataFrame:
+def _between(lines: DataFrame, first: dt.date | None, last: dt.date | None) -> DataFrame:
+    """A plain range on the ship date, which reaches the Parquet reader."""
+    ship = F.col("l_shipdate")
+    if first:
+        lines = lines.where(ship >= _ntz(dt.datetime.combine(first, dt.time())))
+    if last:
+        lines = lines.where(ship < _ntz(dt.datetime.combine(last, dt.time()) + dt.timedelta(days=1)))
+    return lines
+
+
+def _calendar_columns() -> list[Column]:
+    day = F.to_date("l_shipdate")
+    return [
+        F.year(day).alias("CALENDAR_YEAR"),
+        F.weekofyear(day).alias("BARC_WEEK"),
+        F.element_at(F.array(*[F.lit(name) for name in MONTH_NAMES]), F.month(day)).alias("MONTH"),
+        calendar.week_key(day).alias("WEEK_KEY"),
+    ]
+
+
+def _metric_columns() -> list[Column]:
+    return [
+        _money("l_quantity").alias("ADGRP"),
+        _money("l_extendedprice").alias("FCT"),
+        (_money("l_extendedprice") * (1 - _money("l_discount"))).cast("decimal(18,4)").alias("TVT"),
+    ]
+
+
+def spots(spark: SparkSession, folder: str) -> DataFrame:
+    """Calendar columns and metrics of the fact, from its own table alone: for what needs no dimension."""
+    return table(spark, folder, "lineitem").select(*_calendar_columns(), *_metric_columns())
+
+
+def fact(
+    spark: SparkSession,
+    folder: str,
+    weeks: tuple[int, int] | None = None,
+    since: dt.date | None = None,
+    base_cells: DataFrame | None = None,
+) -> DataFrame:
     """``FACT_TG_AFFINITY_AGG_WK``, one row per line item.
 
-    ``weeks`` adds a plain date range on the ship date, which reaches the Parquet reader; the exact
-    week filter stays with the caller.
+    ``weeks`` and ``since`` add a plain date range on the ship date, which reaches the Parquet reader; the exact
+    filter stays with the caller. ``base_cells`` has a genre or channel key with its cells: the rows are joined with
+    it as soon as its key is known, before the other dimensions, once per row of it.
     """
     lines = table(spark, folder, "lineitem")
     if weeks:
-        first = dt.datetime.combine(calendar.week_first_day(weeks[0]), dt.time())
-        after = dt.datetime.combine(calendar.week_last_day(weeks[1]), dt.time()) + dt.timedelta(days=1)
-        ship = F.col("l_shipdate")
-        lines = lines.where((ship >= _ntz(first)) & (ship < _ntz(after)))
-    else:
-        lines = _spread(lines)
+        lines = _between(lines, calendar.week_first_day(weeks[0]), calendar.week_last_day(weeks[1]))
+    lines = _between(lines, since, None)
     nation = table(spark, folder, "nation")
     network = nation.select(
         F.col("n_nationkey").alias("NETWORK_KEY"),
@@ -107,11 +133,15 @@ def fact(spark: SparkSession, folder: str, weeks: tuple[int, int] | None = None)
         F.col("s_name").alias("CHANNEL_GROUP_DISPLAY_NAME"),
         F.col("s_nationkey").alias("NETWORK_KEY"),
     )
-    programs = table(spark, folder, "part").select(
-        F.col("p_partkey").alias("PROGRAM_GROUP_KEY"),
-        F.col("p_name").alias("PROGRAM_GROUP_DISPLAY_NAME"),
-        _genre_key(spark, folder).alias("GENRE_KEY"),
-        F.col("p_type").alias("GENRE_DISPLAY_NAME"),
+    programs = (
+        table(spark, folder, "part")
+        .join(_genres(spark, folder), "p_type")
+        .select(
+            F.col("p_partkey").alias("PROGRAM_GROUP_KEY"),
+            F.col("p_name").alias("PROGRAM_GROUP_DISPLAY_NAME"),
+            "GENRE_KEY",
+            F.col("p_type").alias("GENRE_DISPLAY_NAME"),
+        )
     )
     customers = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("ADVERTISERS_GROUP_KEY")
@@ -119,24 +149,24 @@ def fact(spark: SparkSession, folder: str, weeks: tuple[int, int] | None = None)
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey", _market_key().alias("MARKET_KEY")
     )
-    day = F.to_date("l_shipdate")
-    spots = lines.select(
+    joined = lines.select(
         "l_orderkey",
         F.col("l_partkey").alias("PROGRAM_GROUP_KEY"),
         F.col("l_suppkey").alias("CHANNEL_GROUP_KEY"),
         _tg_key().alias("TG_KEY"),
-        F.year(day).alias("CALENDAR_YEAR"),
-        F.weekofyear(day).alias("BARC_WEEK"),
-        F.element_at(F.array(*[F.lit(name) for name in MONTH_NAMES]), F.month(day)).alias("MONTH"),
-        calendar.week_key(day).alias("WEEK_KEY"),
-        _money("l_quantity").alias("ADGRP"),
-        _money("l_extendedprice").alias("FCT"),
-        (_money("l_extendedprice") * (1 - _money("l_discount"))).cast("decimal(18,4)").alias("TVT"),
-    )
+        *_calendar_columns(),
+        *_metric_columns(),
+    ).join(orders, "l_orderkey")
+    if base_cells is not None and "CHANNEL_GROUP_KEY" in base_cells.columns:
+        cell = ["CHANNEL_GROUP_KEY", "TG_KEY", "MARKET_KEY"]
+        joined = joined.join(base_cells.select(*cell), cell).join(programs, "PROGRAM_GROUP_KEY")
+    elif base_cells is not None:
+        cell = ["GENRE_KEY", "TG_KEY", "MARKET_KEY"]
+        joined = joined.join(programs, "PROGRAM_GROUP_KEY").join(base_cells.select(*cell), cell)
+    else:
+        joined = joined.join(programs, "PROGRAM_GROUP_KEY")
     joined = (
-        spots.join(orders, "l_orderkey")
-        .join(customers, "o_custkey")
-        .join(programs, "PROGRAM_GROUP_KEY")
+        joined.join(customers, "o_custkey")
         .join(channels, "CHANNEL_GROUP_KEY")
         .join(network, "NETWORK_KEY")
         .join(advertiser, "ADVERTISERS_GROUP_KEY")
@@ -190,15 +220,8 @@ def _with_base_cells(keyed: DataFrame, key: str) -> DataFrame:
 
 def ref_genre_tg_mkt(spark: SparkSession, folder: str) -> DataFrame:
     """``ref_genre_tg_mkt``: the base cells of each genre."""
-    genres = (
-        table(spark, folder, "part")
-        .select("p_type")
-        .distinct()
-        .select(
-            _genre_key(spark, folder).alias("GENRE_KEY"),
-            F.upper("p_type").alias("GENRE_NAME"),
-            F.col("p_type").alias("GENRE_DISPLAY_NAME"),
-        )
+    genres = _genres(spark, folder).select(
+        "GENRE_KEY", F.upper("p_type").alias("GENRE_NAME"), F.col("p_type").alias("GENRE_DISPLAY_NAME")
     )
     return _with_base_cells(genres, "GENRE_KEY").select(*schemas.REF_GENRE_TG_MKT.fieldNames())
 

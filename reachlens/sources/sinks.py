@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reachlens.session import materialize, scratch_name, shared_folder
+from reachlens.session import materialize, scratch_name, scratch_path, shared_folder
 
 WEEK = "WEEK_KEY"
 CELL_ORDER = (WEEK, "TG_KEY", "MARKET_KEY", "ADVERTISERS_GROUP_KEY")
@@ -45,32 +44,26 @@ def replace_table(df: DataFrame, table: str, partition: str | None = None) -> No
     writer.saveAsTable(table)
 
 
-@contextmanager
-def _only_present_partitions(spark: SparkSession) -> Iterator[None]:
-    """Within the block an overwrite replaces only the partitions that the new rows fall into."""
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def replace_weeks(df: DataFrame, table: str, weeks: Sequence[int]) -> None:
     """Replace the rows of ``weeks`` in a table partitioned by week; other weeks stay untouched.
 
-    ``df`` holds the new rows of those weeks. Weeks that end up empty lose their partition, which an
-    overwrite of the present partitions alone would leave in place.
+    ``df`` holds the new rows of those weeks. The overwrite runs in a session of its own, whose setting replaces only
+    partitions that get rows, so writers next to it keep theirs. Weeks that end up empty lose their partition
+    in one statement.
     """
     spark = df.sparkSession
-    listed = F.col(WEEK).isin([int(week) for week in weeks])
-    rows = materialize(df.where(listed).select(*spark.table(table).columns), "weeks")
-    with _only_present_partitions(spark):
-        _in_cell_order(rows.hint("rebalance", F.col(WEEK))).write.mode("overwrite").insertInto(table)
+    wanted = sorted({int(week) for week in weeks})
+    chosen, path = df.where(F.col(WEEK).isin(wanted)).select(*spark.table(table).columns), scratch_path(spark, "weeks")
+    chosen.write.parquet(path)
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    rows = own.read.schema(chosen.schema).parquet(path)
     filled = {row[0] for row in rows.select(WEEK).distinct().collect()}
-    for week in sorted({int(week) for week in weeks} - filled):
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({WEEK} = {week})")
+    if filled:
+        _in_cell_order(rows.hint("rebalance", F.col(WEEK))).write.mode("overwrite").insertInto(table)
+    if empty := [week for week in wanted if week not in filled]:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS " + ", ".join(f"PARTITION ({WEEK} = {week})" for week in empty))
+    spark.catalog.refreshTable(table)
 
 
 def create_if_missing(spark: SparkSession, table: str, schema: T.StructType, partition: Sequence[str] = ()) -> None:
@@ -86,14 +79,23 @@ def append(df: DataFrame, table: str) -> None:
 def insert_ignore(df: DataFrame, table: str, key: Sequence[str], prune: str | None = None) -> None:
     """Append the rows whose key is not in the table yet, each key once.
 
-    ``prune`` names a partition column that follows from the key: only partitions that the new rows
-    fall into are read.
+    ``prune`` names a partition column that follows from the key. The new rows are computed once and written to the
+    shared folder; the smallest and the largest of their partitions go into the filter of the table as literals, so
+    other partitions are not even listed as input.
     """
+    rows = materialize(df.dropDuplicates(list(key)), "new-rows")
     archived = df.sparkSession.table(table)
     if prune:
-        archived = archived.join(df.select(prune).distinct(), prune, "left_semi")
-    fresh = df.dropDuplicates(list(key)).join(archived.select(*key), list(key), "left_anti")
-    append(fresh, table)
+        first, last = rows.agg(F.min(prune), F.max(prune)).first()
+        if first is None:
+            return
+        archived = between(archived, prune, first, last)
+    append(rows.join(archived.select(*key), list(key), "left_anti"), table)
+
+
+def between(df: DataFrame, column: str, first: object, last: object) -> DataFrame:
+    """Rows from ``first`` to ``last``, as literals that prune partitions."""
+    return df.where((F.col(column) >= F.lit(first)) & (F.col(column) <= F.lit(last)))
 
 
 def _csv_options() -> dict[str, str | bool]:

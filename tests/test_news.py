@@ -66,7 +66,8 @@ def test_fresh_and_visible(spark):
         ("gone", NOW - dt.timedelta(days=176), "b.com", "y"),
     )
     terms = spark.createDataFrame([("x",), ("y",), ("z",)], "term string")
-    assert rows(news.terms_to_fetch(terms, rows_, now()), "term") == [("y",), ("z",)]
+    mixed = spark.createDataFrame([("X",), ("Y",), ("y",), ("z",)], "term string")
+    assert rows(news.terms_to_fetch(mixed, rows_, now()), "term") == [("y",), ("z",)]
     assert rows(news.fresh_counts(rows_, now()), "SearchTerm", "fresh_items") == [("x", 1), ("y", 0)]
     assert rows(news.visible(rows_, now()), "Title") == [("new",), ("older",)]
     anchors = rows(news.ticker(rows_, terms, now()), "term", "anchor")
@@ -115,7 +116,7 @@ def test_archive_keeps_each_item_once(spark):
 
 def test_headerless_file_round_trip(spark):
     path = scratch_path(spark, "csv")
-    items = [('EPA, "beefing" up', GOOD, "http://x", "S, T", "Audi"), (" blank ", GOOD, "http://y", "s", "Audi")]
+    items = [('QQ, "beefing" up', GOOD, "http://x", "S, T", "Zenkai"), (" blank ", GOOD, "http://y", "s", "Zenkai")]
     frame = spark.createDataFrame(items, NEWS_TEXT)
     for _ in range(3):
         sinks.append_csv(frame, path)

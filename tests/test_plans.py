@@ -76,3 +76,71 @@ def test_week_range_prunes_table_partitions(spark, small):
 
 def test_show_top_rows_take_no_full_sort(spark, small):
     assert "TakeOrderedAndProject" in plan_text(queries.QUERIES["enriched_show_top100"](spark, small))
+
+
+def test_chosen_cells_reach_the_scans(spark, small):
+    """The cell test of a request stands below the joins, on the line and on the order side."""
+    fact = mapping.fact(spark, small, queries.SELECTION.weeks)
+    plan = plan_text(affinity.sums_of_request(fact, queries.SELECTION, affinity.GENRE))
+    below = plan[plan.index("Join") :]
+    assert "array_position" in below and "l_returnflag" in below
+    for scanned, test in (("l_returnflag", "array_position([A,N,R]"), ("o_orderpriority", "substring(o_orderpriority")):
+        filters = [line for line in plan.splitlines() if "Filter" in line and test in line]
+        assert filters, scanned
+    assert "genre_base" not in plan and "p_name" not in plan
+
+
+def test_base_cells_are_tested_before_the_other_dimensions(spark, small):
+    """The reference is joined deeper in the plan than customers and nations."""
+    cells = mapping.ref_ch_group_tg_mkt(spark, small)
+    plan = plan_text(mapping.fact(spark, small, queries.SELECTION.weeks, base_cells=cells))
+    depth = {line.strip().split("parquet ")[-1]: len(line) - len(line.lstrip(" :+-")) for line in plan.splitlines() if "FileScan" in line}
+    lines = plan.splitlines()
+
+    def deepest(name):
+        return max(len(line) - len(line.lstrip(" :+-")) for line in lines if "FileScan" in line and name in line)
+
+    assert depth and deepest("l_returnflag") > deepest("c_custkey")
+
+
+@pytest.mark.parametrize("name", ["client_list", "client_list_revenue"])
+def test_name_lists_do_not_sort_the_fact(spark, small, name):
+    """Only the pairs that are left after a hash aggregation are sorted for the text maximum."""
+    plan = plan_text(queries.QUERIES[name](spark, small))
+    assert "HashAggregate" in plan
+    scan = plan.index("FileScan")
+    assert plan.rindex("SortAggregate") < plan.index("HashAggregate") < scan
+
+
+@pytest.mark.parametrize(
+    "name", ["max_week", "default_end_date", "end_date_per_week", "week_repair", "week_shift_older", "week_retention"]
+)
+def test_week_queries_scan_one_table(spark, small, name):
+    plan = plan_text(queries.QUERIES[name](spark, small))
+    assert "l_shipdate" in plan and "Join" not in plan
+    assert all(column not in plan for column in ("o_orderkey", "p_partkey", "s_suppkey", "c_custkey"))
+
+
+def test_exploration_reads_one_cell_from_its_year_on(spark, small):
+    plan = plan_text(queries.QUERIES["exploration_all"](spark, small))
+    assert "GreaterThanOrEqual(l_shipdate,1997-01-01" in plan
+    assert plan.count("o_orderpriority") and "TG_DISPLAY_NAME" not in plan
+
+
+def test_genres_are_not_collected(spark, small):
+    assert "collect_set" not in plan_text(mapping.fact(spark, small))
+
+
+def test_archive_is_pruned_by_literal_days(spark, small):
+    import datetime as dt
+
+    from reachlens.operators import news
+
+    table = f"{sinks.scratch_database(spark, 'pruned')}.archive"
+    news.create_archive(spark, table)
+    news.archive_items(mapping.news(spark, small), table)
+    days = sinks.between(spark.table(table), news.ARCHIVE_DAY, dt.date(2024, 1, 1), dt.date(2024, 1, 1))
+    plan = plan_text(days)
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "2024-01-01" in filters or "19723" in filters
+    assert 0 < days.count() < spark.table(table).count()

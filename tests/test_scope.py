@@ -140,10 +140,25 @@ def test_entitlements_of_an_unknown_group_and_removals(spark):
     assert rows(scope.remove_entitlement(matrix, removed), "dashboard") == [("home",)]
 
 
-def test_long_key_lists_continue_in_further_rows(spark):
-    pairs = [("long", str(i)) for i in range(100)] * 2 + [("short", "b"), ("short", "a")]
+def test_key_lists_have_one_form_at_every_size(spark):
+    pairs = [("long", str(i)) for i in range(95)] * 2 + [("short", "b"), ("short", "a"), ("short", "7")]
     found = scope.key_lists(spark.createDataFrame(pairs, "n string, k string"), "n", "k", most=10).collect()
-    keys = {name: [key for row in found if row.name == name for key in row["keys"].split(";")] for name in ("long", "short")}
-    assert sorted(keys["long"], key=int) == [str(i) for i in range(100)]
-    assert keys["short"] == ["a", "b"]
-    assert max(len(row["keys"].split(";")) for row in found) < 40
+    parts = {(row["name"], row["part"]): row["keys"] for row in found}
+    assert parts == {
+        **{("long", part): ";".join(str(i) for i in range(10 * part, min(10 * part + 10, 95))) for part in range(10)},
+        ("short", -1): "a;b",
+        ("short", 0): "7",
+    }
+
+
+def test_a_manager_over_most_rows(spark):
+    """One manager has nearly everyone below; the closure is still a row per employee."""
+    people = hierarchy(
+        spark,
+        ("0", "Top", "HO GROUP", None, None, "Group 1"),
+        ("1", "Hot", "BRANCH HEAD", None, "Top", "Group 1"),
+        *[(str(i), f"E{i}", "SALES EXECUTIVE", None, "Hot" if i % 10 else "Top", "Group 1") for i in range(2, 400)],
+    )
+    grants = access(spark, *[(str(i), "a", "1") for i in range(2, 400)])
+    found = rows(scope.reportees(people, grants), "manager", "EMPLOYEE_KEY")
+    assert found == sorted(("HOT", str(i)) for i in range(2, 400) if i % 10)
