@@ -71,6 +71,11 @@ def _sums(table: str) -> str:
     return f"SELECT * EXCLUDE (ADGRP, FCT, TVT), {o.SUMS_OUT} FROM {table}"
 
 
+def _stacked(**tables: str) -> str:
+    parts = [f"SELECT '{name}' AS name, * EXCLUDE (ADGRP, FCT, TVT), {o.SUMS_OUT} FROM {table}" for name, table in tables.items()]
+    return " UNION ALL BY NAME ".join(parts)
+
+
 # --- lists and parameters ---
 
 _CLIENTS = """clients AS (
@@ -196,20 +201,24 @@ ORACLES: dict[str, str] = {
         [o.FACT, _KEYED, _REPAIR, o.program("repaired"), o.genre_channel(), o.REF_GENRE, o.GENRE_BASE],
         _sums("genre_base"),
     ),
-    "incremental_show_rebuild": o.query([o.FACT, _KEYED, _REPAIR, o.show("repaired")], _sums("show_prog")),
-    "incremental_show_base_rebuild": o.query(
-        [o.FACT, _KEYED, _REPAIR, o.show("repaired"), o.REF_CHANNEL, o.SHOW_BASE], _sums("show_base")
+    "incremental_table_rebuild": o.query(
+        [
+            *[o.FACT, _KEYED, _REPAIR, o.program("repaired"), o.genre_channel(), o.show("repaired")],
+            *[o.REF_CHANNEL, o.SHOW_BASE, o.CHANNEL_BASE],
+        ],
+        _stacked(show="show_prog", show_base="show_base", channel_base="channel_base"),
     ),
-    "incremental_channel_base_rebuild": o.query(
-        [o.FACT, _KEYED, _REPAIR, o.program("repaired"), o.genre_channel(), o.REF_CHANNEL, o.CHANNEL_BASE],
-        _sums("channel_base"),
+    "weekly_contents": o.query(
+        [*_GENRE_CHANNEL, o.show(), o.REF_CHANNEL, o.REF_GENRE, o.SHOW_BASE, o.CHANNEL_BASE, o.GENRE_BASE],
+        _stacked(
+            program="program",
+            genre_channel="genre_channel",
+            show="show_prog",
+            show_base="show_base",
+            channel_base="channel_base",
+            genre_base="genre_base",
+        ),
     ),
-    "written_program": o.query([o.FACT, o.program()], _sums("program")),
-    "written_show": o.query([o.FACT, o.show()], _sums("show_prog")),
-    "written_genre_channel": o.query(_GENRE_CHANNEL, _sums("genre_channel")),
-    "written_show_base": o.query([o.FACT, o.show(), o.REF_CHANNEL, o.SHOW_BASE], _sums("show_base")),
-    "written_channel_base": o.query([*_GENRE_CHANNEL, o.REF_CHANNEL, o.CHANNEL_BASE], _sums("channel_base")),
-    "written_genre_base": o.query([*_GENRE_CHANNEL, o.REF_GENRE, o.GENRE_BASE], _sums("genre_base")),
     "weekly_build": o.query(
         [*_GENRE_CHANNEL, o.show(), o.REF_CHANNEL, o.REF_GENRE, o.SHOW_BASE, o.CHANNEL_BASE, o.GENRE_BASE],
         " UNION ALL ".join(

@@ -541,41 +541,23 @@ def incremental_base_rebuild(spark: SparkSession, folder: str) -> DataFrame:
     return _doubles(_rebuilt(spark, folder, _GENRE_TABLES).genre_base, *METRICS)
 
 
-@register
-def incremental_show_rebuild(spark: SparkSession, folder: str) -> DataFrame:
-    return _doubles(_rebuilt(spark, folder, ["show"]).show, *METRICS)
+def _stacked(tables: weekly.Rollups, names: Sequence[str]) -> DataFrame:
+    """The rows of several tables below each other, with the table's name; columns a table lacks are null."""
+    frames = [getattr(tables, name).withColumn("name", F.lit(name)) for name in names]
+    return _doubles(reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), frames), *METRICS)
 
 
 @register
-def incremental_show_base_rebuild(spark: SparkSession, folder: str) -> DataFrame:
-    return _doubles(_rebuilt(spark, folder, ["show", "show_base"]).show_base, *METRICS)
+def incremental_table_rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    """The show roll-up and the show and channel base tables after a rebuild of the repaired weeks."""
+    rebuilt = _rebuilt(spark, folder, ["program", "genre_channel", "show", "show_base", "channel_base"])
+    return _stacked(rebuilt, ["show", "show_base", "channel_base"])
 
 
 @register
-def incremental_channel_base_rebuild(spark: SparkSession, folder: str) -> DataFrame:
-    return _doubles(_rebuilt(spark, folder, ["program", "genre_channel", "channel_base"]).channel_base, *METRICS)
-
-
-def _contents(table: str, needs: Sequence[str]) -> Query:
-    """A query of what the weekly build writes into a table."""
-
-    def contents(spark: SparkSession, folder: str) -> DataFrame:
-        written = _written(spark, folder, mapping.fact(spark, folder), needs)
-        return _doubles(getattr(written, table), *METRICS)
-
-    contents.__name__ = f"written_{table}"
-    return contents
-
-
-for _name, _needs in {
-    "program": ["program"],
-    "show": ["show"],
-    "genre_channel": ["program", "genre_channel"],
-    "show_base": ["show", "show_base"],
-    "channel_base": ["program", "genre_channel", "channel_base"],
-    "genre_base": _GENRE_TABLES,
-}.items():
-    register(_contents(_name, _needs))
+def weekly_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of all tables that the weekly build writes."""
+    return _stacked(_written(spark, folder, mapping.fact(spark, folder)), weekly.WEEKLY_TABLES)
 
 
 @register
@@ -606,7 +588,8 @@ def enriched_channel_from_tables(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def enriched_show_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The show level reads the advertiser's rows from the fact itself."""
-    written = _written(spark, folder, mapping.fact(spark, folder))
+    names = ("program", "genre_channel", "show", "show_base")
+    written = _written(spark, folder, mapping.fact(spark, folder), names)
     return _rounded(present.top_rows(dashboard.enriched(written, SELECTION, affinity.SHOW)), *_SHARES)
 
 
