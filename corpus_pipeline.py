@@ -15,31 +15,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reachlens.llm import decontaminate, language, packing, pii, simhash
-from reachlens.llm.queries import importable, table, tokenizer_file
+from reachlens.llm.queries import prepare, table, tokenizer_file
 from reachlens.session import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return language.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return pii.mask(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return packing.pack(docs, packing.Packing(tokenizer_file()))
 
 

@@ -201,16 +201,14 @@ def leaks(
     return docs.sparkSession.createDataFrame([], _HITS_SQL) if found is None else found
 
 
-def _without(shared, rule: Containment, text_at: int):
-    def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        for batch in batches:
-            keep = np.ones(batch.num_rows, dtype=bool)
-            keep[[row for row, _, _ in _hits(batch.column(text_at), items, rule)]] = False
-            rows = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays(rows.columns[:text_at], names=batch.schema.names[:text_at])
+def _clean(shared, rule: Containment):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        keep = np.ones(len(texts), dtype=bool)
+        keep[[row for row, _, _ in _hits(texts, shared.value, rule)]] = False
+        return pa.array(keep)
 
-    return function
+    return clean
 
 
 def remove_leaks(
@@ -219,8 +217,5 @@ def remove_leaks(
     """``docs`` without the rows that hold an item; all columns stay as they are, and so do rows with a null text."""
     context = docs.sparkSession.sparkContext
     for items in blocks(benchmark, rule):
-        plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], _normal(docs[text_column]).alias("lowered"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
-        kept = plain.mapInArrow(_without(context.broadcast(items), rule, len(docs.columns)), schema)
-        docs = kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+        docs = docs.where(_clean(context.broadcast(items), rule)(_normal(F.col(text_column))))
     return docs

@@ -31,7 +31,7 @@ class Training:
 
     order: int = 3
     documents: int = 4000
-    symbols: int = 40
+    symbols: int = 36
 
 
 def learnable(docs: DataFrame, id_column: str = "doc_id", lang_column: str = "lang", text_column: str = "text") -> DataFrame:
@@ -56,7 +56,7 @@ _FOLD = _folded()
 
 
 def _bytes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, folded bytes and text bounds, some MB at a time. A separator stands before and after every text."""
+    """First row, folded bytes and text bounds, some text at a time. A separator stands before and after every text."""
     column = pc.fill_null(column, "")
     wide = pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
@@ -86,15 +86,17 @@ def _windows(codes: np.ndarray, bounds: np.ndarray, order: int, size: int) -> np
 class Model:
     """Costs in bits of every window, per language."""
 
-    def __init__(self, languages: list[str], alphabet: np.ndarray, counts: np.ndarray, order: int):
-        """``counts[l, window]``; ``alphabet`` maps bytes to symbols 0..size-1."""
+    def __init__(self, languages: list[str], alphabet: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], order: int):
+        """``counts``: per language the windows seen and how often; ``alphabet`` maps bytes to symbols 0..size-1."""
         self.languages, self.alphabet, self.order = languages, alphabet, order
         self.size = size = int(alphabet.max()) + 1
         shape = (size,) * (order + 1)
         costs = np.empty((size ** (order + 1), len(languages)), dtype=np.float32)
-        for i in range(len(languages)):
-            table = counts[i].reshape(shape).astype(np.float64)
-            bits = np.full(size, np.log2(size))
+        for i, (windows, seen_times) in enumerate(counts):
+            table = np.zeros(size ** (order + 1), dtype=np.float32)
+            table[windows] = seen_times
+            table = table.reshape(shape)
+            bits = np.full(size, np.log2(size), dtype=np.float32)
             for depth in range(order + 1):
                 # Sum away the symbols before the ``depth`` last ones of the context.
                 seen = table.sum(axis=tuple(range(order - depth))) if depth < order else table
@@ -175,7 +177,7 @@ def train(
     sizes = {row[0]: row[1] for row in known.groupBy(lang_column).count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros(256, np.int64), np.zeros((0, 1)), 0)
+        return Model([], np.zeros(256, np.int64), [], 0)
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, rule.documents / sizes[name]))])
     drawn = F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.lit(1 << 20)) < share[F.col(lang_column)] * (1 << 20)
     sample = known.where(drawn).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
@@ -186,14 +188,11 @@ def train(
     alphabet[0x20] = 0
     alphabet[frequent] = np.arange(1, len(frequent) + 1)
     size = len(frequent) + 2
-    alphabet_size = size ** (rule.order + 1)
     counted = sample.mapInArrow(_count(rule.order, languages, alphabet), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(languages), alphabet_size), dtype=np.float64)
     arrow = counted.toArrow()
-    counts.reshape(-1)[arrow["key"].to_numpy()] = arrow["n"].to_numpy()
-    # The shared symbol of other bytes must exist in the alphabet's range even if no byte maps to it.
-    if alphabet.max() + 1 != size:
-        raise AssertionError("alphabet")
+    language, window = np.divmod(arrow["key"].to_numpy(), size ** (rule.order + 1))
+    times = arrow["n"].to_numpy()
+    counts = [(window[language == i], times[language == i]) for i in range(len(languages))]
     return Model(languages, alphabet, counts, rule.order)
 
 
@@ -231,7 +230,9 @@ def keep_identified(
     Null texts and texts without a letter go. Without a single labelled text no language can be told, so no row stays.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, rule, id_column, lang_column, text_column))
-    plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs[text_column].alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
-    told = plain.mapInArrow(_predict(model), f"{schema}, {_PREDICTED}").where(F.col("lang_pred") != UNDETERMINED)
-    return told.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+    @F.arrow_udf("boolean")
+    def told(texts: pa.Array) -> pa.Array:
+        return pa.array([name != UNDETERMINED for name in model.value.predict(texts)[0]], type=pa.bool_())
+
+    return docs.where(told(F.col(text_column)))

@@ -12,14 +12,23 @@ from reachlens.llm import decontaminate, language, packing, pii, prefix_forest,
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers find this repository; a cluster ships it with --py-files or installs it."""
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers find this repository, and bound what they get at once, unless the session says otherwise.
+
+    A cluster ships the repository with --py-files or installs it. Batches for Python are limited by rows only, which
+    long texts would turn into any size, so their bytes are limited as well.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+    if spark.conf.get(_BATCH_LIMIT, None) is None:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,7 +38,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def registered(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        importable(spark)
+        prepare(spark)
         return query(spark, folder)
 
     QUERIES[query.__name__] = run

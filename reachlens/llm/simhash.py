@@ -68,26 +68,20 @@ def fingerprint(text: bytes, rule: Near) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(starts)).tolist())
 
 
-def _with_fingerprints(rule: Near, text_at: int):
-    def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [
-                signed(fingerprint(text.as_buffer().to_pybytes() if text.is_valid else b"", rule))
-                for text in batch.column(text_at)
-            ]
-            columns = [c for i, c in enumerate(batch.columns) if i != text_at]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(values, type=pa.int64())],
-                names=[n for i, n in enumerate(batch.schema.names) if i != text_at] + ["fp"],
-            )
+def fingerprints_of(text: Column, rule: Near) -> Column:
+    """The fingerprint of a text column, as a signed number; a null text has no words."""
 
-    return function
+    @F.arrow_udf("bigint")
+    def fingerprints(texts: pa.Array) -> pa.Array:
+        raw = (text.as_buffer().to_pybytes() if text.is_valid else b"" for text in texts)
+        return pa.array([signed(fingerprint(text, rule)) for text in raw], type=pa.int64())
+
+    return fingerprints(text)
 
 
 def fingerprints(docs: DataFrame, rule: Near = Near(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, fp`` for every row; a null text has no words."""
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return texts.mapInArrow(_with_fingerprints(rule, 1), "doc_id long, fp long")
+    """``doc_id, fp`` for every row."""
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), fingerprints_of(F.col(text_column), rule).alias("fp"))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -308,10 +302,9 @@ def keep_one(
         .agg(F.min("fp").alias("fp"))
     )
     chosen = chosen.select(F.col("doc_id").alias("__keep_id"), F.col("fp").alias("__keep_fp"))
-    plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs[text_column].alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]) + ", fp long"
-    marked = plain.mapInArrow(_with_fingerprints(rule, len(docs.columns)), schema)
-    own = F.col(f"c{docs.columns.index(id_column)}")
-    same = (own.cast("long").eqNullSafe(F.col("__keep_id"))) & (F.col("fp") == F.col("__keep_fp"))
-    once = marked.join(chosen, same, "left_semi").dropDuplicates([f"c{docs.columns.index(id_column)}", "fp"])
-    return once.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own_id = names[docs.columns.index(id_column)]
+    marked = docs.toDF(*names).withColumn("fp", fingerprints_of(F.col(names[docs.columns.index(text_column)]), rule))
+    same = F.col(own_id).cast("long").eqNullSafe(F.col("__keep_id")) & (F.col("fp") == F.col("__keep_fp"))
+    once = marked.join(chosen, same, "left_semi").dropDuplicates([own_id, "fp"])
+    return once.select(*[F.col(name).alias(c) for name, c in zip(names, docs.columns)])

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -86,7 +86,7 @@ def sequence_hashes(sums: np.ndarray, starts: np.ndarray, lengths) -> np.ndarray
 
 
 def chunks(column: pa.Array, separators: np.ndarray, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:
-    """The words of a string column, some MB of text at a time; nulls are empty texts."""
+    """The words of a string column, some text at a time; nulls are empty texts."""
     if column.null_count:
         column = pc.fill_null(column, "")
     wide = pa.types.is_large_string(column.type)

@@ -1,11 +1,11 @@
 import pytest
 
-from reachlens.llm.queries import importable
+from reachlens.llm.queries import prepare
 
 
 @pytest.fixture(autouse=True)
 def workers(spark):
-    importable(spark)
+    prepare(spark)
 
 
 @pytest.fixture
