@@ -39,7 +39,7 @@ class Packing:
     tokenizer: str
     capacity: int = 1024
     end: int = 2
-    remembered: int = 500_000
+    remembered: int = 120_000
 
 
 class Encoder:
@@ -75,11 +75,16 @@ class Encoder:
         """Words with their leading blank; those at the start of a text have none and are led by a line end."""
         led = [word if word[0] == " " else "\n" + word for word in words]
         ids = np.array(self._words.encode_ordinary("".join(led)), dtype="<u4")
-        ends = np.searchsorted(np.cumsum(self._sizes[ids]), np.cumsum([len(w.encode()) for w in led])) + 1
-        raw, start = ids.tobytes(), 0
-        for word, end in zip(words, ends.tolist()):
-            self._known[word] = raw[4 * (start + (word[0] != " ")) : 4 * end]
-            start = end
+        sizes = np.fromiter((len(word.encode()) for word in led), dtype=np.int64, count=len(led))
+        ends = np.searchsorted(np.cumsum(self._sizes[ids]), np.cumsum(sizes)) + 1
+        own = np.fromiter((word[0] != " " for word in words), dtype=np.int64, count=len(led))
+        starts = np.append(0, ends[:-1]) + own
+        raw = ids.tobytes()
+        self._known.update(zip(words, [raw[i:j] for i, j in zip((4 * starts).tolist(), (4 * ends).tolist())]))
+
+    def forget(self) -> None:
+        """Give the words' memory back; the next task starts with others anyway."""
+        self._known.clear()
 
     def _split(self, text: str) -> list[str] | None:
         if not text or text[0] in " \n" or text[-1] in " \n" or self._BLANKS.search(text) or self._ODD.search(text):
@@ -88,21 +93,27 @@ class Encoder:
             return None
         return text.replace(" ", "\0 ").split("\0")
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of every text; a null text has none."""
         for low in range(0, len(texts), 500):
-            part = texts[low : low + 500]
+            part = [text or "" for text in texts.slice(low, 500).to_pylist()]
             split = [self._split(text) for text in part]
-            words = set().union(*filter(None, split))
-            missing = list(words - self._known.keys())
-            if len(self._known) + len(missing) > self._most:
+            if len(self._known) > self._most:
                 self._known.clear()
-                missing = list(words)
+            found = [list(map(self._known.get, own)) if own else None for own in split]
+            missing = {w for own, ids in zip(split, found) if ids for w, i in zip(own, ids) if i is None}
             if missing:
-                self._learn(missing)
-            for text, own in zip(part, split):
-                yield b"".join(map(self._known.__getitem__, own)) if own else self._whole(text)
+                self._learn(list(missing))
+            for text, own, ids in zip(part, split, found):
+                if not own:
+                    yield self._whole(text)
+                elif None in ids:
+                    yield b"".join([self._known[w] if i is None else i for w, i in zip(own, ids)])
+                else:
+                    yield b"".join(ids)
 
 
+#: One per worker process; it takes a second to make.
 _ENCODERS: dict[Packing, Encoder] = {}
 
 
@@ -110,14 +121,14 @@ def _cut(rule: Packing):
     """Pieces of documents, numbered by length within the task."""
 
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ENCODERS.setdefault(rule, None) or Encoder(rule)
-        _ENCODERS[rule] = encode
+        if rule not in _ENCODERS:
+            _ENCODERS[rule] = Encoder(rule)
+        encode = _ENCODERS[rule]
         task, seen = TaskContext.get().partitionId(), [0] * (rule.capacity + 1)
         end = np.array([rule.end], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            texts = ["" if text is None else text for text in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 ids += end
                 total = len(ids) // 4
                 start, piece = 0, 0
@@ -131,6 +142,7 @@ def _cut(rule: Packing):
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"]
             columns = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
+        encode.forget()
 
     return function
 

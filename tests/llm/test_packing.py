@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import frames
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -29,7 +30,7 @@ def test_ids_are_those_of_the_tokenizer(tokenizer, documents):
     chance = random.Random(1)
     texts += ["".join(chance.choice("ab ',.\n1é日'\t  s") for _ in range(60)) for _ in range(300)]
     encoder = packing.Encoder(packing.Packing(FILE, remembered=2000))
-    for text, found in zip(texts, encoder(texts)):
+    for text, found in zip(texts, encoder(pa.array(texts))):
         assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
