@@ -5,7 +5,7 @@ are never shipped one by one. Every window contains an *anchor*, the k-mer with
 have equal anchors; the maximal stretch of consecutive windows around one anchor is a *path* of up to
 ``window - anchor + 1`` edges and travels as one row with its anchor, the hash of its words and its source coordinates.
 
-1. Within a batch of documents, and then per anchor across all (one shuffle, sorted, streamed in constant memory),
+1. Among some documents of a task, and then per anchor across all (one shuffle, sorted, streamed in constant memory),
    equal paths meet. A path at a later coordinate than an equal one is repeated whole.
 2. An anchor that has one path only does not branch there: nothing else can be equal. Where an anchor has several
    different paths the graph branches; the first copy of each is joined with its text by source coordinates and split
@@ -30,6 +30,8 @@ from reachlens.llm import words as W
 from reachlens.session import materialize
 
 _INDEX_BITS, _LAST = 24, (1 << 63) - 1
+#: Paths that a task compares among themselves before it ships them.
+_HELD_PATHS = 1 << 20
 _REPEATED, _PATH = 0, 1
 _RUNS = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("path", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
 _FOUND = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
@@ -93,9 +95,25 @@ def _paths(words: W.Words, sums: np.ndarray, rule: Passages):
 
 
 def _ship_paths(rule: Passages):
+    def settled(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """What an earlier document of these has is settled: it only travels along, spread evenly."""
+        anchors, hashes, doc, place = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((place, doc, hashes, anchors))
+        anchors, hashes, doc, place = anchors[order], hashes[order], doc[order], place[order]
+        again = np.zeros(len(order), dtype=bool)
+        again[1:] = (anchors[1:] == anchors[:-1]) & (hashes[1:] == hashes[:-1])
+        # The same coordinate once more is a repeated row, not an earlier passage.
+        first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+        again &= (doc != doc[first]) | (place >> 32 != place[first] >> 32)
+        spread = W.mix(doc.view(np.uint64) * np.uint64(31) + place.view(np.uint64)).view(np.int64)
+        kind = np.where(again, _REPEATED, _PATH).astype(np.int8)
+        columns = [kind, np.where(again, spread, anchors), np.where(again, 0, hashes), doc, place]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_RUNS)
+
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            docs, parts = batch.column(0).to_numpy(zero_copy_only=False), []
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
             for words in W.chunks(batch.column(1), W.WHITE_SPACE):
                 if len(words.starts) < rule.window:
                     continue
@@ -103,21 +121,12 @@ def _ship_paths(rule: Passages):
                 starts, counts, texts, anchors, hashes = _paths(words, sums, rule)
                 place = _place(starts - words.first[texts], counts, _checks(words, sums)[texts])
                 parts.append((anchors, hashes, docs[words.rows.start + texts], place))
-            if not parts:
-                continue
-            anchors, hashes, doc, place = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((place, doc, hashes, anchors))
-            anchors, hashes, doc, place = anchors[order], hashes[order], doc[order], place[order]
-            again = np.zeros(len(order), dtype=bool)
-            again[1:] = (anchors[1:] == anchors[:-1]) & (hashes[1:] == hashes[:-1])
-            # The same coordinate once more is a repeated row, not an earlier passage.
-            first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-            again &= (doc != doc[first]) | (place >> 32 != place[first] >> 32)
-            # What an earlier document of the batch has is settled: it only travels along, spread evenly.
-            spread = W.mix(doc.view(np.uint64) * np.uint64(31) + place.view(np.uint64)).view(np.int64)
-            kind = np.where(again, _REPEATED, _PATH).astype(np.int8)
-            columns = [kind, np.where(again, spread, anchors), np.where(again, 0, hashes), doc, place]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_RUNS)
+                held += len(anchors)
+                if held >= _HELD_PATHS:
+                    yield settled(parts)
+                    parts, held = [], 0
+        if parts:
+            yield settled(parts)
 
     return function
 
@@ -192,8 +201,8 @@ def _split_paths(rule: Passages):
     return function
 
 
-def _sorted_by_anchor(rows: DataFrame) -> DataFrame:
-    return rows.repartition("anchor").sortWithinPartitions("kind", "anchor", "path", "doc", "place")
+def _sorted_by(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions("kind", "anchor", "path", "doc", "place")
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -210,14 +219,14 @@ def repeats(docs: DataFrame, rule: Passages = Passages(), id_column: str = "doc_
     """
     texts = _texts(docs, id_column, text_column).drop("doc_id")
     paths = texts.mapInArrow(_ship_paths(rule), _RUNS_SQL)
-    met = materialize(_sorted_by_anchor(paths).mapInArrow(_meet(whole=True), _FOUND_SQL), "substring-paths")
+    met = materialize(_sorted_by(paths, "anchor").mapInArrow(_meet(whole=True), _FOUND_SQL), "substring-paths")
     asked = (
         met.where(F.col("kind") == _PATH)
         .groupBy("doc")
         .agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
     )
     edges = texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_split_paths(rule), _RUNS_SQL)
-    branched = _sorted_by_anchor(edges).mapInArrow(_meet(whole=False), _FOUND_SQL)
+    branched = _sorted_by(edges, "anchor", "path").mapInArrow(_meet(whole=False), _FOUND_SQL)
     return met.where(F.col("kind") == _REPEATED).select("doc", "place").unionByName(branched.select("doc", "place"))
 
 
