@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 _PREDICTED = "lang_pred string, score double, bits_per_symbol double"
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
