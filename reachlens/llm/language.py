@@ -4,8 +4,8 @@ Each language has a tree of byte contexts of up to ``order`` bytes with the coun
 cost of a byte is that of the longest known context that has seen it, after an escape for every longer one; the escape
 probability is that of method C (distinct followers against all followers), and below the empty context bytes are
 equally likely. Statistics are frozen after training, so the code length is a sum over the windows of ``order + 1`` bytes, and
-each window has a fixed cost in every language. The costs of all windows over the training alphabet are tabulated once; a
-byte that no language has seen is one symbol more.
+each window has a fixed cost in every language. The trees are sparse: sorted arrays have the costs of the windows that
+some language has seen and the escapes of their contexts, of every length; any other window escapes to a shorter one.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ _CHUNK = 1 << 18
 
 @dataclass(frozen=True)
 class Training:
-    """``order``: longest context; ``documents``: expected size of the sample drawn per language; ``symbols``: most
-    frequent bytes that get a symbol of their own, the others share one."""
+    """``order``: longest context; ``documents``: expected size of the sample drawn per language; ``symbols``: None
+    gives every byte its own symbol, a number only that many of the most frequent ones, and the others share one."""
 
     order: int = 3
     documents: int = 4000
-    symbols: int = 36
+    symbols: int | None = None
 
 
 def learnable(docs: DataFrame, id_column: str = "doc_id", lang_column: str = "lang", text_column: str = "text") -> DataFrame:
@@ -90,24 +90,45 @@ class Model:
         """``counts``: per language the windows seen and how often; ``alphabet`` maps bytes to symbols 0..size-1."""
         self.languages, self.alphabet, self.order = languages, alphabet, order
         self.size = size = int(alphabet.max()) + 1
-        shape = (size,) * (order + 1)
-        costs = np.empty((size ** (order + 1), len(languages)), dtype=np.float32)
-        for i, (windows, seen_times) in enumerate(counts):
-            table = np.zeros(size ** (order + 1), dtype=np.float32)
-            table[windows] = seen_times
-            table = table.reshape(shape)
-            bits = np.full(size, np.log2(size), dtype=np.float32)
-            for depth in range(order + 1):
-                # Sum away the symbols before the ``depth`` last ones of the context.
-                seen = table.sum(axis=tuple(range(order - depth))) if depth < order else table
-                total = seen.sum(axis=-1, keepdims=True)
-                distinct = (seen > 0).sum(axis=-1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    known = -np.log2(seen / (total + distinct))
-                    escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-                bits = np.where(seen > 0, known, escape + bits)
-            costs[:, i] = bits.reshape(-1)
-        self.costs = costs
+        windows = np.unique(np.concatenate([w for w, _ in counts])) if counts else np.zeros(0, np.int64)
+        seen = np.zeros((len(windows), len(languages)))
+        for i, (own, times) in enumerate(counts):
+            seen[np.searchsorted(windows, own), i] = times
+        levels = [(windows, seen)]
+        for depth in range(order, 0, -1):
+            # Sum away the first symbol.
+            shorter, place = np.unique(levels[-1][0] % size**depth, return_inverse=True)
+            sums = np.zeros((len(shorter), len(languages)))
+            np.add.at(sums, place, levels[-1][1])
+            levels.append((shorter, sums))
+        #: Of every depth the windows, their costs, the contexts and their escapes. All of them are sorted.
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for windows, seen in levels[::-1] if len(levels[0][0]) else []:
+            contexts, first, place = np.unique(windows // size, return_index=True, return_inverse=True)
+            total = np.add.reduceat(seen, first, axis=0)
+            distinct = np.add.reduceat(seen > 0, first, axis=0, dtype=np.float64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                known = -np.log2(seen / (total + distinct)[place])
+                escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
+            costs = np.where(seen > 0, known, escape[place] + self.costs(windows)).astype(np.float32)
+            self.levels.append((windows, costs, contexts, escape.astype(np.float32)))
+
+    def costs(self, windows: np.ndarray) -> np.ndarray:
+        """Bits of each window in every language, by the levels there are."""
+        out = np.zeros((len(windows), len(self.languages)), dtype=np.float32)
+        rest = np.arange(len(windows))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            known, costs, contexts, escapes = self.levels[depth]
+            own = windows[rest] % self.size ** (depth + 1)
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[place] == own
+            out[rest[hit]] += costs[place[hit]]
+            rest, own = rest[~hit], own[~hit] // self.size
+            place = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
+            met = contexts[place] == own
+            out[rest[met]] += escapes[place[met]]
+        out[rest] += np.float32(np.log2(self.size))
+        return out
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, its posterior share, and bits per symbol, of every text."""
@@ -118,7 +139,7 @@ class Model:
             sums = np.zeros((len(lengths), len(self.languages)))
             filled = np.flatnonzero(lengths)
             if len(filled):
-                costs = self.costs[windows]
+                costs = self.costs(windows)
                 sums[filled] = np.add.reduceat(costs, bounds[filled], axis=0, dtype=np.float64)
             letters = np.zeros(len(lengths), dtype=bool)
             plain = np.append(0, np.cumsum((folded >= 0x61) & (folded <= 0x7A)))
@@ -172,7 +193,7 @@ def train(
     text_column: str = "text",
 ) -> Model:
     """A model from labelled texts. Of every language about ``documents`` texts, chosen by a hash of their id, are counted,
-    whole; the model is what comes to the driver, at most ``(symbols + 2) ** (order + 1)`` counts per language."""
+    whole; the model is what comes to the driver, a count per language and window that the sample really has."""
     known = learnable(docs, id_column, lang_column, text_column)
     sizes = {row[0]: row[1] for row in known.groupBy(lang_column).count().collect()}
     languages = sorted(sizes)
@@ -181,13 +202,18 @@ def train(
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, rule.documents / sizes[name]))])
     drawn = F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.lit(1 << 20)) < share[F.col(lang_column)] * (1 << 20)
     sample = known.where(drawn).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
-    by_byte = sample.mapInArrow(_count_bytes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    frequent = sorted((row["key"] for row in sorted(by_byte, key=lambda r: (-r["n"], r["key"]))[: rule.symbols] if row["key"] != 0x20))
-    # Symbol 0 is the separator, the last one every other byte.
-    alphabet = np.full(256, len(frequent) + 1, dtype=np.int64)
+    if rule.symbols is None:
+        own = np.setdiff1d(_FOLD, [0x20])
+        others = 0
+    else:
+        by_byte = sample.mapInArrow(_count_bytes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+        own = sorted((row["key"] for row in sorted(by_byte, key=lambda r: (-r["n"], r["key"]))[: rule.symbols] if row["key"] != 0x20))
+        others = 1
+    # Symbol 0 is the separator; if symbols are capped, the last one is every other byte.
+    alphabet = np.full(256, len(own) + others, dtype=np.int64)
     alphabet[0x20] = 0
-    alphabet[frequent] = np.arange(1, len(frequent) + 1)
-    size = len(frequent) + 2
+    alphabet[own] = np.arange(1, len(own) + 1)
+    size = len(own) + 1 + others
     counted = sample.mapInArrow(_count(rule.order, languages, alphabet), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     arrow = counted.toArrow()
     language, window = np.divmod(arrow["key"].to_numpy(), size ** (rule.order + 1))

@@ -101,3 +101,28 @@ def test_nothing_to_learn(spark):
     assert language.identify(frames.docs(spark)).collect() == []
     rows = language.identify(frames.docs(spark, (1, "text", None, None, None))).collect()
     assert [(r.lang_pred, r.score) for r in rows] == [("und", 0.0)]
+
+
+def test_every_byte_has_its_own_symbol(spark):
+    """Code lengths over all bytes, with more of them than a dense table has room for, some never seen in training."""
+    chance = random.Random(5)
+    kinds = {"aa": "abcdefghijklmnopqrstuvwxyz áàâãäåæç", "bb": "abcdefghijklmnopqrstuvwxyz абвгдежз", "cc": "zyx ςστυφχψω日本語"}
+    rows = [(i, "".join(chance.choice(kinds[lang]) for _ in range(200)), lang, "s", 1) for i, lang in enumerate(list(kinds) * 12)]
+    rows += [(100, "ñ͸ \U0001f600 éa ß", None, "s", 1), (101, "a", None, "s", 1)]
+    df = frames.docs(spark, *rows)
+    brute = Brute([(r[2], r[1]) for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1], 3, 0)
+    brute.known = sorted({b for b in FOLD.values() if b != 0x20})
+    brute.size = len(brute.known) + 1
+    brute.follow.clear()
+    for i, text, lang, *_ in rows:
+        codes = [0] * 3 + brute.codes([FOLD[b] for b in text.encode()])
+        if lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            for at in range(3, len(codes)):
+                for depth in range(4):
+                    brute.follow[lang, tuple(codes[at - depth : at])][codes[at]] += 1
+    assert language.train(df).size == brute.size == 155
+    texts = {r[0]: r[1] for r in rows}
+    for r in language.identify(df).collect():
+        bits = {lang: brute.bits(lang, texts[r.doc_id]) for lang in brute.langs}
+        assert r.bits_per_symbol == pytest.approx(min(bits.values()) / len(texts[r.doc_id].encode()), rel=1e-5)
+        assert bits[r.lang_pred] == pytest.approx(min(bits.values()), rel=1e-5)
