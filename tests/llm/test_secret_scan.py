@@ -91,3 +91,14 @@ def test_statistics_of_the_battery(spark):
     df = spark.createDataFrame([(token,)], "token string").withColumn("encoding", secret_scan.encoding(F.col("token")))
     row = secret_scan._tested(df).first()
     assert row.encoding == "hex" and row.p == pytest.approx(math.exp(-s) * (1 + s + s * s / 2), rel=1e-4)
+
+
+def test_values_behind_an_equals_sign(spark):
+    chance = random.Random(15)
+    letters = string.ascii_letters + string.digits
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ83vLk0Tu", *("".join(chance.choice(letters) for _ in range(40)) for _ in range(59))]
+    forms = ["AWS_ACCESS_ID={}", "see https://host.example/f?a=1&sig={}&b=2", "level=info sig={} done", "padded== {}="]
+    rows = [(i, forms[i % len(forms)].format(key)) for i, key in enumerate(keys)]
+    found = {r.doc_id: r.spans.split(",") for r in secret_scan.scan(frames.docs(spark, *rows)).collect()}
+    whole = [f"random:{text.index(key)}:{text.index(key) + 40}" in found[i] for (i, text), key in zip(rows, keys)]
+    assert sum(whole) >= 0.9 * len(keys)
