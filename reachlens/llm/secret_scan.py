@@ -1,7 +1,7 @@
 """Secrets in texts: known formats, and tokens that a battery of randomness tests cannot tell from random.
 
-A token is a long run of characters that encodings use. Its encoding is inferred from its characters; over that
-alphabet it is tested for uniform letters (chi-squared), for runs of high and low letters (Wald and Wolfowitz) and for
+A token is a long run of characters that encodings use. Its encoding is inferred from its characters, every token has
+one; over that alphabet it is tested for uniform letters (chi-squared), for runs of high and low letters (Wald and Wolfowitz) and for
 serial correlation of neighbours. Fisher's method makes one p-value of the three. Ordinary text fails; a random key passes.
 
 Many tokens are tested, and a random one must not be dismissed as text by chance. So within each encoding and class of
@@ -31,10 +31,15 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "letters": "abcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base38": "0123456789abcdefghijklmnopqrstuvwxyz-_",
+    "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+# Encodings that use one case, upper or lower.
+_ONE_CASE = ("hex", "letters", "base36", "base38")
 _GRID = 300
 
 
@@ -48,14 +53,18 @@ class Battery:
 
 
 def encoding(token: Column) -> Column:
-    """The narrowest encoding whose alphabet explains the token; null for numbers and words."""
+    """The narrowest encoding whose alphabet explains the token; what no other explains is base64, in either variant."""
     digit = token.rlike("[0-9]")
+    one_case = lambda more: token.rlike(f"^([a-z{more}]+|[A-Z{more}]+)$")
     return (
         F.when(digit & token.rlike("[a-f]") & token.rlike("^[0-9a-f]+$"), "hex")
         .when(digit & token.rlike("[A-F]") & token.rlike("^[0-9A-F]+$"), "hex")
+        .when(one_case(""), "letters")
         .when(digit & token.rlike("[A-Z]") & token.rlike("^[A-Z2-7]+$"), "base32")
-        .when(digit & token.rlike("[a-z]") & token.rlike("^[0-9a-z]+$"), "base36")
-        .when(digit & token.rlike("[a-z]") & token.rlike("[A-Z]"), "base64")
+        .when(one_case("0-9"), "base36")
+        .when(one_case("0-9_-"), "base38")
+        .when(token.rlike("^[A-Za-z]+$"), "mixed")
+        .otherwise("base64")
     )
 
 
@@ -71,7 +80,7 @@ def _upper_tail(z: Column) -> Column:
 
 def _codes(token: Column, name: Column) -> Column:
     """Places of the token's characters in its alphabet."""
-    plain = F.when(name == "hex", F.lower(token)).when(name == "base64", F.translate(token, "-_", "+/")).otherwise(token)
+    plain = F.when(name.isin(*_ONE_CASE), F.lower(token)).when(name == "base64", F.translate(token, "-_", "+/")).otherwise(token)
     alphabet = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])[name]
     return F.transform(F.split(plain, ""), lambda c: F.position(c, alphabet) - 1)
 
@@ -81,8 +90,14 @@ def _tested(tokens: DataFrame) -> DataFrame:
     size = F.create_map(*[x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(len(v)))])[F.col("encoding")]
     df = tokens.withColumn("codes", _codes(F.col("token"), F.col("encoding"))).withColumn("a", size.cast("double"))
     df = df.withColumn("n", F.size("codes").cast("double"))
-    # Sum of squared letter counts: every character adds the count of its letter.
-    same = F.aggregate("codes", F.lit(0.0), lambda acc, c: acc + F.size(F.filter("codes", lambda d: d == c)))
+    # Sum of squared letter counts, in one pass over the sorted letters: the k-th of its kind adds 2 k - 1.
+    first = F.struct(F.lit(-2).alias("last"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sum"))
+
+    def counted(acc: Column, c: Column) -> Column:
+        k = F.when(c == acc["last"], acc["k"] + 1.0).otherwise(F.lit(1.0))
+        return F.struct(c.alias("last"), k.alias("k"), (acc["sum"] + 2.0 * k - 1.0).alias("sum"))
+
+    same = F.aggregate(F.array_sort("codes"), first, counted, lambda acc: acc["sum"])
     high = F.transform("codes", lambda c: c * 2 >= F.col("a"))
     df = df.withColumn("squares", same).withColumn("high", high)
     df = df.withColumn("ones", F.size(F.filter("high", lambda h: h)).cast("double"))
@@ -143,7 +158,7 @@ def scan(docs: DataFrame, rule: Battery = Battery(), id_column: str = "doc_id",
         _scanned(docs, rule, id_column, text_column).withColumn("row", F.monotonically_increasing_id()), "secrets"
     )
     tokens = rows.select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.end", F.col("t.match").alias("token"))
-    judged = _tested(tokens.withColumn("encoding", encoding(F.col("token"))).where("encoding is not null"))
+    judged = _tested(tokens.withColumn("encoding", encoding(F.col("token"))))
     judged = judged.withColumn("class", _length_class(F.col("n"), rule))
     judged = materialize(judged.select("row", "start", "end", "encoding", "class", "p"), "tokens")
     # Benjamini and Hochberg on a grid: bin b has the p-values up to exp(-b / 10).

@@ -102,3 +102,22 @@ def test_values_behind_an_equals_sign(spark):
     found = {r.doc_id: r.spans.split(",") for r in secret_scan.scan(frames.docs(spark, *rows)).collect()}
     whole = [f"random:{text.index(key)}:{text.index(key) + 40}" in found[i] for (i, text), key in zip(rows, keys)]
     assert sum(whole) >= 0.9 * len(keys)
+
+
+def test_every_token_is_judged(spark):
+    """Alphabets without lower case, with signs or without digits are flagged where random and not where they are text."""
+    chance = random.Random(23)
+    kinds = [
+        string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits + "-_", string.ascii_uppercase + string.digits + "-_",
+        string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_letters + "-_", string.ascii_letters + "+/",
+    ]
+    keys = [("".join(chance.choice(k) for _ in range(40)), i) for i, k in enumerate(kinds) for _ in range(30)]
+    plain = ["-" * 40, "_" * 200, "A" * 60, "/" * 20, "z" * 200_000, "ABCDEFGH" * 8, "abcdefghij" * 5, "aaaa-bbbb-aaaa-bbbb-aaaa-bbbb"]
+    plain += ["the-same-words-again-and-again-" * 3 + str(i) for i in range(20)] + ["SENTENCEENDSEENASENSEDTENNESSEE" * 2] * 10
+    rows = [(i, f"see {t} here") for i, t in enumerate([k for k, _ in keys] + plain)]
+    found = {r.doc_id: r.spans for r in secret_scan.scan(frames.docs(spark, *rows)).collect()}
+    flagged = {i for i, spans in found.items() if "random" in spans}
+    for kind in range(len(kinds)):
+        own = [i for i, (_, k) in enumerate(keys) if k == kind]
+        assert len(flagged.intersection(own)) >= 0.85 * len(own), kind
+    assert sum(i >= len(keys) for i in flagged) <= 0.1 * len(plain)
