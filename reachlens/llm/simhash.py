@@ -260,7 +260,8 @@ def links(fps: DataFrame, rule: Near = Near()) -> DataFrame:
 
 
 def classes(found: DataFrame, rule: Near = Near()) -> DataFrame:
-    """``fp, component_id``: for every distinct fingerprint the smallest document id that links reach from it.
+    """``fp, root, component_id``: for every distinct fingerprint the one that stands for its component, and the smallest
+    document id that links reach from it.
 
     Ids that are null are passed over; a component of such documents only has a null id.
     """
@@ -269,7 +270,7 @@ def classes(found: DataFrame, rule: Near = Near()) -> DataFrame:
     member = stars.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(lowest, "root").select("fp", "component_id")
+    return rooted.join(lowest, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(
@@ -294,14 +295,14 @@ def keep_one(
     """
     found = materialize(fingerprints(docs, rule, id_column, text_column), "simhash")
     named = classes(found, rule)
-    # Of the smallest id's fingerprints (an id may have several rows) the smallest one.
+    # Of the smallest id's fingerprints in the component (an id may have several rows, in other components too) the smallest.
     chosen = (
         found.join(named, "fp")
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("apart"))
-        .agg(F.min("fp").alias("fp"))
+        .groupBy("root")
+        .agg(F.first("component_id").alias("__keep_id"), F.min("fp").alias("__keep_fp"))
+        .drop("root")
     )
-    chosen = chosen.select(F.col("doc_id").alias("__keep_id"), F.col("fp").alias("__keep_fp"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     own_id = names[docs.columns.index(id_column)]
     marked = docs.toDF(*names).withColumn("fp", fingerprints_of(F.col(names[docs.columns.index(text_column)]), rule))

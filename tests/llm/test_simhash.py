@@ -106,3 +106,21 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (5, 5), (None, 3)], "a long, b long")
     found = {r.u: r.v for r in graph.components(edges).collect()}
     assert found == {**{i: 0 for i in range(1, 101)}, 201: 200}
+
+
+def test_an_id_with_unrelated_texts(spark):
+    """Each text is the smallest id of a component of its own, and none of the components is lost; nor do more stay."""
+    one, two = "alpha beta gamma delta " * 9, "red green blue yellow black " * 9
+    df = frames.docs(spark, (1, one), (1, two), (5, one), (6, two))
+    assert len({r.fingerprint for r in simhash.near_duplicates(df).collect()}) == 2
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == sorted([(1, one), (1, two)])
+
+
+def test_near_copies_without_ids(spark):
+    """One row of a component stays, whatever the number of its fingerprints."""
+    words = [f"word{i}" for i in range(600)]
+    texts = [" ".join(words[:i] + ["other"] + words[i + 1 :]) for i in range(0, 600, 60)]
+    df = frames.docs(spark, *[(None, t) for t in texts])
+    found = simhash.fingerprints(df, simhash.Near(), "doc_id", "text")
+    classes = simhash.classes(found).collect()
+    assert len({r.fp for r in classes}) > len({r.root for r in classes}) == simhash.keep_one(df).count()
