@@ -8,6 +8,9 @@ that both hold is the smallest of its bin on both sides with a chance of 63 % or
 ``t n`` are in the document, stays without a common minimum with a chance below ``0.37 ** (t n)``. Items too small
 for that to be negligible are looked up with all their shingles. What has a common minimum is verified: the share
 is counted exactly on the shingles' words.
+
+A text of fewer words than a shingle has its whole sequence as its only shingle. So an item that short is found only in
+a document that is just these words; longer documents have full shingles only, even if they hold it word for word.
 """
 
 from __future__ import annotations
