@@ -2,8 +2,9 @@
 
 The plan depends on the number of pieces of every length only, at most ``capacity`` numbers, so it is made on the driver
 from an aggregate that doesn't grow with the corpus; the pieces themselves are never moved. Longest lengths first, a
-piece's gap is filled exactly by one, two or three lengths whose sum is the gap: pair sums are indexed, a triple is a length
-and an indexed pair. A combination is used as often as the counts of its lengths allow. What no exact complement fills is
+piece's gap is filled exactly by one, two or three lengths whose sum is the gap. Pairs and triples are found by scanning the
+counts of the lengths; there is no index of sums. Plans with complements of up to three, two, one and no lengths are made,
+and the one with the fewest sequences is used, which may be the one without pairs and triples. A combination is used as often as the counts of its lengths allow. What no exact complement fills is
 packed best fit. Pieces of a length are interchangeable, so a piece finds its sequence by its number among those of
 its length: its number within its task plus the pieces of the tasks before it.
 """
