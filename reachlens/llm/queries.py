@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import decontaminate, language, packing, pii, prefix_forest, secret_scan, sharding, simhash, substrings, warc
+from reachlens.llm import decontaminate, language, licenses, packing, pii, prefix_forest, secret_scan, sharding, simhash, substrings, warc
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -147,3 +147,61 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
     return pii.scan(table(spark, folder, "documents")).drop("found")
+
+
+@registered
+def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases of every document, and notices that a block of its text contains."""
+    return licenses.scan(table(spark, folder, "documents")).drop("blocks")
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TEMPLATES = ", ".join(f"({i}, {_quoted(label)}, {_quoted(text)})" for i, (label, text) in enumerate(licenses.TEMPLATES))
+_PHRASES = ", ".join(f"({_quoted(phrase)}, {_quoted(label)})" for phrase, label in licenses.PHRASES)
+_SPLIT = r"regexp_extract_all(translate({}, '" + _UPPER + "', '" + _LOWER + r"'), '[^\x00-/:-`{{-\x7f]+')"
+ORACLES["op13_license_scan"] = f"""
+WITH templates(template, label, text) AS (VALUES {_TEMPLATES}),
+phrases(phrase, label) AS (SELECT string_split(p, ' '), l FROM (VALUES {_PHRASES}) AS v(p, l)),
+template_words AS (SELECT template, label, {_SPLIT.format("text")} AS w FROM templates),
+tokens AS (
+  SELECT DISTINCT template, label, len(w) AS m, w[i : i + 4] AS s
+  FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM template_words)
+),
+sizes AS (SELECT template, label, m, count(*) AS size FROM tokens GROUP BY ALL),
+docs AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS w FROM documents),
+bases AS (
+  SELECT doc_id, place, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS place FROM docs), phrases
+  WHERE w[place : place + len(phrase) - 1] = phrase
+),
+by_base AS (
+  SELECT doc_id, count(*) AS n_base, min(place) - 1 AS first_word, max(place) - 1 AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM bases GROUP BY doc_id
+),
+hits AS (
+  SELECT doc_id, template, label, m, s, place
+  FROM (SELECT doc_id, place, w[place + 1 : place + 5] AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS place FROM docs))
+  JOIN tokens USING (s)
+),
+blocks AS (
+  SELECT doc_id, template, block, count(DISTINCT s) AS contained
+  FROM (SELECT *, unnest([place // m - 1, place // m]) AS block FROM hits)
+  WHERE block >= 0 AND place + 5 <= (block + 2) * m GROUP BY ALL
+),
+matches AS (
+  SELECT doc_id, label, contained / size::DOUBLE AS containment
+  FROM blocks JOIN sizes USING (template) WHERE contained >= ceil(0.8 * size - 1e-9)
+),
+all_labels AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM bases UNION ALL SELECT doc_id, label FROM matches) GROUP BY doc_id
+),
+scores AS (SELECT doc_id, max(containment) AS best FROM matches GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM docs LEFT JOIN by_base USING (doc_id) LEFT JOIN all_labels USING (doc_id) LEFT JOIN scores USING (doc_id)
+"""
