@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import decontaminate, language, licenses, packing, pii, prefix_forest, secret_scan, sharding, simhash, substrings, warc
+from reachlens.llm import decontaminate, language, licenses, packing, pii, prefix_forest, secret_scan, sharding, simhash, substrings, warc, whitening
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -149,6 +149,12 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.scan(table(spark, folder, "documents")).drop("found")
 
 
+@registered
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 32 whitened components of every usable vector."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @registered
 def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases of every document, and notices that a block of its text contains."""
