@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachlens.llm import decontaminate, language, licenses, packing, pii, prefix_forest, secret_scan, sharding, simhash, substrings, warc, whitening
+from reachlens.llm import decontaminate, language, licenses, packing, pii, prefix_forest, prefix_trie, secret_scan, sharding, simhash, substrings, warc, whitening
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -149,6 +149,48 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.scan(table(spark, folder, "documents")).drop("found")
 
 
+@registered
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of the prefixes of all rebuilt conversations."""
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = """
+WITH turns AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS w
+  FROM turns GROUP BY c
+), checked AS (
+  SELECT c, w, c - c % 5 AS b, xor(list_reduce(
+    list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda v, step: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)
+  ), 4294967295) % 9 AS h FROM own
+), rebuilt AS (
+  SELECT a.c, list_concat(list_slice(coalesce(base.w, []), 1, a.h), list_slice(a.w, a.h + 1, len(a.w))) AS w
+  FROM checked a LEFT JOIN own base ON a.b = base.c
+), prefixes AS (
+  SELECT c, d, len(w) AS n, sha256(w[1 : d]::VARCHAR) AS k, CASE WHEN d > 0 THEN sha256(w[1 : d - 1]::VARCHAR) END AS p,
+    CASE WHEN d > 0 THEN octet_length(encode(w[d].text)) ELSE 0 END AS size
+  FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, k, min(p) AS p, min(size) AS size, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, k
+), counted AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children
+  FROM nodes LEFT JOIN (SELECT d - 1 AS d, p AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL) USING (d, k)
+), subtrees AS (
+  SELECT above.d, above.k, sum((below.n_convs - 1) * below.size) AS saved, count(*) FILTER (below.n_children = 0) AS leaves
+  FROM counted below JOIN prefixes above ON above.c = below.conv_id AND above.d <= below.d GROUP BY ALL
+)
+SELECT a.conv_id, a.d AS depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, a.ends_sha256
+FROM counted a JOIN subtrees USING (d, k) LEFT JOIN nodes b ON b.d = a.d - 1 AND b.k = a.p
+"""
+
+
 @registered
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """The first 32 whitened components of every usable vector."""
