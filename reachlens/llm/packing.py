@@ -1,11 +1,12 @@
 """Documents as token sequences of bounded length, packed into as few sequences as possible.
 
 The plan depends on the number of pieces of every length only, at most ``capacity`` numbers, so it is made on the driver
-from an aggregate that doesn't grow with the corpus; the pieces themselves are never moved. Longest lengths first, a
-piece's gap is filled exactly by one, two or three lengths whose sum is the gap. Pairs and triples are found by scanning the
-counts of the lengths; there is no index of sums. Plans with complements of up to three, two, one and no lengths are made,
-and the one with the fewest sequences is used, which may be the one without pairs and triples. A combination is used as often as the counts of its lengths allow. What no exact complement fills is
-packed best fit. Pieces of a length are interchangeable, so a piece finds its sequence by its number among those of
+from an aggregate that doesn't grow with the corpus; the pieces themselves are never moved. A piece's gap is filled exactly by
+one, two or three lengths whose sum is the gap: sums of single lengths, pairs and triples are keys of a hash index, and a
+combination is used as often as the counts of its lengths allow. All gaps are looked up among the singles before the pairs
+and among the pairs before the triples. What no exact complement fills is packed best fit. Pairs and triples of short
+lengths would use up the pieces that best fit needs at the end, so lengths below a reserve stay out of them; the reserve
+with the fewest sequences is used. Pieces of a length are interchangeable, so a piece finds its sequence by its number among those of
 its length: its number within its task plus the pieces of the tasks before it.
 """
 
@@ -28,90 +29,54 @@ from tokenizers import Tokenizer
 from reachlens.session import materialize
 
 # The pre-token pattern of byte-level vocabularies, as published with them.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LOOK_AHEAD = r"\s+(?!\S)|"
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|" + LOOK_AHEAD + r"\s+"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
 
 
 @dataclass(frozen=True)
 class Packing:
-    """``capacity`` tokens a sequence; ``end`` id behind every document; words whose ids a worker remembers."""
+    """``capacity`` tokens a sequence; ``end`` id behind every document."""
 
     tokenizer: str
     capacity: int = 1024
     end: int = 2
-    remembered: int = 120_000
 
 
 class Encoder:
     """Token ids as little-endian 32-bit bytes, equal to those of the ``tokenizers`` file.
 
-    A byte-level pre-token never reaches across a single blank between other characters: the blank opens the next one.
-    A text without other blanks is therefore encoded word by word, and the ids of words are remembered. New words are
-    encoded many at a time by ``tiktoken`` on the vocabulary of that file. Texts with other white space, with special
-    tokens or with characters beyond Latin letters go to ``tokenizers`` whole.
+    Texts of Latin letters are encoded whole by ``tiktoken`` on the vocabulary of that file, which is several times as fast.
+    Where no white space follows on white space, the pattern's look-ahead never decides anything and is left out. Texts with
+    special tokens or with other characters go to ``tokenizers``.
     """
 
     _ODD = re.compile("[^ -~\n\u00c0-\u024f]")
-    _BLANKS = re.compile("  | \n|\n ")
+    _RUNS = re.compile("[ \n][ \n]")
 
     def __init__(self, rule: Packing):
         self._tokenizer = Tokenizer.from_file(rule.tokenizer)
-        self._most = rule.remembered
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         unicode_bytes = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in unicode_bytes}
         byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(unicode_bytes))}
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in self._special}
-        self._words = tiktoken.Encoding("words", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
-        self._sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        self._sizes[list(ranks.values())] = [len(token) for token in ranks]
-        self._known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Words with their leading blank; those at the start of a text have none and are led by a line end."""
-        led = [word if word[0] == " " else "\n" + word for word in words]
-        ids = np.array(self._words.encode_ordinary("".join(led)), dtype="<u4")
-        sizes = np.fromiter((len(word.encode()) for word in led), dtype=np.int64, count=len(led))
-        ends = np.searchsorted(np.cumsum(self._sizes[ids]), np.cumsum(sizes)) + 1
-        own = np.fromiter((word[0] != " " for word in words), dtype=np.int64, count=len(led))
-        starts = np.append(0, ends[:-1]) + own
-        raw = ids.tobytes()
-        self._known.update(zip(words, [raw[i:j] for i, j in zip((4 * starts).tolist(), (4 * ends).tolist())]))
-
-    def forget(self) -> None:
-        """Give the words' memory back; the next task starts with others anyway."""
-        self._known.clear()
-
-    def _split(self, text: str) -> list[str] | None:
-        if not text or text[0] in " \n" or text[-1] in " \n" or self._BLANKS.search(text) or self._ODD.search(text):
-            return None
-        if any(token in text for token in self._special):
-            return None
-        return text.replace(" ", "\0 ").split("\0")
+        self._runs = tiktoken.Encoding("runs", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        single = PRE_TOKENS.replace(LOOK_AHEAD, "")
+        self._singles = tiktoken.Encoding("singles", pat_str=single, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _ids(self, text: str) -> list[int]:
+        if self._ODD.search(text) or any(token in text for token in self._special):
+            return self._tokenizer.encode(text, add_special_tokens=False).ids
+        return self._runs(text) if self._RUNS.search(text) else self._singles(text)
 
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of every text; a null text has none."""
         for low in range(0, len(texts), 500):
-            part = [text or "" for text in texts.slice(low, 500).to_pylist()]
-            split = [self._split(text) for text in part]
-            if len(self._known) > self._most:
-                self._known.clear()
-            found = [list(map(self._known.get, own)) if own else None for own in split]
-            missing = {w for own, ids in zip(split, found) if ids for w, i in zip(own, ids) if i is None}
-            if missing:
-                self._learn(list(missing))
-            for text, own, ids in zip(part, split, found):
-                if not own:
-                    yield self._whole(text)
-                elif None in ids:
-                    yield b"".join([self._known[w] if i is None else i for w, i in zip(own, ids)])
-                else:
-                    yield b"".join(ids)
+            for text in texts.slice(low, 500).to_pylist():
+                yield np.array(self._ids(text or ""), dtype="<u4").tobytes()
 
 
 #: One per worker process; it takes a second to make.
@@ -143,7 +108,6 @@ def _cut(rule: Packing):
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"]
             columns = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
-        encode.forget()
 
     return function
 
@@ -151,24 +115,32 @@ def _cut(rule: Packing):
 class Plan:
     """Groups of equal sequences for given counts of pieces by length.
 
-    ``depth``: lengths that an exact complement may have. Complements of many short lengths use up what would fill the
-    last gaps, so ``fewest`` plans with every depth and takes the one with the fewest sequences.
+    Gaps are filled exactly by one length, then by two, then by three, found in an index of their sums, the longest pieces
+    first. ``reserve``: lengths below it are no part of a pair or triple, so that enough short pieces stay for the gaps that nothing
+    fills exactly. ``even``: of several combinations take the one of most equal lengths first, else the most unequal one. ``depth``: most
+    lengths in a combination. ``fewest`` makes the plan with several reserves, in both orders, and takes the one with the
+    fewest sequences.
     """
 
-    def __init__(self, counts: dict[int, int], capacity: int, depth: int = 3):
-        self.capacity, self.depth, self.groups = capacity, depth, []
-        left = np.zeros(capacity + 1, dtype=np.int64)
+    def __init__(self, counts: dict[int, int], capacity: int, depth: int = 3, reserve: int = 0, even: bool = True):
+        self.capacity, self.even, self.groups = capacity, even, []
+        self._left = left = np.zeros(capacity + 1, dtype=np.int64)
         for length, count in counts.items():
             left[length] = count
-        self._left = left
-        for length in range(capacity, 0, -1):
-            while left[length] and (lengths := self._complement(length)):
-                self._use(lengths)
+        for parts in range(1, depth + 1):
+            if parts == 2:
+                self._parts = [n for n in range(max(1, reserve), capacity) if left[n]]
+                self._pairs = self._index_pairs()
+                self._triples: dict[int, list[int]] = {}
+            for length in range(capacity, 0, -1):
+                while left[length] and (lengths := self._exact(length, parts)):
+                    self._use(lengths)
         self._best_fit()
 
     @classmethod
     def fewest(cls, counts: dict[int, int], capacity: int) -> Plan:
-        return min((cls(counts, capacity, depth) for depth in (3, 2, 1, 0)), key=cls.sequences)
+        choices = [(reserve, even) for reserve in (0, *(capacity // k for k in (32, 16, 8, 4, 2))) for even in (True, False)]
+        return min((cls(counts, capacity, 3, reserve, even) for reserve, even in choices), key=cls.sequences)
 
     def sequences(self) -> int:
         return sum(times for _, times in self.groups)
@@ -180,37 +152,50 @@ class Plan:
             self._left[n] -= times * need
         self.groups.append((lengths, times))
 
+    def _index_pairs(self) -> dict[int, list[int]]:
+        """The longer lengths of all pairs by the pair's sum, the one to take first at the end."""
+        index: dict[int, list[int]] = {}
+        for longer in reversed(self._parts) if self.even else self._parts:
+            for shorter in self._parts:
+                if shorter > longer or shorter + longer > self.capacity:
+                    break
+                index.setdefault(shorter + longer, []).append(longer)
+        return index
+
     def _pair(self, total: int, taken: Counter) -> tuple[int, int] | None:
-        """The most uneven available pair with this sum."""
-        if total < 2:
-            return None
-        left = self._left[1:total]
-        for a in np.flatnonzero((left > 0) & (left[::-1] > 0))[::-1].tolist():
-            pair = (a + 1, total - a - 1)
-            if pair[0] < pair[1]:
-                break
-            if all(self._left[n] >= need for n, need in (taken + Counter(pair)).items()):
-                return pair
+        """An available pair with this sum. Pairs that have run out leave the index, as counts never rise."""
+        longer = self._pairs.get(total, [])
+        while longer and not self._has(Counter((longer[-1], total - longer[-1]))):
+            longer.pop()
+        for n in reversed(longer):
+            if self._has(taken + Counter((n, total - n))):
+                return n, total - n
         return None
 
-    def _complement(self, length: int) -> tuple[int, ...] | None:
+    def _triple(self, total: int, taken: Counter) -> tuple[int, int, int] | None:
+        """A length and an indexed pair. The lengths that can go with pairs are indexed by the sum when it is first asked for."""
+        if total not in self._triples:
+            with_pair = [n for n in self._parts if self._pairs.get(total - n)]
+            self._triples[total] = [n for n in with_pair if 3 * n >= total][::-1] if self.even else with_pair
+        firsts = self._triples[total]
+        for n in reversed(firsts):
+            if self._has(taken + Counter([n])) and (pair := self._pair(total - n, taken + Counter([n]))):
+                return n, *pair
+        self._triples[total] = [n for n in firsts if self._left[n] and self._pairs.get(total - n)]
+        return None
+
+    def _has(self, wanted: Counter) -> bool:
+        return all(self._left[n] >= need for n, need in wanted.items())
+
+    def _exact(self, length: int, parts: int) -> tuple[int, ...] | None:
+        """The length with as many others as fill its gap."""
         gap, one = self.capacity - length, Counter([length])
         if not gap:
             return (length,)
-        if not self.depth:
-            return None
-        if self._left[gap] >= 1 + (gap == length):
-            return (length, gap)
-        if self.depth == 1:
-            return None
-        if pair := self._pair(gap, one):
-            return (length, *pair)
-        if self.depth == 2:
-            return None
-        for third in np.flatnonzero(self._left[: gap - 1])[::-1].tolist():
-            if self._left[third] > one[third] and (pair := self._pair(gap - third, one + Counter([third]))):
-                return (length, third, *pair)
-        return None
+        if parts == 1:
+            return (length, gap) if self._has(one + Counter([gap])) else None
+        found = self._pair(gap, one) if parts == 2 else self._triple(gap, one)
+        return (length, *found) if found else None
 
     def _best_fit(self) -> None:
         """What is left, longest first, each into the fullest sequence that takes it."""

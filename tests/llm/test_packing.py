@@ -29,7 +29,7 @@ def test_ids_are_those_of_the_tokenizer(tokenizer, documents):
     texts = ODD + [r.text or "" for r in documents.select("text").collect()]
     chance = random.Random(1)
     texts += ["".join(chance.choice("ab ',.\n1é日'\t  s") for _ in range(60)) for _ in range(300)]
-    encoder = packing.Encoder(packing.Packing(FILE, remembered=2000))
+    encoder = packing.Encoder(packing.Packing(FILE))
     for text, found in zip(texts, encoder(pa.array(texts))):
         assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
