@@ -76,6 +76,22 @@ def _stacked(**tables: str) -> str:
     return " UNION ALL BY NAME ".join(parts)
 
 
+def _by_table_and_week(fact: str, where: str = "TRUE") -> str:
+    """Rows and sums of every weekly table by week, from a fact with week keys."""
+    names = {
+        "program": "program",
+        "genre_channel": "genre_channel",
+        "show": "show_prog",
+        "show_base": "show_base",
+        "channel_base": "channel_base",
+        "genre_base": "genre_base",
+    }
+    sums = ", ".join(f"CAST(sum({metric}) AS DOUBLE) AS {metric}" for metric in ("ADGRP", "FCT", "TVT"))
+    parts = [f"SELECT '{n}' AS name, WEEK_KEY, count(*) AS n, {sums} FROM {t} WHERE {where} GROUP BY WEEK_KEY" for n, t in names.items()]
+    ctes = [o.FACT, _KEYED, _REPAIR, o.program(fact), o.genre_channel(), o.show(fact)]
+    return o.query([*ctes, o.REF_CHANNEL, o.REF_GENRE, o.SHOW_BASE, o.CHANNEL_BASE, o.GENRE_BASE], " UNION ALL ".join(parts))
+
+
 # --- lists and parameters ---
 
 _CLIENTS = """clients AS (
@@ -233,6 +249,9 @@ ORACLES: dict[str, str] = {
             )
         ),
     ),
+    "published_builds": f"""SELECT *, 0 AS build FROM ({_by_table_and_week("keyed")})
+      UNION ALL SELECT *, 1 AS build FROM ({_by_table_and_week("repaired")})""",
+    "published_retention": _by_table_and_week("keyed", "WEEK_KEY > (SELECT max(WEEK_KEY) - 200 FROM keyed)"),
     "dates_as_text": o.query(
         [_DATES],
         "SELECT DATE_KEY::VARCHAR AS DATE_KEY, PRG_DATE::VARCHAR AS PRG_DATE, BARC_WEEK::VARCHAR AS BARC_WEEK,"
@@ -385,3 +404,5 @@ ORACLES: dict[str, str] = {
         [_NEWS], f"SELECT DISTINCT trim(Title) AS Title, {_NEWS_TEXT}, Link, Source, SearchTerm FROM news"
     ),
 }
+
+ORACLES["published_newest_week"] = ORACLES["default_end_date"]

@@ -17,6 +17,7 @@ from reachlens.plans import dashboard, weekly
 from reachlens.schemas import METRICS, NEWS_KEY, SOURCE_NEWER
 from reachlens.session import materialize, scratch_path
 from reachlens.sources import files, mapping, sinks
+from reachlens.sources.builds import Builds
 from reachlens.streaming import news_archive
 
 # Example selection of the dashboard queries.
@@ -571,6 +572,47 @@ def weekly_build(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def _published(spark: SparkSession, folder: str) -> weekly.PublishedRollups:
+    built = weekly.Rollups(
+        weeks.set_week_key(mapping.fact(spark, folder)),
+        mapping.ref_genre_tg_mkt(spark, folder),
+        mapping.ref_ch_group_tg_mkt(spark, folder),
+        names_follow_keys=True,
+    )
+    return weekly.publish_tables(built, Builds(spark, scratch_path(spark, "builds")))
+
+
+def _by_table_and_week(tables: weekly.Rollups) -> DataFrame:
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(metric).alias(metric) for metric in METRICS]]
+    frames = [
+        getattr(tables, name).groupBy(F.lit(name).alias("name"), "WEEK_KEY").agg(*sums) for name in weekly.WEEKLY_TABLES
+    ]
+    return _doubles(reduce(DataFrame.unionByName, frames), *METRICS)
+
+
+@register
+def published_builds(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables before and after a rebuild of the repaired weeks, both builds read after the second was published."""
+    before = _published(spark, folder)
+    repaired = weeks.repair_year_end(before.fact, REPAIRED_WEEKS)
+    after = weekly.publish_weeks(before, repaired, weeks.repaired_weeks(REPAIRED_WEEKS), names_follow_keys=True)
+    both = [_by_table_and_week(tables).withColumn("build", F.lit(tables.number)) for tables in (before, after)]
+    return both[0].unionByName(both[1])
+
+
+@register
+def published_retention(spark: SparkSession, folder: str) -> DataFrame:
+    """What all tables keep after the old weeks were dropped by metadata."""
+    return _by_table_and_week(weekly.publish_retention(_published(spark, folder)))
+
+
+@register
+def published_newest_week(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest week of a published table and what is offered by default for it, from the list of the build."""
+    builds = _published(spark, folder).builds
+    return weeks.default_selection(builds.newest_week("program").withColumnRenamed("max_week", "WEEK_KEY"))
+
+
 @register
 def enriched_genre_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The genre request on written tables, where the week range prunes partitions."""

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachlens.operators import affinity, rollups
+from reachlens.operators.weeks import RETAINED_SPAN
 from reachlens.session import materialize
 from reachlens.sources import sinks
+from reachlens.sources.builds import Builds, Stage
 
 
 class Rollups:
@@ -153,13 +155,7 @@ def write_tables(built: Rollups, database: str, names: Sequence[str] = WEEKLY_TA
 
     def write(frames: dict[str, Callable[[], DataFrame]]) -> None:
         wanted = {name: frame for name, frame in frames.items() if name in names}
-        with ThreadPoolExecutor(max_workers=max(len(wanted), 1)) as pool:
-            jobs = [
-                pool.submit(lambda name=name, frame=frame: sinks.replace_table(frame(), f"{database}.{name}", sinks.WEEK))
-                for name, frame in wanted.items()
-            ]
-            for job in jobs:
-                job.result()
+        _at_once(wanted, lambda name, df: sinks.replace_table(df, f"{database}.{name}", sinks.WEEK))
 
     write({"program": lambda: built.program, "show": lambda: built.show})
     write({"genre_channel": lambda: rollups.genre_channel_rollup(written.program)})
@@ -167,6 +163,13 @@ def write_tables(built: Rollups, database: str, names: Sequence[str] = WEEKLY_TA
     return TableRollups(built.fact, built.genre_reference, built.channel_reference, database)
 
 
+def _at_once(frames: dict[str, Callable[[], DataFrame]], write: Callable[[str, DataFrame], None]) -> None:
+    """Write tables that do not depend on each other at the same time."""
+    with ThreadPoolExecutor(max_workers=max(len(frames), 1)) as pool:
+        for job in [pool.submit(lambda name=name, frame=frame: write(name, frame())) for name, frame in frames.items()]:
+            job.result()
+
+
 def _bases(tables: Rollups) -> dict[str, Callable[[], DataFrame]]:
     return {
         "show_base": lambda: rollups.show_base(tables.show, tables.channel_reference),
@@ -188,16 +191,86 @@ def rebuild_weeks(
     outside ``weeks`` is read or written.
     """
     database = written.database
-    listed = F.col(sinks.WEEK).isin([int(week) for week in weeks])
-    of_weeks = repaired_fact.where(listed)
     rebuilt = TableRollups(repaired_fact, written.genre_reference, written.channel_reference, database)
-    frames = {
-        "program": lambda: rollups.program_rollup(of_weeks, names_follow_keys),
-        "show": lambda: rollups.show_rollup(of_weeks, names_follow_keys),
-        "genre_channel": lambda: rollups.genre_channel_rollup(rebuilt.program.where(listed)),
-        **_bases(rebuilt),
-    }
-    for name, frame in frames.items():
+    for name, frame in _frames_of_weeks(rebuilt, weeks, names_follow_keys).items():
         if name in names:
             sinks.replace_weeks(frame(), f"{database}.{name}", weeks)
     return TableRollups(repaired_fact, written.genre_reference, written.channel_reference, database)
+
+
+def _frames_of_weeks(tables: Rollups, weeks: Sequence[int], names_follow_keys: bool) -> dict[str, Callable[[], DataFrame]]:
+    """The rows of the weeks in every table, finer tables first; coarser ones are made from ``tables``."""
+    listed = F.col(sinks.WEEK).isin([int(week) for week in weeks])
+    of_weeks = tables.fact.where(listed)
+    return {
+        "program": lambda: rollups.program_rollup(of_weeks, names_follow_keys),
+        "show": lambda: rollups.show_rollup(of_weeks, names_follow_keys),
+        "genre_channel": lambda: rollups.genre_channel_rollup(tables.program.where(listed)),
+        **{name: lambda frame=frame: frame().where(listed) for name, frame in _bases(tables).items()},
+    }
+
+
+class PublishedRollups(TableRollups):
+    """Roll-ups as one build left them. All tables of a request are of the same build, whatever is published meanwhile."""
+
+    def __init__(
+        self, fact: DataFrame, genre_reference: DataFrame, channel_reference: DataFrame, builds: Builds, number: int | None = None
+    ) -> None:
+        super().__init__(fact, genre_reference, channel_reference, builds.root)
+        self.builds = builds
+        self.number = builds.newest() if number is None else number
+
+    def _table(self, name: str) -> DataFrame:
+        return self.builds.read(name, self.number)
+
+
+class _StagedRollups(TableRollups):
+    """Roll-ups with the changes of a build that is not published yet."""
+
+    def __init__(self, tables: Rollups, stage: Stage) -> None:
+        super().__init__(tables.fact, tables.genre_reference, tables.channel_reference, stage.builds.root)
+        self._stage = stage
+
+    def _table(self, name: str) -> DataFrame:
+        return self._stage.read(name)
+
+
+def publish_tables(built: Rollups, builds: Builds) -> PublishedRollups:
+    """Write all roll-ups and publish them as one build: readers have the tables before it until the last one is complete."""
+    stage = builds.stage()
+    staged = _StagedRollups(built, stage)
+    _at_once({"program": lambda: built.program, "show": lambda: built.show}, stage.replace)
+    _at_once({"genre_channel": lambda: rollups.genre_channel_rollup(staged.program)}, stage.replace)
+    _at_once(_bases(staged), stage.replace)
+    return PublishedRollups(built.fact, built.genre_reference, built.channel_reference, builds, stage.publish())
+
+
+def publish_weeks(
+    published: PublishedRollups, repaired_fact: DataFrame, weeks: Sequence[int], names_follow_keys: bool = False
+) -> PublishedRollups:
+    """Replace single weeks in all roll-ups by one build.
+
+    A failure at any point leaves every table as it was; running it again starts from there. The rebuild
+    stands on the build it read: if another one was published meanwhile, this one is refused.
+    """
+    builds, references = published.builds, (published.genre_reference, published.channel_reference)
+    stage = Stage(builds, published.number)
+    staged = _StagedRollups(Rollups(repaired_fact, *references), stage)
+    frames = _frames_of_weeks(staged, weeks, names_follow_keys)
+    for step in (("program", "show"), ("genre_channel",), BASE_TABLES):
+        _at_once({name: frames[name] for name in step}, lambda name, df: stage.replace_weeks(name, df, weeks))
+    return PublishedRollups(repaired_fact, *references, builds, stage.publish())
+
+
+def publish_retention(published: PublishedRollups, span: int = RETAINED_SPAN) -> PublishedRollups:
+    """Drop the weeks that are not later than the newest one less ``span`` from all tables, by metadata alone.
+
+    The newest week is that of the program roll-up. Rows without a week go, as they are not later either. ``Builds.vacuum`` frees
+    the space later.
+    """
+    stage = Stage(published.builds, published.number)
+    newest = max((week for week in stage.weeks("program") if week is not None), default=None)
+    for name in stage.names() if newest is not None else []:
+        stage.keep_weeks(name, lambda week: week is not None and week > newest - span)
+    references = (published.genre_reference, published.channel_reference)
+    return PublishedRollups(published.fact, *references, published.builds, stage.publish())

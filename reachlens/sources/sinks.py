@@ -21,7 +21,7 @@ def scratch_database(spark: SparkSession, label: str) -> str:
     return name
 
 
-def _in_cell_order(df: DataFrame) -> DataFrame:
+def in_cell_order(df: DataFrame) -> DataFrame:
     """Rows of a file by week, cell and advertiser, as far as the table has them.
 
     A request reads two cells and one advertiser; in this order the minima and maxima in the Parquet
@@ -37,7 +37,7 @@ def replace_table(df: DataFrame, table: str, partition: str | None = None) -> No
     and splits a large one over several tasks, so files have an even size whatever the week holds.
     """
     if partition:
-        df = _in_cell_order(df.hint("rebalance", F.col(partition)))
+        df = in_cell_order(df.hint("rebalance", F.col(partition)))
     writer = df.write.mode("overwrite").format("parquet")
     if partition:
         writer = writer.partitionBy(partition)
@@ -60,7 +60,7 @@ def replace_weeks(df: DataFrame, table: str, weeks: Sequence[int]) -> None:
     rows = own.read.schema(chosen.schema).parquet(path)
     filled = {row[0] for row in rows.select(WEEK).distinct().collect()}
     if filled:
-        _in_cell_order(rows.hint("rebalance", F.col(WEEK))).write.mode("overwrite").insertInto(table)
+        in_cell_order(rows.hint("rebalance", F.col(WEEK))).write.mode("overwrite").insertInto(table)
     if empty := [week for week in wanted if week not in filled]:
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS " + ", ".join(f"PARTITION ({WEEK} = {week})" for week in empty))
     spark.catalog.refreshTable(table)
