@@ -406,3 +406,7 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES["published_newest_week"] = ORACLES["default_end_date"]
+ORACLES["news_stream_repeats"] = f"""SELECT day, count(*) AS archived, count(*) AS tested FROM (
+  SELECT DISTINCT CAST(PublishDate AS DATE) AS day, Title, PublishDate, Link, Source, SearchTerm
+  FROM ({o.query([_NEWS], f"SELECT DISTINCT trim(Title) AS Title, {_NEWS_TEXT}, Link, Source, SearchTerm FROM news")})
+) GROUP BY day"""

@@ -982,3 +982,30 @@ def news_stream_archive(spark: SparkSession, folder: str) -> DataFrame:
         checkpoint = scratch_path(spark, "stream-state")
         news_archive.start(spark, path, table, checkpoint).awaitTermination()
     return _news_text(spark.table(table).select(*NEWS_KEY))
+
+
+@register
+def news_stream_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Items by day: those in the archive, and how many rows the stream had to compare with it.
+
+    Every third feed arrives in a first run. The second run goes on from its checkpoint with all feeds, a file at a time, and then
+    with all of them again: repeats of the first run, repeats within the run, and items published long before others
+    that arrived earlier. Repeats are told by the state, so each item is compared once.
+    """
+    path, checkpoint = scratch_path(spark, "feeds"), scratch_path(spark, "stream-state")
+    database = sinks.scratch_database(spark, "stream")
+    table, log = f"{database}.archive", f"{database}.tested"
+    news.create_archive(spark, table)
+    spark.sql(f"CREATE TABLE {log} (day date, batch bigint) USING parquet")
+
+    def tested(batch: DataFrame, number: int) -> None:
+        batch.select(F.to_date("PublishDate").alias("day"), F.lit(number).cast("long")).write.insertInto(log)
+
+    feeds = materialize(mapping.feeds(spark, folder), "all-feeds")
+    third = F.crc32(F.encode("SearchTerm", "UTF-8")) % 3 == 0
+    for arriving in ([feeds.where(third)], [feeds, feeds]):
+        for part in arriving:
+            part.coalesce(2).write.mode("append").parquet(path)
+        news_archive.start(spark, path, table, checkpoint, files_per_batch=1, tested=tested).awaitTermination()
+    archived = spark.table(table).groupBy(F.to_date("PublishDate").alias("day")).agg(F.count(F.lit(1)).alias("archived"))
+    return archived.join(spark.table(log).groupBy("day").agg(F.count(F.lit(1)).alias("tested")), "day", "full")

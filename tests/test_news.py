@@ -1,6 +1,8 @@
 import datetime as dt
 
+import pytest
 from helpers import rows
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from reachlens.functions import news as fields
@@ -139,3 +141,63 @@ def test_stream_takes_late_items_and_replays(spark):
         spark.createDataFrame(batch, FEED).write.mode("append").parquet(path)
         news_archive.start(spark, path, table, checkpoint).awaitTermination()
     assert rows(spark.table(table), "Title") == [("a",), ("b",), ("c",)]
+
+
+class Stream:
+    """Feed files that arrive one after the other, each read by a new query on the same checkpoint."""
+
+    def __init__(self, spark, **options):
+        self.spark, self.options = spark, options
+        self.path, self.checkpoint = scratch_path(spark, "feeds"), scratch_path(spark, "state")
+        self.table = f"{sinks.scratch_database(spark, 'n')}.archive"
+        news.create_archive(spark, self.table)
+
+    def arrive(self, *titles, published=GOOD, fail=False):
+        """Titles that passed the state, in this run."""
+        seen = []
+
+        def tested(batch, _):
+            seen.extend(row.Title for row in batch.collect())
+            if fail:
+                raise RuntimeError("after the archive was written")
+
+        rows_ = [("x", 0, feed(*[(title, published, "s") for title in titles]))]
+        self.spark.createDataFrame(rows_, FEED).coalesce(1).write.mode("append").parquet(self.path)
+        query = news_archive.start(self.spark, self.path, self.table, self.checkpoint, tested=tested, **self.options)
+        query.awaitTermination()
+        self.progress = query.recentProgress
+        return sorted(seen)
+
+    def archived(self):
+        self.spark.catalog.refreshTable(self.table)
+        return sorted(row.Title for row in self.spark.table(self.table).collect())
+
+
+def test_repeats_end_at_the_state_and_late_items_pass(spark):
+    stream = Stream(spark)
+    assert stream.arrive("a", "b", "a") == ["a", "b"]
+    assert stream.arrive("b", "c") == ["c"]
+    assert stream.arrive("late", "a", published="Mon, 05 Jan 2009 01:00:00 GMT") == ["a", "late"]
+    assert stream.arrive("late", "a", "b", published="Mon, 05 Jan 2009 01:00:00 GMT") == ["b"]
+    assert stream.archived() == ["a", "a", "b", "b", "c", "late"]
+    assert all(op["numRowsDroppedByWatermark"] == 0 for p in stream.progress for op in p["stateOperators"])
+
+
+def test_expired_items_are_told_by_the_archive(spark):
+    """With a short memory an item passes again after a while; the archive still has it once."""
+    stream = Stream(spark, remembered="0 seconds")
+    assert stream.arrive("a") == ["a"]
+    again = [stream.arrive("a", f"other {turn}") for turn in range(4)]
+    assert any("a" in passed for passed in again)
+    assert stream.archived() == sorted(["a", *[f"other {turn}" for turn in range(4)]])
+
+
+def test_failed_batch_runs_again(spark):
+    """The archive was written, the checkpoint was not: the same rows pass once more and nothing is added."""
+    stream = Stream(spark)
+    stream.arrive("a")
+    with pytest.raises(StreamingQueryException):
+        stream.arrive("a", "b", fail=True)
+    assert stream.archived() == ["a", "b"]
+    assert stream.arrive("b", "c") == ["b", "c"]
+    assert stream.archived() == ["a", "b", "c"]
