@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reachlens.operators.ranking import ranked
 from reachlens.session import materialize
 
 # Role names, the channel that stands for every channel, and the text of a missing role.
@@ -18,7 +19,7 @@ EVERYTHING = "ALL"
 NO_ROLE = "NONE"
 FIRST_GROUP = "GROUP 1"
 
-# Width of the key range of one text of a key list.
+# Keys in one text of a key list.
 LIST_KEYS = 1000
 
 
@@ -38,31 +39,26 @@ def _people(hierarchy: DataFrame) -> DataFrame:
     )
 
 
-def _climb(start: DataFrame, people: DataFrame, carried: str, merge: bool) -> DataFrame:
+def _climb(start: DataFrame, people: DataFrame, carried: str) -> DataFrame:
     """All (manager, carried) pairs above the start rows, up to but not including the top role.
 
-    One join per management level; each level is written to the shared folder, so lineage stays flat.
-    A cycle of managers ends by Brent's rule: every row remembers the manager it stood at after the
-    last power-of-two step and stops when it meets that manager again. ``merge`` joins equal rows on
-    the way, which keeps a level small when many start rows carry the same value.
+    Paths are doubled: ``jumps`` leads from a manager to the one 2^k levels up, and a round adds to all pairs found so far those
+    that many levels higher, so depth d takes about log2(d) rounds, each written to the shared folder. Jumps have
+    a row per manager at most. The walk is over when no jump is left, or when a round adds nothing, which is
+    how a cycle of managers ends.
     """
-    current = start.select(carried, "manager").withColumn("anchor", F.lit(None).cast("string"))
-    levels: list[DataFrame] = []
-    step = 1
-    while True:
-        below_top = ~F.col("role").eqNullSafe(F.lit(TOP_ROLE))
-        level = current.join(people, "manager").where(below_top).select(carried, "manager", "parent", "anchor")
-        level = materialize(level.distinct() if merge else level, "climb")
-        if level.isEmpty():
-            break
-        levels.append(level.select("manager", carried))
-        anchor = F.col("manager") if step & (step - 1) == 0 else F.col("anchor")
-        onward = level.select(carried, F.col("parent").alias("manager"), anchor.alias("anchor"))
-        current = onward.where(F.col("manager").isNotNull() & ~F.col("manager").eqNullSafe(F.col("anchor")))
-        step += 1
-    if not levels:
-        return level.select("manager", carried)
-    return reduce(DataFrame.unionByName, levels).distinct()
+    below_top = ~F.col("role").eqNullSafe(F.lit(TOP_ROLE))
+    listed = materialize(people.where(below_top).select("manager", "parent"), "listed")
+    jumps = materialize(listed.join(listed.select(F.col("manager").alias("parent")), "parent", "left_semi"), "jumps")
+    pairs = materialize(start.join(listed, "manager", "left_semi").select("manager", carried).distinct(), "climb")
+    before, found = 0, pairs.count()
+    while found > before and not jumps.isEmpty():
+        higher = pairs.join(jumps, "manager").select(F.col("parent").alias("manager"), carried)
+        pairs = materialize(pairs.unionByName(higher).distinct(), "climb")
+        before, found = found, pairs.count()
+        onward = jumps.select(F.col("manager").alias("parent"), F.col("parent").alias("above"))
+        jumps = materialize(jumps.join(onward, "parent").select("manager", F.col("above").alias("parent")), "jumps")
+    return pairs
 
 
 def _managers_of(hierarchy: DataFrame) -> DataFrame:
@@ -79,7 +75,7 @@ def reportees(hierarchy: DataFrame, access: DataFrame) -> DataFrame:
     """
     employees = access.select("EMPLOYEE_KEY").distinct()
     start = employees.join(_managers_of(hierarchy), "EMPLOYEE_KEY").where(F.col("manager").isNotNull())
-    return _climb(start, _people(hierarchy), "EMPLOYEE_KEY", merge=False)
+    return _climb(start, _people(hierarchy), "EMPLOYEE_KEY")
 
 
 def channels_below(hierarchy: DataFrame, access: DataFrame) -> DataFrame:
@@ -87,7 +83,7 @@ def channels_below(hierarchy: DataFrame, access: DataFrame) -> DataFrame:
     grants = access.select("EMPLOYEE_KEY", "CHANNEL_GROUP_KEY").distinct().join(_managers_of(hierarchy), "EMPLOYEE_KEY")
     own = grants.select(F.col("name").alias("manager"), "CHANNEL_GROUP_KEY")
     start = grants.where(F.col("manager").isNotNull()).select("CHANNEL_GROUP_KEY", "manager").distinct()
-    above = _climb(start, _people(hierarchy), "CHANNEL_GROUP_KEY", merge=True)
+    above = _climb(start, _people(hierarchy), "CHANNEL_GROUP_KEY")
     return own.unionByName(above).distinct()
 
 
@@ -140,18 +136,17 @@ def may_see_all(hierarchy: DataFrame, access: DataFrame) -> DataFrame:
 
 
 def key_lists(df: DataFrame, name: str, key: str, most: int = LIST_KEYS) -> DataFrame:
-    """Distinct keys per name joined by ``;``, in parts by key range.
+    """Distinct keys per name joined by ``;``, in parts of ``most`` keys.
 
-    Part n has the numeric keys from ``n * most`` on in numeric order, part -1 the keys that are no number, in order
-    of their text. The form is the same whatever the number of keys, a part never has more than ``most`` numbers, and
-    the parts of a name in their order are the sorted list.
+    Keys that are no number come first, in order of their text, then the numbers in numeric order. Part n has the keys at the places from
+    ``n * most`` on, so no text has more than ``most`` keys, whatever the keys are, and the parts of a name in
+    their order are the sorted list.
     """
-    number = F.col("key").try_cast("long")
     pairs = df.select(F.col(name).alias("name"), F.col(key).cast("string").alias("key")).dropna().distinct()
-    ranged = pairs.withColumn("part", F.coalesce(F.floor(number / most), F.lit(-1)).cast("int"))
-    ordered = F.array_sort(F.collect_list(F.struct(number.alias("number"), "key")))
-    texts = F.transform(ordered, lambda entry: entry["key"])
-    return ranged.groupBy("name", "part").agg(F.array_join(texts, ";").alias("keys"))
+    placed = ranked(pairs.withColumn("number", F.col("key").try_cast("long")), "name", ["number", "key"])
+    parts = placed.withColumn("part", F.floor(F.col("rank") / most))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "key")))
+    return parts.groupBy("name", "part").agg(F.array_join(F.transform(ordered, lambda entry: entry["key"]), ";").alias("keys"))
 
 
 def role_or_none(role: Column) -> Column:

@@ -103,13 +103,12 @@ _CHOSEN = "chosen AS (SELECT n_name AS name FROM nation UNION ALL SELECT s_name
 # --- hierarchy ---
 
 
-def _part(key: str, most: int = 1000) -> str:
-    """Part of a key list: the key's range, -1 for a key that is no number."""
-    return f"CAST(coalesce(TRY_CAST({key} AS BIGINT) // {most}, -1) AS INTEGER)"
-
-
-def _text(key: str) -> str:
-    return f"string_agg({key}, ';' ORDER BY TRY_CAST({key} AS BIGINT) NULLS FIRST, {key})"
+def _key_lists(pairs: str, most: int = 1000) -> str:
+    """Texts of at most so many keys by their places, from distinct (name, key) pairs."""
+    order = "TRY_CAST(key AS BIGINT) NULLS FIRST, key"
+    return f"""SELECT name, part, string_agg(key, ';' ORDER BY {order}) AS keys FROM (
+        SELECT name, key, (row_number() OVER (PARTITION BY name ORDER BY {order}) - 1) // {most} AS part FROM ({pairs})
+      ) GROUP BY name, part"""
 
 
 _STAFF = """staff AS (
@@ -302,10 +301,11 @@ ORACLES: dict[str, str] = {
     ),
     "channel_lists": o.query(
         _HIERARCHY,
-        f"""SELECT name, {_part("channel", 6)} AS part, {_text("channel")} AS keys FROM (
-            SELECT manager_name AS name, channel FROM closure JOIN access USING (key)
-            UNION SELECT upper(name), channel FROM access JOIN staff USING (key)
-          ) GROUP BY 1, 2""",
+        _key_lists(
+            """SELECT manager_name AS name, channel AS key FROM closure JOIN access USING (key)
+              UNION SELECT upper(name), channel FROM access JOIN staff USING (key)""",
+            most=6,
+        ),
         recursive=True,
     ),
     "row_scope": o.query([*_HIERARCHY, _SCOPE], "SELECT * FROM scopes", recursive=True),
@@ -324,17 +324,15 @@ ORACLES: dict[str, str] = {
     ),
     "scope_key_texts": o.query(
         _HIERARCHY,
-        f"""SELECT 'employees' AS name, {_part("k")} AS part, {_text("k")} AS keys
-          FROM (SELECT DISTINCT CAST(a.key AS VARCHAR) AS k FROM access a JOIN closure c ON c.key = a.key AND c.manager = 1)
-          GROUP BY 2
-          UNION ALL SELECT 'locations', {_part("l")} AS p, {_text("l")}
-          FROM (SELECT DISTINCT location AS l FROM access a JOIN closure c ON c.key = a.key AND c.manager = 1) GROUP BY 2""",
+        _key_lists(
+            """SELECT 'employees' AS name, CAST(a.key AS VARCHAR) AS key FROM access a JOIN closure c ON c.key = a.key AND c.manager = 1
+              UNION SELECT 'locations', location FROM access a JOIN closure c ON c.key = a.key AND c.manager = 1"""
+        ),
         recursive=True,
     ),
     "channel_key_texts": o.query(
         [_ACCESS],
-        f"""SELECT name, {_part("channel")} AS part, {_text("channel")} AS keys
-          FROM (SELECT DISTINCT channel_name AS name, channel FROM access WHERE channel_name <> 'ALL') GROUP BY 1, 2""",
+        _key_lists("SELECT DISTINCT channel_name AS name, channel AS key FROM access WHERE channel_name <> 'ALL'"),
     ),
     "may_see_all": o.query(
         [_STAFF, _ACCESS],

@@ -1,6 +1,6 @@
 from helpers import rows
 
-from reachlens.operators import scope
+from reachlens.operators import ranking, scope
 from reachlens.schemas import REF_EMPLOYEE_ACCESS, REF_EMPLOYEE_HIERARCHY
 
 ENTITLEMENTS = scope.Entitlements(
@@ -140,17 +140,68 @@ def test_entitlements_of_an_unknown_group_and_removals(spark):
     assert rows(scope.remove_entitlement(matrix, removed), "dashboard") == [("home",)]
 
 
+def key_parts(spark, pairs, most):
+    found = scope.key_lists(spark.createDataFrame(pairs, "n string, k string"), "n", "k", most=most).collect()
+    return {(row["name"], row["part"]): row["keys"] for row in found}
+
+
 def test_key_lists_have_one_form_at_every_size(spark):
     pairs = [("long", str(i)) for i in range(95)] * 2 + [("short", "b"), ("short", "a"), ("short", "7")]
-    found = scope.key_lists(spark.createDataFrame(pairs, "n string, k string"), "n", "k", most=10).collect()
-    parts = {(row["name"], row["part"]): row["keys"] for row in found}
-    assert parts == {
+    assert key_parts(spark, pairs, 10) == {
         **{("long", part): ";".join(str(i) for i in range(10 * part, min(10 * part + 10, 95))) for part in range(10)},
-        ("short", -1): "a;b",
-        ("short", 0): "7",
+        ("short", 0): "a;b;7",
     }
 
 
+def test_no_key_text_is_longer_than_the_rest(spark):
+    """Texts, negative, equal and huge numbers: every part has its number of keys, the parts make up the sorted list."""
+    keys = [f"key {i:03}" for i in range(57)] + [str(i - 20) for i in range(40)] + ["07", "7", str(3 * 10**15), str(2**63), "-9"]
+    expected = sorted(
+        set(keys), key=lambda k: (int(k) if k.lstrip("-").isdigit() and int(k) < 2**63 else -(2**70), k)
+    )
+    parts = key_parts(spark, [("x", k) for k in keys] + [("x", None), (None, "y"), ("", "z")], 8)
+    texts = [parts["x", part].split(";") for part in range(len(parts) - 1)]
+    assert [len(t) for t in texts[:-1]] == [8] * (len(texts) - 1) and 0 < len(texts[-1]) <= 8
+    assert [k for t in texts for k in t] == expected and parts["", 0] == "z"
+
+
+def test_ranks_over_partitions(spark):
+    rows_ = [(g, i) for g in "abc" for i in range(200 if g == "b" else 3)] + [("b", None), (None, 5)]
+    df = spark.createDataFrame(rows_, "g string, i int").where("g is not null").repartition(6)
+    found = {(r.g, r.i): r.place for r in ranking.ranked(df, "g", ["i"], "place").collect()}
+    assert found[("b", None)] == 0 and all(found["b", i] == i + 1 for i in range(200))
+    assert all(found[g, i] == i for g in "ac" for i in range(3))
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A thousand managers above each other: rounds go with the logarithm of the depth."""
+    people = hierarchy(
+        spark,
+        ("0", "P0", "HO GROUP", None, None, "Group 1"),
+        *[(str(i), f"P{i}", "BRANCH HEAD", None, f"P{i - 1}", "Group 1") for i in range(1, 1002)],
+    )
+    rounds, write = [], scope.materialize
+    monkeypatch.setattr(scope, "materialize", lambda df, label: rounds.append(label) or write(df, label))
+    found = scope.reportees(people, access(spark, ("1001", "a", "1"), ("500", "a", "1")))
+    assert rounds.count("climb") <= 11
+    pairs = {(r.manager, r.EMPLOYEE_KEY) for r in found.collect()}
+    assert pairs == {(f"P{i}", "1001") for i in range(1, 1001)} | {(f"P{i}", "500") for i in range(1, 500)}
+    assert found.count() == len(pairs)
+
+
+def test_long_and_short_cycles_end(spark):
+    """Paths of different lengths that run into a cycle of seven, and one who manages oneself."""
+    people = hierarchy(
+        spark,
+        *[(str(i), f"C{i}", "BRANCH HEAD", None, f"C{(i + 1) % 7}", "Group 1") for i in range(7)],
+        *[(str(i), f"C{i}", "BRANCH HEAD", None, f"C{i - 1}", "Group 1") for i in range(7, 20)],
+        ("99", "Self", "BRANCH HEAD", None, "Self", "Group 1"),
+    )
+    found = scope.reportees(people, access(spark, ("19", "a", "1"), ("99", "a", "1"), ("3", "a", "1")))
+    pairs = {(r.manager, r.EMPLOYEE_KEY) for r in found.collect()}
+    assert pairs == {(f"C{i}", "19") for i in range(19)} | {(f"C{i}", "3") for i in range(7)} | {("SELF", "99")}
+
+
 def test_a_manager_over_most_rows(spark):
     """One manager has nearly everyone below; the closure is still a row per employee."""
     people = hierarchy(
