@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from reachlens.functions import news as fields
 from reachlens.functions.text import any_of
 from reachlens.schemas import ARCHIVE, ARCHIVE_DAY, NEWS_KEY
-from reachlens.sources import sinks
+from reachlens.session import materialize
+from reachlens.sources import files, sinks
 
 # Items taken from a feed, freshness and visibility windows, sources not shown.
 FEED_ITEMS = 10
@@ -24,7 +25,10 @@ _FEED_TYPE = (
 def items(feeds: DataFrame) -> DataFrame:
     """One row per feed item, with its position in the feed (0 first)."""
     feed = F.from_xml("document", _FEED_TYPE)
-    exploded = feeds.select("SearchTerm", "feed_no", F.posexplode(feed["channel"]["item"]).alias("position", "item"))
+    return _item_rows(feeds.select("SearchTerm", "feed_no", F.posexplode(feed["channel"]["item"]).alias("position", "item")))
+
+
+def _item_rows(exploded: DataFrame) -> DataFrame:
     return exploded.select(
         F.col("item.title").alias("Title"),
         fields.feed_date(F.col("item.pubDate")).alias("PublishDate"),
@@ -36,6 +40,33 @@ def items(feeds: DataFrame) -> DataFrame:
     )
 
 
+def checked_items(feeds: DataFrame) -> files.Checked:
+    """Items as ``items`` gives them, apart from feeds and items that can't be used.
+
+    ``rejects`` has ``SearchTerm, feed_no, position, record, reason``: a feed whose document is no XML or has no items, with its document and without
+    position, and an item whose date can't be read or whose link has no target, with its fields as JSON. An item
+    with several faults is rejected for its date.
+    """
+    parsed = feeds.withColumn("feed", F.from_xml("document", f"{_FEED_TYPE}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    found = F.col("feed.channel.item")
+    reason = F.when(F.col("document").isNull(), "no document").when(F.col("feed._corrupt").isNotNull(), "not XML")
+    reason = reason.when(found.isNull() | (F.size(found) == 0), "no items")
+    parsed = materialize(parsed.withColumn("reason", reason), "feeds")
+    whole = parsed.where(F.col("reason").isNotNull()).select(
+        "SearchTerm", "feed_no", F.lit(None).cast("int").alias("position"), F.col("document").alias("record"), "reason"
+    )
+    each = parsed.where(F.col("reason").isNull()).select("SearchTerm", "feed_no", F.posexplode(found).alias("position", "item"))
+    each = each.withColumn(
+        "reason",
+        F.when(fields.feed_date(F.col("item.pubDate")).isNull(), "date not readable").when(
+            fields.link_target(F.col("item.link")).isNull(), "link without target"
+        ),
+    )
+    rejected = each.where(F.col("reason").isNotNull())
+    rejected = rejected.select("SearchTerm", "feed_no", "position", F.to_json("item").alias("record"), "reason")
+    return files.Checked(_item_rows(each.where(F.col("reason").isNull())), whole.unionByName(rejected))
+
+
 def first_items(parsed: DataFrame, most: int = FEED_ITEMS) -> DataFrame:
     """The first items of each feed, in feed order."""
     return parsed.where(F.col("position") < most)
@@ -112,7 +143,7 @@ def create_archive(spark: SparkSession, table: str) -> None:
 def archive_items(rows: DataFrame, table: str) -> None:
     """Add the items that the archive does not hold yet, each once.
 
-    Every column of the key is required. Only days from the first to the last of the new items are read.
+    Every column of the key is required. Only the days of the new items are read.
     """
     complete = rows.select(*NEWS_KEY).dropna().withColumn(ARCHIVE_DAY, F.to_date("PublishDate"))
     sinks.insert_ignore(complete, table, NEWS_KEY, prune=ARCHIVE_DAY)

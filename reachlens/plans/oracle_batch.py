@@ -408,3 +408,14 @@ ORACLES["news_stream_repeats"] = f"""SELECT day, count(*) AS archived, count(*)
   SELECT DISTINCT CAST(PublishDate AS DATE) AS day, Title, PublishDate, Link, Source, SearchTerm
   FROM ({o.query([_NEWS], f"SELECT DISTINCT trim(Title) AS Title, {_NEWS_TEXT}, Link, Source, SearchTerm FROM news")})
 ) GROUP BY day"""
+ORACLES["latest_dates_from_footers"] = ORACLES["latest_dates"]
+ORACLES["checked_reference_csv"] = f"""WITH {o.REF_CHANNEL.strip()}
+  SELECT CHANNEL_GROUP_KEY || ',' || TG_KEY || ',' || MARKET_KEY AS record, 'none' AS reason FROM ref_channel
+  UNION ALL SELECT regexp_replace(n_name, '[^A-Za-z]', '_', 'g') || ',three,fields', 'does not fit the schema' FROM nation
+  UNION ALL SELECT s_suppkey || ',c,one,1,S,a,b,ab', 'does not fit the schema' FROM supplier WHERE s_suppkey % 3 = 0
+  UNION ALL SELECT ',' || s_suppkey || ',1,1,S,a,b,ab', 'CHANNEL_GROUP_KEY is missing' FROM supplier WHERE s_suppkey % 3 = 1"""
+ORACLES["checked_feeds"] = """SELECT page_id AS feed_no,
+    CASE WHEN page_id % 11 = 0 THEN 'not XML' WHEN page_id % 7 = 0 THEN 'no items'
+      WHEN page_id % 5 = 0 THEN 'date not readable' WHEN page_id % 5 = 1 THEN 'link without target' ELSE 'none' END AS reason,
+    CASE WHEN page_id % 11 <> 0 AND page_id % 7 <> 0 THEN 0 END::INTEGER AS position
+  FROM pages"""

@@ -14,7 +14,7 @@ from reachlens.functions import calendar, text
 from reachlens.functions import news as news_functions
 from reachlens.operators import affinity, insights, news, params, present, rollups, scope, weeks
 from reachlens.plans import dashboard, weekly
-from reachlens.schemas import METRICS, NEWS_KEY, SOURCE_NEWER
+from reachlens.schemas import METRICS, NEWS_KEY, REF_CH_GROUP_TG_MKT, SOURCE_NEWER
 from reachlens.session import materialize, scratch_path
 from reachlens.sources import files, mapping, sinks
 from reachlens.sources.builds import Builds
@@ -476,6 +476,18 @@ def latest_dates(spark: SparkSession, folder: str) -> DataFrame:
     return revenue.unionByName(breaks)
 
 
+@register
+def latest_dates_from_footers(spark: SparkSession, folder: str) -> DataFrame:
+    """The same dates from daily tables on disk, whose footers have the maxima."""
+    orders = mapping.table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("PRG_DATE"))
+    found = []
+    for name, dates in (("revenue", orders), ("break", mapping.fact_cust_break_agg_dly(spark, folder))):
+        path = scratch_path(spark, name)
+        dates.write.parquet(path)
+        found.append(weeks.max_date(files.with_footers(spark, path)).select(F.lit(name).alias("fact"), "max_date"))
+    return found[0].unionByName(found[1])
+
+
 @register
 def week_to_date_key(spark: SparkSession, folder: str) -> DataFrame:
     return weeks.last_date_keys(mapping.dim_date(spark, folder))
@@ -646,7 +658,7 @@ def dates_as_text(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def client_list(spark: SparkSession, folder: str) -> DataFrame:
     return params.names_with_keys(
-        _program(spark, folder), "ADVERTISERS_GROUP_KEY", "ADVERTISERS_GROUP_DISPLAY_NAME"
+        mapping.advertisers(spark, folder), "ADVERTISERS_GROUP_KEY", "ADVERTISERS_GROUP_DISPLAY_NAME"
     )
 
 
@@ -756,6 +768,49 @@ def news_csv_append(spark: SparkSession, folder: str) -> DataFrame:
     return files.news_items(spark, path)
 
 
+def _planted(spark: SparkSession, path: str, lines: DataFrame) -> None:
+    """Add raw lines to CSV files that are there."""
+    lines.write.mode("append").text(path)
+
+
+@register
+def checked_reference_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """A reference file with faulty lines among its rows: what is used, and what is set aside with the reason."""
+    path = scratch_path(spark, "reference")
+    good = mapping.ref_ch_group_tg_mkt(spark, folder)
+    sinks.write_csv(good, path, header=False)
+    name = F.regexp_replace("n_name", "[^A-Za-z]", "_")
+    _planted(spark, path, mapping.table(spark, folder, "nation").select(F.concat(name, F.lit(",three,fields")).alias("value")))
+    numbers = mapping.table(spark, folder, "supplier").where("s_suppkey % 3 = 0").select(
+        F.concat_ws(",", F.col("s_suppkey").cast("string"), F.lit("c"), F.lit("one"), F.lit("1,S,a,b,ab")).alias("value")
+    )
+    _planted(spark, path, numbers)
+    unnamed = mapping.table(spark, folder, "supplier").where("s_suppkey % 3 = 1").select(
+        F.concat(F.lit(","), F.col("s_suppkey").cast("string"), F.lit(",1,1,S,a,b,ab")).alias("value")
+    )
+    _planted(spark, path, unnamed)
+    checked = files.checked_csv(spark, path, REF_CH_GROUP_TG_MKT, ("CHANNEL_GROUP_KEY", "TG_KEY", "MARKET_KEY"), header=False)
+    used = checked.good.select(F.to_csv(F.struct("CHANNEL_GROUP_KEY", "TG_KEY", "MARKET_KEY")).alias("record"))
+    return checked.rejects.select("record", "reason").unionByName(used.withColumn("reason", F.lit("none")))
+
+
+@register
+def checked_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of feeds, some of which are cut off, have no item, or items without date or link, with what was rejected."""
+    page = F.col("page_id")
+    day = F.when(page % 5 == 0, "some day").otherwise(F.date_format("PublishDate", "EEE, dd MMM yyyy HH:mm:ss' GMT'"))
+    link = F.when(page % 5 == 1, "http://feed.example/").otherwise(F.concat(F.lit("http://feed.example/url="), page.cast("string")))
+    item = F.concat(
+        F.lit("<item><title>t</title><link>"), link, F.lit("</link><pubDate>"), day, F.lit("</pubDate><description>d</description></item>")
+    )
+    body = F.when(page % 7 == 0, F.lit("")).otherwise(item)
+    document = F.concat(F.lit("<rss><channel>"), body, F.when(page % 11 == 0, "").otherwise("</channel></rss>"))
+    feeds = mapping.news(spark, folder).select(page.cast("string").alias("SearchTerm"), page.alias("feed_no"), document.alias("document"))
+    checked = news.checked_items(feeds)
+    used = checked.good.select("feed_no", F.lit("none").alias("reason"), "position")
+    return used.unionByName(checked.rejects.select("feed_no", "reason", "position"))
+
+
 # --- hierarchy, scope, entitlements ---
 
 # Example: views of one's own, of the team and of the market are given to ever more groups, and group g sees the

@@ -174,6 +174,29 @@ def fact(
     return joined.select(*schemas.FACT.fieldNames())
 
 
+def advertisers(spark: SparkSession, folder: str) -> DataFrame:
+    """Key and name of the advertisers in ``FACT_TG_AFFINITY_AGG_WK``, once each.
+
+    Lines only tell which orders count, and parts and channels which lines do: all three are semi-joins on keys. Names are
+    joined to the few keys that are left.
+    """
+    nation = table(spark, folder, "nation")
+    networks = nation.select(F.col("n_nationkey").alias("s_nationkey"))
+    channels = table(spark, folder, "supplier").join(networks, "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"))
+    programs = table(spark, folder, "part").where(F.col("p_type").isNotNull()).select(F.col("p_partkey").alias("l_partkey"))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    lines = lines.join(channels, "l_suppkey", "left_semi").join(programs, "l_partkey", "left_semi")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("ADVERTISERS_GROUP_KEY")
+    )
+    keys = orders.join(lines.select("l_orderkey"), "l_orderkey", "left_semi").join(customers, "o_custkey")
+    names = nation.select(
+        F.col("n_nationkey").alias("ADVERTISERS_GROUP_KEY"), F.col("n_name").alias("ADVERTISERS_GROUP_DISPLAY_NAME")
+    )
+    return keys.select("ADVERTISERS_GROUP_KEY").distinct().join(names, "ADVERTISERS_GROUP_KEY")
+
+
 def _ntz(moment: dt.datetime) -> Column:
     return F.lit(str(moment)).cast("timestamp_ntz")
 

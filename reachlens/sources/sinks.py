@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from reachlens.session import materialize, scratch_name, scratch_path, shared_folder
 
 WEEK = "WEEK_KEY"
+#: Partitions named one by one in a filter; thirteen years of days.
+MOST_PARTITIONS = 5000
 CELL_ORDER = (WEEK, "TG_KEY", "MARKET_KEY", "ADVERTISERS_GROUP_KEY")
 
 
@@ -80,19 +82,32 @@ def insert_ignore(df: DataFrame, table: str, key: Sequence[str], prune: str | No
     """Append the rows whose key is not in the table yet, each key once.
 
     ``prune`` names a partition column that follows from the key. The new rows are computed once and written to the
-    shared folder; the smallest and the largest of their partitions go into the filter of the table as literals, so
-    other partitions are not even listed as input.
+    shared folder; the distinct partitions they fall into go into the filter of the table as literals, so
+    other partitions are not even listed as input, however far apart the new ones lie.
     """
     rows = materialize(df.dropDuplicates(list(key)), "new-rows")
     archived = df.sparkSession.table(table)
     if prune:
-        first, last = rows.agg(F.min(prune), F.max(prune)).first()
-        if first is None:
+        archived = in_partitions_of(archived, rows, prune)
+        if archived is None:
             return
-        archived = between(archived, prune, first, last)
     append(rows.join(archived.select(*key), list(key), "left_anti"), table)
 
 
+def in_partitions_of(df: DataFrame, rows: DataFrame, column: str, most: int = MOST_PARTITIONS) -> DataFrame | None:
+    """Rows of ``df`` in the partitions that ``rows`` fall into; None if there are none.
+
+    The values are literals, which prune partitions. There is one for each partition, not for each row, and beyond ``most`` of them
+    their span is taken instead, so the filter stays bounded.
+    """
+    found = [row[0] for row in rows.select(column).dropna().distinct().limit(most + 1).collect()]
+    if not found:
+        return None
+    if len(found) > most:
+        return between(df, column, *rows.agg(F.min(column), F.max(column)).first())
+    return df.where(F.col(column).isin(sorted(found)))
+
+
 def between(df: DataFrame, column: str, first: object, last: object) -> DataFrame:
     """Rows from ``first`` to ``last``, as literals that prune partitions."""
     return df.where((F.col(column) >= F.lit(first)) & (F.col(column) <= F.lit(last)))

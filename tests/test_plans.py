@@ -144,3 +144,39 @@ def test_archive_is_pruned_by_literal_days(spark, small):
     filters = plan[plan.index("PartitionFilters") :].split("]")[0]
     assert "2024-01-01" in filters or "19723" in filters
     assert 0 < days.count() < spark.table(table).count()
+
+
+def test_archive_is_pruned_to_the_days_of_the_new_items(spark):
+    """Two days a year apart: nothing between them is read."""
+    import datetime as dt
+
+    from reachlens.operators import news
+    from reachlens.schemas import ARCHIVE_DAY, NEWS
+
+    table = f"{sinks.scratch_database(spark, 'days')}.archive"
+    news.create_archive(spark, table)
+    days = [dt.datetime(2014, 1, 1) + dt.timedelta(days=30 * n) for n in range(13)]
+    rows = spark.createDataFrame([(f"t{d}", d, "l", "s", "x") for d in days], NEWS)
+    news.archive_items(rows, table)
+    late = spark.createDataFrame([(days[0].date(),), (days[-1].date(),), (None,)], f"{ARCHIVE_DAY} date")
+    found = sinks.in_partitions_of(spark.table(table), late, ARCHIVE_DAY)
+    assert len(found.inputFiles()) == 2 and found.count() == 2
+    plan = plan_text(found)
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert f"{ARCHIVE_DAY}" in filters and " IN " in filters and "2014-01-31" not in filters
+    assert sinks.in_partitions_of(spark.table(table), late, ARCHIVE_DAY, most=1).count() == 13
+    assert sinks.in_partitions_of(spark.table(table), late.limit(0), ARCHIVE_DAY) is None
+
+
+def test_client_list_joins_names_to_keys_only(spark, small):
+    """Advertisers are found by key; no name and no metric of the fact is read, and parts and channels only tell rows apart."""
+    plan = plan_text(queries.QUERIES["client_list"](spark, small))
+    for unwanted in ("l_quantity", "l_shipdate", "l_returnflag", "p_name", "s_name", "o_orderpriority"):
+        assert unwanted not in plan
+    assert plan.count("LeftSemi") == 3
+
+
+def test_latest_dates_come_from_footers(spark, small):
+    plan = plan_text(queries.QUERIES["latest_dates_from_footers"](spark, small))
+    assert plan.count("MAX(PRG_DATE)") >= 2 and "PushedAggregation: [MAX(PRG_DATE)]" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
