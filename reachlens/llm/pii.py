@@ -284,9 +284,9 @@ def mask(docs: DataFrame, rule: Weak = Weak(), text_column: str = "text", length
     All rows and columns stay; a null text stays null.
     """
     plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], F.coalesce(docs[text_column], F.lit("")).alias("text"))
-    scanned = _scanned(plain, "text", rule)
-    candidates = materialize(scanned.select("base", "loose"), "pii")
-    model = train(candidates.select(F.explode(F.concat("base", "loose")).alias("c")), rule)
+    # Written whole: reading it again costs far less than a second scan of the texts.
+    scanned = materialize(_scanned(plain, "text", rule), "pii")
+    model = train(scanned.select(F.explode(F.concat("base", "loose")).alias("c")), rule)
     told = scanned.withColumn("found", _plain(F.concat("base", _judged(F.col("loose"), model, rule))))
     masked = told.withColumn("masked", F.when(F.size("found") > 0, S.replaced(F.col("text"), F.col("found"))).otherwise(F.col("text")))
 

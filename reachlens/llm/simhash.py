@@ -293,7 +293,11 @@ def keep_one(
 
     Of rows that share that id one stays. If no row of a component has an id, one of its rows stays.
     """
-    found = materialize(fingerprints(docs, rule, id_column, text_column), "simhash")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own_id, own_text = (names[docs.columns.index(name)] for name in (id_column, text_column))
+    # Written with their fingerprints: reading the rows again costs far less than a second pass over the words.
+    marked = materialize(docs.toDF(*names).withColumn("fp", fingerprints_of(F.col(own_text), rule)), "simhash")
+    found = marked.select(F.col(own_id).cast("long").alias("doc_id"), "fp")
     named = classes(found, rule)
     # Of the smallest id's fingerprints in the component (an id may have several rows, in other components too) the smallest.
     chosen = (
@@ -303,9 +307,6 @@ def keep_one(
         .agg(F.first("component_id").alias("__keep_id"), F.min("fp").alias("__keep_fp"))
         .drop("root")
     )
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    own_id = names[docs.columns.index(id_column)]
-    marked = docs.toDF(*names).withColumn("fp", fingerprints_of(F.col(names[docs.columns.index(text_column)]), rule))
     same = F.col(own_id).cast("long").eqNullSafe(F.col("__keep_id")) & (F.col("fp") == F.col("__keep_fp"))
     once = marked.join(chosen, same, "left_semi").dropDuplicates([own_id, "fp"])
     return once.select(*[F.col(name).alias(c) for name, c in zip(names, docs.columns)])
