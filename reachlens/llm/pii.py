@@ -103,17 +103,18 @@ def _of(kind: str) -> Callable[[Column], Column]:
     return lambda c: c["kind"] == kind
 
 
-def _candidates(spans: Column, text: Column, kind: str, rule: Weak) -> Column:
+def _candidates(spans: Column, pieces: Column, kind: str, rule: Weak) -> Column:
+    """Spans with their kind and what stands around them, cut from the text in chunks."""
+
     def one(s: Column) -> Column:
-        begin = F.greatest(s["start"] - rule.before, F.lit(0))
         return F.struct(
             s["start"].alias("start"),
             F.lit(KINDS.index(kind)).alias("order"),
             s["end"].alias("end"),
             F.lit(kind).alias("kind"),
             s["match"].alias("match"),
-            F.lower(F.substr(text, begin + 1, s["start"] - begin)).alias("before"),
-            F.substr(text, s["end"] + 1, F.lit(rule.after)).alias("after"),
+            F.lower(S.part(pieces, F.greatest(s["start"] - rule.before, F.lit(0)), s["start"])).alias("before"),
+            S.part(pieces, s["end"], s["end"] + rule.after).alias("after"),
         )
 
     return F.transform(spans, one)
@@ -124,9 +125,18 @@ def _scanned(df: DataFrame, text: str, rule: Weak) -> DataFrame:
     for name, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), *LOOSE.items()):
         df = S.with_matches(df, f"__{name}", text, pattern)
     found = {name: F.filter(f"__{name}", _valid(name)) for name in BASE}
-    df = df.withColumn("base", F.concat(*[_candidates(found[name], F.col(text), name, rule) for name in BASE]))
-    loose = F.concat(*[_candidates(F.col(f"__{name}"), F.col(text), name, rule) for name in LOOSE])
-    df = df.withColumn("loose", F.when(F.size("base") >= 0, S.apart(loose, F.col("base"))).cast(_CANDIDATE))
+    any_found = F.lit(False)
+    for name in KINDS:
+        any_found = any_found | (F.size(f"__{name}") > 0)
+    none = F.array().cast(_CANDIDATE)
+
+    def around(names: tuple[str, ...], spans: dict[str, Column]) -> Column:
+        return S.bound(S.chunks(F.col(text)), lambda pieces: F.concat(*[_candidates(spans[name], pieces, name, rule) for name in names]))
+
+    df = df.withColumn("base", F.when(any_found, around(BASE, found)).otherwise(none))
+    loose = around(tuple(LOOSE), {name: F.col(f"__{name}") for name in LOOSE})
+    loose = S.apart(F.when(any_found, loose).otherwise(none), F.col("base"))
+    df = df.withColumn("loose", F.when(F.size("base") >= 0, loose).cast(_CANDIDATE))
     return df.drop(*[f"__{name}" for name in KINDS])
 
 
