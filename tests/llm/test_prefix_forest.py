@@ -43,7 +43,7 @@ def test_recall_on_whole_table(spark, small):
 def test_shards_and_query_blocks_change_little(spark, small):
     vectors = spark.read.parquet(f"{small}/embeddings.parquet").repartition(3)
     exact = brute([(r.vec_id, r.embedding) for r in vectors.collect()], every=10)
-    result = found(vectors, every=10, rule=Forest(floor=2, shard_rows=40, block_queries=7))
+    result = found(vectors, every=10, rule=Forest(floor=2, shard_rows=40, block_bytes=4096))
     assert set(result) == set(exact) and recall(result, exact) >= 0.9
 
 
@@ -58,7 +58,54 @@ def test_ranges_are_those_of_common_prefixes():
         for q in range(9):
             for t in range(3):
                 same = {j for j in range(200) if bits == 0 or int(strings[j, t]) >> (64 - bits) == int(strings[q, t]) >> (64 - bits)}
-                assert set(shard.order[first[q, t] : last[q, t], t].tolist()) == same
+                assert set(shard.order[t, first[q, t] : last[q, t]].tolist()) == same
+
+
+def looked_and_recall(vectors, rule, queries=60, k=10):
+    ids = np.arange(len(vectors))
+    shard = Shard(ids, vectors, rule.planes(vectors.shape[1]), rule)
+    looked = hits = 0
+    for i, near, distance, rows in shard.search(ids[:queries], vectors[:queries], k):
+        exact = np.sqrt(np.square(vectors - vectors[i]).sum(axis=1))
+        exact[i] = np.inf
+        hits += len(set(near.tolist()) & set(np.argsort(exact, kind="stable")[:k].tolist()))
+        looked += rows
+        assert np.array_equal(distance, exact[near])
+    return looked / queries / len(vectors), hits / queries / k
+
+
+def test_clustered_vectors_stop_early_and_others_go_on():
+    chance = np.random.Generator(np.random.PCG64(3))
+    centres = chance.standard_normal((200, 32))
+    clustered = centres[np.arange(20000) % 200] + 0.1 * chance.standard_normal((20000, 32))
+    looked, recall_found = looked_and_recall(clustered, Forest())
+    assert looked < 0.05 and recall_found >= 0.9
+    looked, recall_found = looked_and_recall(chance.standard_normal((5000, 32)), Forest())
+    assert recall_found >= 0.9
+
+
+def test_rows_looked_at_do_not_follow_the_size():
+    """Four times the rows in four times the clusters: about the same rows are looked at."""
+    shares = []
+    for clusters in (100, 400):
+        chance = np.random.Generator(np.random.PCG64(4))
+        centres = chance.standard_normal((clusters, 32))
+        rows = centres[np.arange(clusters * 100) % clusters] + 0.05 * chance.standard_normal((clusters * 100, 32))
+        shares.append(looked_and_recall(rows, Forest())[0] * len(rows))
+    assert shares[1] < 2 * shares[0]
+
+
+def test_the_bound_on_bits_is_that_of_the_widest_angle():
+    chance = np.random.Generator(np.random.PCG64(5))
+    vectors = chance.standard_normal((300, 6))
+    rule = Forest()
+    shard = Shard(np.arange(300), vectors, rule.planes(6), rule)
+    q, length = vectors[0], np.linalg.norm(vectors[0])
+    for r in (0.5, 1.0, 2.0, 4.0):
+        bits = shard.enough(r, length)
+        for w in vectors[np.linalg.norm(vectors - q, axis=1) <= r][1:]:
+            same = 1 - np.arccos(np.clip(q @ w / length / np.linalg.norm(w), -1, 1)) / np.pi
+            assert (1 - same**bits) ** rule.trees <= rule.miss + 1e-9
 
 
 def test_odd_rows(spark):
