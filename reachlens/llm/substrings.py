@@ -12,7 +12,8 @@ have equal anchors; the maximal stretch of consecutive windows around one anchor
    into its edges, and equal edges meet by anchor and edge hash.
 3. Repeated paths and edges are joined to their documents by coordinates; overlapping ones merge into spans.
 
-Equality is decided on the anchor's and the sequence's hash together, 128 bits.
+Equality is decided on the anchor's and the sequence's hash together, 128 bits. A row is known by its id and the 64-bit
+hash of its text, so coordinates never reach another text, and rows without an id, or with one id, are no hot key.
 """
 
 from __future__ import annotations
@@ -29,14 +30,15 @@ from pyspark.sql import functions as F
 from reachlens.llm import words as W
 from reachlens.session import materialize
 
-_INDEX_BITS, _LAST = 24, (1 << 63) - 1
+_INDEX_BITS, _EDGE_BITS, _LAST = 24, 8, (1 << 63) - 1
 #: Paths that a task compares among themselves before it ships them.
 _HELD_PATHS = 1 << 20
 _REPEATED, _PATH = 0, 1
-_RUNS = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("path", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
-_FOUND = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
-_RUNS_SQL = "kind byte, anchor long, path long, doc long, place long"
-_FOUND_SQL = "kind byte, anchor long, doc long, place long"
+_RUNS_SQL = "kind byte, anchor long, path long, doc long, place long, text_key long"
+_FOUND_SQL = "kind byte, anchor long, doc long, place long, text_key long"
+_RUNS = pa.schema([("kind", pa.int8()), *((name, pa.int64()) for name in ("anchor", "path", "doc", "place", "text_key"))])
+_FOUND = pa.schema([("kind", pa.int8()), *((name, pa.int64()) for name in ("anchor", "doc", "place", "text_key"))])
+_ROW = ["doc", "text_key"]
 
 
 @dataclass(frozen=True)
@@ -56,17 +58,13 @@ class Passages:
         return self.window - self.anchor + 1
 
 
-def _place(at: np.ndarray, edges: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """Coordinates in a document in one number: first word, edges, 24 bits of the text (ids may have several texts)."""
-    return (at.astype(np.int64) << 32) | (edges.astype(np.int64) << 24) | check.astype(np.int64)
+def _place(at: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Coordinates in a document in one number: first word, edges."""
+    return (at.astype(np.int64) << _EDGE_BITS) | edges.astype(np.int64)
 
 
-def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> 32, (place >> 24) & 0xFF, place & 0xFFFFFF
-
-
-def _checks(words: W.Words, sums: np.ndarray) -> np.ndarray:
-    return (W.sequence_hashes(sums, words.first[:-1], words.counts()) >> np.uint64(40)).astype(np.int64)
+def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return place >> _EDGE_BITS, place & ((1 << _EDGE_BITS) - 1)
 
 
 def _paths(words: W.Words, sums: np.ndarray, rule: Passages):
@@ -97,30 +95,30 @@ def _paths(words: W.Words, sums: np.ndarray, rule: Passages):
 def _ship_paths(rule: Passages):
     def settled(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         """What an earlier document of these has is settled: it only travels along, spread evenly."""
-        anchors, hashes, doc, place = (np.concatenate(x) for x in zip(*parts))
+        anchors, hashes, doc, place, key = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((place, doc, hashes, anchors))
-        anchors, hashes, doc, place = anchors[order], hashes[order], doc[order], place[order]
+        anchors, hashes, doc, place, key = (x[order] for x in (anchors, hashes, doc, place, key))
         again = np.zeros(len(order), dtype=bool)
         again[1:] = (anchors[1:] == anchors[:-1]) & (hashes[1:] == hashes[:-1])
         # The same coordinate once more is a repeated row, not an earlier passage.
         first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-        again &= (doc != doc[first]) | (place >> 32 != place[first] >> 32)
+        again &= (doc != doc[first]) | (place >> _EDGE_BITS != place[first] >> _EDGE_BITS)
         spread = W.mix(doc.view(np.uint64) * np.uint64(31) + place.view(np.uint64)).view(np.int64)
         kind = np.where(again, _REPEATED, _PATH).astype(np.int8)
-        columns = [kind, np.where(again, spread, anchors), np.where(again, 0, hashes), doc, place]
+        columns = [kind, np.where(again, spread, anchors), np.where(again, 0, hashes), doc, place, key]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_RUNS)
 
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for words in W.chunks(batch.column(1), W.WHITE_SPACE):
+            docs, keys = (batch.column(name).to_numpy(zero_copy_only=False) for name in _ROW)
+            for words in W.chunks(batch.column("text"), W.WHITE_SPACE):
                 if len(words.starts) < rule.window:
                     continue
                 sums = W.sequence_sums(words.hashes())
                 starts, counts, texts, anchors, hashes = _paths(words, sums, rule)
-                place = _place(starts - words.first[texts], counts, _checks(words, sums)[texts])
-                parts.append((anchors, hashes, docs[words.rows.start + texts], place))
+                rows = words.rows.start + texts
+                parts.append((anchors, hashes, docs[rows], _place(starts - words.first[texts], counts), keys[rows]))
                 held += len(anchors)
                 if held >= _HELD_PATHS:
                     yield settled(parts)
@@ -132,7 +130,7 @@ def _ship_paths(rule: Passages):
 
 
 def _meet(whole: bool):
-    """Rows sorted by kind, anchor, path, doc, place: give out what repeats an earlier row; the state is one row.
+    """Rows sorted by kind, anchor, path, doc, place, key: give out what repeats an earlier row; the state is one row.
 
     With ``whole``, the first copies of the paths of an anchor that has several are given out as well.
     """
@@ -140,32 +138,32 @@ def _meet(whole: bool):
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried, given = None, False  # the first copy of the path reached so far; whether it has been given out
         for batch in batches:
-            kind, *columns = (batch.column(i).to_numpy() for i in range(5))
+            kind, *columns = (batch.column(i).to_numpy() for i in range(len(_RUNS)))
             settled = kind == _REPEATED
-            out = [(_REPEATED, columns[0][settled], columns[2][settled], columns[3][settled])]
+            out = [(_REPEATED, *(columns[i][settled] for i in (0, 2, 3, 4)))]
             columns = [c[~settled] for c in columns]
             if len(columns[0]):
                 if carried is not None:
                     columns = [np.concatenate([[x], c]) for x, c in zip(carried, columns)]
-                anchor, path, doc, place = columns
+                anchor, path, doc, place, key = columns
                 new_anchor = np.append(True, anchor[1:] != anchor[:-1])
                 head = new_anchor | np.append(True, path[1:] != path[:-1])
                 first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-                again = ~head & ((doc != doc[first]) | (place >> 32 != place[first] >> 32))
-                out.append((_REPEATED, anchor[again], doc[again], place[again]))
+                again = ~head & ((doc != doc[first]) | (place >> _EDGE_BITS != place[first] >> _EDGE_BITS))
+                out.append((_REPEATED, anchor[again], doc[again], place[again], key[again]))
                 of = np.cumsum(new_anchor) - 1
                 several = np.bincount(of[head]) > 1
                 several[0] |= given
                 ask = head & several[of]
                 ask[0] &= not given
                 if whole:
-                    out.append((_PATH, anchor[ask], doc[ask], place[ask]))
+                    out.append((_PATH, anchor[ask], doc[ask], place[ask], key[ask]))
                 last = first[-1]
                 given = bool(several[of[last]])
                 carried = [c[last] for c in columns]
             if rows := sum(len(x[1]) for x in out):
                 kinds = np.concatenate([np.full(len(x[1]), x[0], dtype=np.int8) for x in out])
-                merged = [np.concatenate([x[i] for x in out]).astype(np.int64) for i in (1, 2, 3)]
+                merged = [np.concatenate([x[i] for x in out]).astype(np.int64) for i in (1, 2, 3, 4)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in [kinds, *merged]], schema=_FOUND)
 
     return function
@@ -176,45 +174,44 @@ def _split_paths(rule: Passages):
 
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, asked = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            docs, keys = (batch.column(name).to_numpy() for name in _ROW)
+            asked = batch.column("asked")
             bounds = asked.offsets.to_numpy()
             values = asked.values
             anchors, places = values.field(0).to_numpy(), values.field(1).to_numpy()
-            for words in W.chunks(batch.column(1), W.WHITE_SPACE):
+            for words in W.chunks(batch.column("text"), W.WHITE_SPACE):
                 sums = W.sequence_sums(words.hashes())
                 rows = np.arange(words.rows.start, words.rows.stop)
                 sizes = bounds[rows + 1] - bounds[rows]
                 low = bounds[words.rows.start]
                 anchor, place = anchors[low : low + sizes.sum()], places[low : low + sizes.sum()]
                 text = np.repeat(np.arange(len(rows)), sizes)
-                at, edges, check = _unplace(place)
-                own = check == _checks(words, sums)[text]
-                anchor, at, edges, check, text = anchor[own], at[own], edges[own], check[own], text[own]
+                at, edges = _unplace(place)
                 which = np.repeat(np.arange(len(at)), edges)
                 step = np.arange(len(which)) - np.repeat(np.cumsum(edges) - edges, edges)
                 starts = words.first[text[which]] + at[which] + step
                 hashes = W.sequence_hashes(sums, starts, rule.window).view(np.int64)
-                single = _place(at[which] + step, np.ones(len(which)), check[which])
-                columns = [np.full(len(which), _PATH, np.int8), anchor[which], hashes, docs[rows[text[which]]], single]
+                single, row = _place(at[which] + step, np.ones(len(which))), rows[text[which]]
+                columns = [np.full(len(which), _PATH, np.int8), anchor[which], hashes, docs[row], single, keys[row]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_RUNS)
 
     return function
 
 
 def _sorted_by(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions("kind", "anchor", "path", "doc", "place")
+    return rows.repartition(*keys).sortWithinPartitions("kind", "anchor", "path", "doc", "place", "text_key")
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Documents without an id count as later than all others."""
-    own = F.col(id_column).cast("long")
-    return docs.select(F.coalesce(own, F.lit(_LAST)).alias("doc"), F.col(text_column).alias("text"), own.alias("doc_id"))
+    """Documents without an id count as later than all others; ``doc`` and ``text_key`` tell rows of different texts apart."""
+    own, text = F.col(id_column).cast("long"), F.col(text_column)
+    return docs.select(F.coalesce(own, F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"), own.alias("doc_id"))
 
 
 def repeats(docs: DataFrame, rule: Passages = Passages(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc, place``: the stretches of windows whose words also start earlier, in coordinates of their documents.
+    """``doc, text_key, place``: the stretches of windows whose words also start earlier, in coordinates of their documents.
 
-    Earlier is a smaller id, or the same id and an earlier word. Rows that share an id share its coordinates: at the
+    Earlier is a smaller id, or the same id and an earlier word. Rows that share an id are one document: at the
     same coordinate neither is earlier. A null id comes after all others; null and short texts have no windows.
     """
     texts = _texts(docs, id_column, text_column).drop("doc_id")
@@ -222,12 +219,12 @@ def repeats(docs: DataFrame, rule: Passages = Passages(), id_column: str = "doc_
     met = materialize(_sorted_by(paths, "anchor").mapInArrow(_meet(whole=True), _FOUND_SQL), "substring-paths")
     asked = (
         met.where(F.col("kind") == _PATH)
-        .groupBy("doc")
+        .groupBy(*_ROW)
         .agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
     )
-    edges = texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_split_paths(rule), _RUNS_SQL)
+    edges = texts.join(asked, _ROW).mapInArrow(_split_paths(rule), _RUNS_SQL)
     branched = _sorted_by(edges, "anchor", "path").mapInArrow(_meet(whole=False), _FOUND_SQL)
-    return met.where(F.col("kind") == _REPEATED).select("doc", "place").unionByName(branched.select("doc", "place"))
+    return met.where(F.col("kind") == _REPEATED).select(*_ROW, "place").unionByName(branched.select(*_ROW, "place"))
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: int, end: int>>, kept string"
@@ -237,18 +234,14 @@ def _cut(rule: Passages, with_text: bool):
     def function(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            checks = np.concatenate(
-                [_checks(w, W.sequence_sums(w.hashes())) for w in W.chunks(batch.column(1), W.WHITE_SPACE)] or [np.zeros(0, np.int64)]
-            )
             places = batch.column(2)
             bounds, values = places.offsets.to_numpy(), places.values.to_numpy(zero_copy_only=False)
             for row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 words = raw.split()
-                at, edges, check = _unplace(values[bounds[row] : bounds[row + 1]])
-                own = check == checks[row]
+                at, edges = _unplace(values[bounds[row] : bounds[row + 1]])
                 spans = []
-                for start, end in sorted(zip(at[own].tolist(), (at[own] + edges[own] + rule.window - 1).tolist())):
+                for start, end in sorted(zip(at.tolist(), (at + edges + rule.window - 1).tolist())):
                     if spans and start <= spans[-1][1]:
                         spans[-1][1] = max(end, spans[-1][1])
                     else:
@@ -283,8 +276,8 @@ def remove_repeats(
 
     One row per row of ``docs``; other columns of ``docs`` are not read. A null or empty text has no words.
     """
-    found = repeats(docs, rule, id_column, text_column).groupBy("doc").agg(F.collect_set("place").alias("places"))
-    with_spans = _texts(docs, id_column, text_column).join(found, "doc", "left").select(
+    found = repeats(docs, rule, id_column, text_column).groupBy(*_ROW).agg(F.collect_set("place").alias("places"))
+    with_spans = _texts(docs, id_column, text_column).join(found, _ROW, "left").select(
         "doc_id", "text", F.coalesce("places", F.array().cast("array<long>")).alias("places")
     )
     out = with_spans.mapInArrow(_cut(rule, with_text), _KEPT)

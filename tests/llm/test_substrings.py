@@ -56,17 +56,29 @@ def test_odd_rows(spark):
         (5, None), (6, ""), (7, " \t\n "), (None, passage), (3, "x " + passage + " y"), (9, passage), (9, passage),
         (2, "é ü " + passage[:20]), (8, "z " * 3000), (10, "　" + passage),
     ]
-    df = frames.with_clashes(frames.docs(spark, *rows), "doc", "place", "path", "anchor", "places", "kept")
+    df = frames.with_clashes(frames.docs(spark, *rows), "doc", "place", "path", "anchor", "places", "kept", "text_key")
     assert found(df, substrings.Passages(8, 3)) == brute(rows, 8)
 
 
 def test_texts_of_one_id(spark):
-    """Rows that share an id have one set of coordinates, each its own words."""
+    """Rows that share an id are one document, each with its own words."""
     one, two = " ".join("abcdefgh"), " ".join("xyabcdefgh")
     rows = [(1, one), (1, two)]
     assert found(frames.docs(spark, *rows), substrings.Passages(5, 2)) == brute(rows, 5)
 
 
+@pytest.mark.parametrize("doc", [None, 4])
+def test_many_texts_of_one_id(spark, doc):
+    """Coordinates found in one text are told to rows of that text only, whether the shared id is null or not."""
+    chance = random.Random(5)
+    texts = [" ".join(chance.choice("abcd") for _ in range(chance.randint(0, 25))) for _ in range(40)]
+    rows = [(doc, text) for text in texts + texts[:5]]
+    df = frames.docs(spark, *rows)
+    assert found(df, substrings.Passages(5, 2)) == brute(rows, 5)
+    told = substrings.repeats(df, substrings.Passages(5, 2)).groupBy("doc", "text_key").count().count()
+    assert 1 < told <= len(set(texts))
+
+
 def test_empty_table(spark):
     assert found(frames.docs(spark), substrings.Passages()) == []
 
