@@ -96,7 +96,29 @@ FROM parts
 @registered
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each document that repeat 20 or more words from earlier in the corpus are cut."""
-    return substrings.remove_repeats(table(spark, folder, "documents"), with_text=False)
+    return substrings.remove_repeats(table(spark, folder, "documents"), with_text=False).drop("spans")
+
+
+ORACLES["op3_substring_dedup"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS i FROM docs)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1
+), removed AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS place FROM later
+), kept AS (
+  SELECT doc_id, place, w[place] AS word
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS place FROM docs) ANTI JOIN removed USING (doc_id, place)
+), left_over AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY place) AS text FROM kept GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+  sha256(coalesce(left_over.text, '')) AS kept_sha256
+FROM docs LEFT JOIN left_over USING (doc_id)
+"""
 
 
 @registered
