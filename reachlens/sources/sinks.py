@@ -74,8 +74,18 @@ def create_if_missing(spark: SparkSession, table: str, schema: T.StructType, par
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet{partitioned}")
 
 
-def append(df: DataFrame, table: str) -> None:
-    df.select(*df.sparkSession.table(table).columns).write.insertInto(table)
+def append(df: DataFrame, table: str, partition: str | None = None) -> None:
+    """Add rows to the table.
+
+    With the table's partition column, rows are dealt by it first, so a partition gets one file and not one from every task.
+    The number of tasks is stated: making files is the cost of many small partitions, and adaptive execution, which
+    looks at bytes, would leave all of them to one task.
+    """
+    spark = df.sparkSession
+    df = df.select(*spark.table(table).columns)
+    if partition:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), partition)
+    df.write.insertInto(table)
 
 
 def insert_ignore(df: DataFrame, table: str, key: Sequence[str], prune: str | None = None) -> None:
@@ -91,7 +101,7 @@ def insert_ignore(df: DataFrame, table: str, key: Sequence[str], prune: str | No
         archived = in_partitions_of(archived, rows, prune)
         if archived is None:
             return
-    append(rows.join(archived.select(*key), list(key), "left_anti"), table)
+    append(rows.join(archived.select(*key), list(key), "left_anti"), table, prune)
 
 
 def in_partitions_of(df: DataFrame, rows: DataFrame, column: str, most: int = MOST_PARTITIONS) -> DataFrame | None:

@@ -116,6 +116,38 @@ def test_archive_keeps_each_item_once(spark):
     ]
 
 
+def uncoalesced(spark):
+    """A session whose tasks stay as many as on a large table."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    return own
+
+
+def test_a_day_of_the_archive_is_one_file(spark):
+    """Items of a day come from many tasks; the day gets one file all the same, in every run."""
+    own = uncoalesced(spark)
+    table = f"{sinks.scratch_database(own, 'n')}.archive"
+    news.create_archive(own, table)
+    for term in ("x", "y"):
+        items = [(f"t{n}", dt.datetime(2015, 9, 1 + n % 3), "s", term) for n in range(60)]
+        news.archive_items(archive_rows(own, *items), table)
+    assert own.table(table).count() == 120
+    assert len(own.table(table).inputFiles()) == 2 * 3
+
+
+def test_a_day_of_the_streamed_archive_is_one_file(spark):
+    path, checkpoint = scratch_path(spark, "feeds"), scratch_path(spark, "state")
+    own = uncoalesced(spark)
+    table = f"{sinks.scratch_database(own, 'n')}.archive"
+    news.create_archive(own, table)
+    items = [(f"t{n}", f"{'Fri' if n % 2 else 'Thu'}, {24 + n % 2} Sep 2015 17:04:04 GMT", "s") for n in range(40)]
+    own.createDataFrame([("x", 0, feed(*items))], FEED).write.parquet(path)
+    news_archive.start(own, path, table, checkpoint).awaitTermination()
+    own.catalog.refreshTable(table)
+    assert own.table(table).count() == 40
+    assert len(own.table(table).inputFiles()) == 2
+
+
 def test_headerless_file_round_trip(spark):
     path = scratch_path(spark, "csv")
     items = [('QQ, "beefing" up', GOOD, "http://x", "S, T", "Zenkai"), (" blank ", GOOD, "http://y", "s", "Zenkai")]
