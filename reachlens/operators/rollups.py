@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachlens.schemas import METRICS
+from reachlens.sources.sinks import SLICE
 
 
 @dataclass(frozen=True)
@@ -61,14 +62,18 @@ def roll_up(df: DataFrame, grain: Grain, names_follow_keys: bool = False) -> Dat
     (a text ``max`` would sort every row) and combines before the shuffle. Where a key may carry
     several names, a second pass over the reduced rows keeps the greatest. ``names_follow_keys``
     skips that pass for a source whose names come from dimension tables.
+
+    The slice of an arranged fact follows from the channel; grouping by it changes no row, keeps the arrangement, and lets rows
+    stay where they are.
     """
-    rolled = df.groupBy(*grain.keys, *grain.names).agg(*[F.sum(metric).alias(metric) for metric in METRICS])
+    keys = [*grain.keys, *[name for name in (SLICE,) if name in df.columns]]
+    rolled = df.groupBy(*keys, *grain.names).agg(*[F.sum(metric).alias(metric) for metric in METRICS])
     if not names_follow_keys:
-        rolled = rolled.groupBy(*grain.keys).agg(
+        rolled = rolled.groupBy(*keys).agg(
             *[F.max(name).alias(name) for name in grain.names],
             *[F.sum(metric).alias(metric) for metric in METRICS],
         )
-    return rolled.select(*grain.keys, *grain.names, *METRICS)
+    return rolled.select(*keys, *grain.names, *METRICS)
 
 
 def program_rollup(fact: DataFrame, names_follow_keys: bool = False) -> DataFrame:

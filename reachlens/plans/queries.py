@@ -536,9 +536,8 @@ def _written(
 
 def _rebuilt(spark: SparkSession, folder: str, names: Sequence[str]) -> weekly.TableRollups:
     """Write tables, repair the year ends of the fact, rebuild only the weeks concerned."""
-    fact = weeks.set_week_key(mapping.fact(spark, folder))
-    written = _written(spark, folder, fact, names)
-    repaired = weeks.repair_year_end(fact, REPAIRED_WEEKS)
+    written = _written(spark, folder, weeks.set_week_key(mapping.fact(spark, folder)), names)
+    repaired = weeks.repair_year_end(written.fact, REPAIRED_WEEKS)
     return weekly.rebuild_weeks(
         written, repaired, weeks.repaired_weeks(REPAIRED_WEEKS), names, names_follow_keys=True
     )

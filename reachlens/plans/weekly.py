@@ -141,26 +141,32 @@ class TableRollups(Rollups):
         return self._table("genre_base")
 
 
+LARGE_TABLES = ("program", "genre_channel", "show")
 BASE_TABLES = ("show_base", "channel_base", "genre_base")
-WEEKLY_TABLES = ("program", "genre_channel", "show", *BASE_TABLES)
+WEEKLY_TABLES = (*LARGE_TABLES, *BASE_TABLES)
 
 
 def write_tables(built: Rollups, database: str, names: Sequence[str] = WEEKLY_TABLES) -> TableRollups:
-    """Write roll-ups partitioned by week, each once and from the tables written before it.
+    """Write roll-ups partitioned by week, the large ones from the fact arranged by week, the bases from the written tables.
 
-    Tables that do not depend on each other are written at the same time. A table of ``names`` needs
-    the tables it is built from among them.
+    The fact is computed once; the result reads it as it was written. Tables that do not depend on each other are written at
+    the same time. A table of ``names`` needs the tables it is built from among them.
     """
-    written = TableRollups(built.fact, built.genre_reference, built.channel_reference, database)
+    rows = _arranged(built)
+    written = TableRollups(rows.fact.drop(sinks.SLICE), built.genre_reference, built.channel_reference, database)
 
     def write(frames: dict[str, Callable[[], DataFrame]]) -> None:
         wanted = {name: frame for name, frame in frames.items() if name in names}
         _at_once(wanted, lambda name, df: sinks.replace_table(df, f"{database}.{name}", sinks.WEEK))
 
-    write({"program": lambda: built.program, "show": lambda: built.show})
-    write({"genre_channel": lambda: rollups.genre_channel_rollup(written.program)})
+    write({name: lambda name=name: getattr(rows, name) for name in LARGE_TABLES})
     write({name: lambda name=name: _bases(written)[name]() for name in BASE_TABLES})
-    return TableRollups(built.fact, built.genre_reference, built.channel_reference, database)
+    return TableRollups(written.fact, built.genre_reference, built.channel_reference, database)
+
+
+def _arranged(built: Rollups) -> Rollups:
+    """The same roll-ups, made without a shuffle from the fact as it was written once."""
+    return Rollups(sinks.arranged(built.fact), built.genre_reference, built.channel_reference, built.names_follow_keys)
 
 
 def _at_once(frames: dict[str, Callable[[], DataFrame]], write: Callable[[str, DataFrame], None]) -> None:
@@ -237,12 +243,11 @@ class _StagedRollups(TableRollups):
 
 def publish_tables(built: Rollups, builds: Builds) -> PublishedRollups:
     """Write all roll-ups and publish them as one build: readers have the tables before it until the last one is complete."""
-    stage = builds.stage()
+    stage, rows = builds.stage(), _arranged(built)
     staged = _StagedRollups(built, stage)
-    _at_once({"program": lambda: built.program, "show": lambda: built.show}, stage.replace)
-    _at_once({"genre_channel": lambda: rollups.genre_channel_rollup(staged.program)}, stage.replace)
+    _at_once({name: lambda name=name: getattr(rows, name) for name in LARGE_TABLES}, stage.replace)
     _at_once(_bases(staged), stage.replace)
-    return PublishedRollups(built.fact, built.genre_reference, built.channel_reference, builds, stage.publish())
+    return PublishedRollups(rows.fact.drop(sinks.SLICE), built.genre_reference, built.channel_reference, builds, stage.publish())
 
 
 def publish_weeks(

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reachlens.sources.sinks import WEEK, in_cell_order
+from reachlens.sources.sinks import SLICE, WEEK, by_week
 
 _LISTS = "_builds"
 _BUILD = "build"
@@ -118,8 +118,7 @@ class Builds:
 
     def write(self, name: str, build: str, df: DataFrame) -> dict[int | None, str]:
         """Rows by week in the folder of a build; the weeks that got some."""
-        parted = in_cell_order(df.hint("rebalance", F.col(WEEK)))
-        parted.write.partitionBy(WEEK).parquet(str(self._path(name, f"{_BUILD}={build}")))
+        by_week(df).write.partitionBy(WEEK).parquet(str(self._path(name, f"{_BUILD}={build}")))
         return {week: build for week in self._weeks(name, build)}
 
     def _weeks(self, name: str, build: str) -> list[int | None]:
@@ -197,7 +196,7 @@ class Stage:
 
     def replace(self, name: str, df: DataFrame) -> None:
         """All rows of a table."""
-        self._tables[name] = _Table(df.schema, self._write(name, df))
+        self._tables[name] = _Table(df.drop(SLICE).schema, self._write(name, df))
 
     def replace_weeks(self, name: str, df: DataFrame, weeks: Iterable[int]) -> None:
         """The rows of ``weeks``, which may have none left; other weeks stay with the build that wrote them."""

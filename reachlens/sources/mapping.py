@@ -77,8 +77,7 @@ def _between(lines: DataFrame, first: dt.date | None, last: dt.date | None) -> D
     return lines
 
 
-def _calendar_columns() -> list[Column]:
-    day = F.to_date("l_shipdate")
+def _calendar_columns(day: Column) -> list[Column]:
     return [
         F.year(day).alias("CALENDAR_YEAR"),
         F.weekofyear(day).alias("BARC_WEEK"),
@@ -87,17 +86,21 @@ def _calendar_columns() -> list[Column]:
     ]
 
 
+def _net(price: Column, discount: Column) -> Column:
+    return (price * (1 - discount)).cast("decimal(18,4)")
+
+
 def _metric_columns() -> list[Column]:
     return [
         _money("l_quantity").alias("ADGRP"),
         _money("l_extendedprice").alias("FCT"),
-        (_money("l_extendedprice") * (1 - _money("l_discount"))).cast("decimal(18,4)").alias("TVT"),
+        _net(_money("l_extendedprice"), _money("l_discount")).alias("TVT"),
     ]
 
 
 def spots(spark: SparkSession, folder: str) -> DataFrame:
     """Calendar columns and metrics of the fact, from its own table alone: for what needs no dimension."""
-    return table(spark, folder, "lineitem").select(*_calendar_columns(), *_metric_columns())
+    return table(spark, folder, "lineitem").select(*_calendar_columns(F.to_date("l_shipdate")), *_metric_columns())
 
 
 def fact(
@@ -149,13 +152,17 @@ def fact(
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey", _market_key().alias("MARKET_KEY")
     )
+    whole = weeks is None and since is None and base_cells is None
+    if whole:  # orders are fewer than their lines, so customers are joined to them
+        orders = orders.join(customers, "o_custkey")
     joined = lines.select(
         "l_orderkey",
         F.col("l_partkey").alias("PROGRAM_GROUP_KEY"),
         F.col("l_suppkey").alias("CHANNEL_GROUP_KEY"),
         _tg_key().alias("TG_KEY"),
-        *_calendar_columns(),
-        *_metric_columns(),
+        F.to_date("l_shipdate").alias("day"),
+        *_metric_columns()[:2],
+        _money("l_discount").alias("discount"),
     ).join(orders, "l_orderkey")
     if base_cells is not None and "CHANNEL_GROUP_KEY" in base_cells.columns:
         cell = ["CHANNEL_GROUP_KEY", "TG_KEY", "MARKET_KEY"]
@@ -165,13 +172,16 @@ def fact(
         joined = joined.join(programs, "PROGRAM_GROUP_KEY").join(base_cells.select(*cell), cell)
     else:
         joined = joined.join(programs, "PROGRAM_GROUP_KEY")
+    if not whole:
+        joined = joined.join(customers, "o_custkey")
     joined = (
-        joined.join(customers, "o_custkey")
-        .join(channels, "CHANNEL_GROUP_KEY")
+        joined.join(channels, "CHANNEL_GROUP_KEY")
         .join(network, "NETWORK_KEY")
         .join(advertiser, "ADVERTISERS_GROUP_KEY")
     )
-    return joined.select(*schemas.FACT.fieldNames())
+    # What follows from the day and the price is computed after the joins, which move rows.
+    derived = joined.select("*", *_calendar_columns(F.col("day")), _net(F.col("FCT"), F.col("discount")).alias("TVT"))
+    return derived.select(*schemas.FACT.fieldNames())
 
 
 def advertisers(spark: SparkSession, folder: str) -> DataFrame:

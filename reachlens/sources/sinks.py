@@ -13,6 +13,10 @@ from reachlens.session import materialize, scratch_name, scratch_path, shared_fo
 WEEK = "WEEK_KEY"
 #: Partitions named one by one in a filter; thirteen years of days.
 MOST_PARTITIONS = 5000
+CHANNEL = "CHANNEL_GROUP_KEY"
+#: A column of an arranged fact, and the shuffle partitions for which it has one value more.
+SLICE = "SLICE"
+SLICED = 400
 CELL_ORDER = (WEEK, "TG_KEY", "MARKET_KEY", "ADVERTISERS_GROUP_KEY")
 
 
@@ -32,14 +36,38 @@ def in_cell_order(df: DataFrame) -> DataFrame:
     return df.sortWithinPartitions(*[name for name in CELL_ORDER if name in df.columns])
 
 
-def replace_table(df: DataFrame, table: str, partition: str | None = None) -> None:
-    """Create the table anew.
+def by_week(df: DataFrame) -> DataFrame:
+    """Rows as they are written by week.
+
+    They are rebalanced by week first: adaptive execution then joins small partitions and splits a large one over
+    several tasks, so files have an even size whatever the week holds. Rows made from an arranged fact lie together by week
+    already and are not moved again.
+    """
+    if SLICE in df.columns:
+        return in_cell_order(df.drop(SLICE))
+    return in_cell_order(df.hint("rebalance", F.col(WEEK)))
+
 
-    Rows are rebalanced by the partition column first: adaptive execution then joins small partitions
-    and splits a large one over several tasks, so files have an even size whatever the week holds.
+def arranged(fact: DataFrame) -> DataFrame:
+    """The fact written once, bucketed by week and ``SLICE``, which follows from the channel.
+
+    Roll-ups that have both in their keys are made from it, and written by week, without another shuffle. Slices keep a large
+    week from being one task; as the number of shuffle partitions is what a session is set to for its data, there
+    is a slice for every ``SLICED`` of them.
     """
+    spark = fact.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, partitions // SLICED)
+    rows = fact.withColumn(SLICE, F.pmod(F.hash(CHANNEL), F.lit(slices))).repartition(partitions, WEEK, SLICE)
+    table = f"{scratch_database(spark, 'fact')}.arranged"
+    rows.write.bucketBy(partitions, WEEK, SLICE).sortBy(WEEK, CHANNEL).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def replace_table(df: DataFrame, table: str, partition: str | None = None) -> None:
+    """Create the table anew, with a partition column in files of even size."""
     if partition:
-        df = in_cell_order(df.hint("rebalance", F.col(partition)))
+        df = by_week(df)
     writer = df.write.mode("overwrite").format("parquet")
     if partition:
         writer = writer.partitionBy(partition)

@@ -74,6 +74,25 @@ def test_week_range_prunes_table_partitions(spark, small):
     assert "PartitionFilters: [isnotnull(WEEK_KEY" in plan
 
 
+def test_written_roll_ups_come_from_one_arranged_fact(spark, small):
+    """The joins of the fact are made once; what is written of it by week needs no shuffle of its own."""
+    frames = weekly.Rollups(
+        mapping.fact(spark, small).where("WEEK_KEY between 199605 and 199609"),
+        mapping.ref_genre_tg_mkt(spark, small),
+        mapping.ref_ch_group_tg_mkt(spark, small),
+        True,
+    )
+    written = weekly.write_tables(frames, sinks.scratch_database(spark, "once"), ["program", "genre_channel", "show"])
+    assert "Join" not in plan_text(written.fact)
+    rows = weekly.Rollups(sinks.arranged(written.fact), frames.genre_reference, frames.channel_reference, True)
+    for name in ("program", "genre_channel", "show"):
+        assert "Exchange" not in plan_text(sinks.by_week(getattr(rows, name)))
+        table = getattr(written, name)
+        assert sinks.SLICE not in table.columns
+        assert table.exceptAll(getattr(frames, name).select(*table.columns)).isEmpty()
+        assert table.count() == getattr(frames, name).count()
+
+
 def test_show_top_rows_take_no_full_sort(spark, small):
     assert "TakeOrderedAndProject" in plan_text(queries.QUERIES["enriched_show_top100"](spark, small))
 
