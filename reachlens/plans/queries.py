@@ -522,21 +522,29 @@ def period_validation(spark: SparkSession, folder: str) -> DataFrame:
 _GENRE_TABLES = ("program", "genre_channel", "genre_base")
 
 
-def _written(
-    spark: SparkSession, folder: str, fact: DataFrame, names: Sequence[str] = weekly.WEEKLY_TABLES
-) -> weekly.TableRollups:
-    built = weekly.Rollups(
-        fact,
+def _weekly(spark: SparkSession, folder: str, set_key: bool = False) -> weekly.Rollups:
+    """Roll-ups of the whole fact, which is arranged by its keys; the week key is that of the day or set by the operator."""
+    keyed = mapping.with_calendar(mapping.keyed_fact(spark, folder))
+    keyed = (weeks.set_week_key(keyed) if set_key else keyed).drop(*mapping.OF_DAY)
+    return weekly.Rollups(
+        mapping.named(spark, folder, keyed),
         mapping.ref_genre_tg_mkt(spark, folder),
         mapping.ref_ch_group_tg_mkt(spark, folder),
         names_follow_keys=True,
+        arranged=lambda: mapping.named(spark, folder, sinks.arranged(keyed)),
     )
+
+
+def _written(
+    spark: SparkSession, folder: str, names: Sequence[str] = weekly.WEEKLY_TABLES, set_key: bool = False
+) -> weekly.TableRollups:
+    built = _weekly(spark, folder, set_key)
     return weekly.write_tables(built, sinks.scratch_database(spark, "weekly"), names)
 
 
 def _rebuilt(spark: SparkSession, folder: str, names: Sequence[str]) -> weekly.TableRollups:
     """Write tables, repair the year ends of the fact, rebuild only the weeks concerned."""
-    written = _written(spark, folder, weeks.set_week_key(mapping.fact(spark, folder)), names)
+    written = _written(spark, folder, names, set_key=True)
     repaired = weeks.repair_year_end(written.fact, REPAIRED_WEEKS)
     return weekly.rebuild_weeks(
         written, repaired, weeks.repaired_weeks(REPAIRED_WEEKS), names, names_follow_keys=True
@@ -569,13 +577,13 @@ def incremental_table_rebuild(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def weekly_contents(spark: SparkSession, folder: str) -> DataFrame:
     """All rows of all tables that the weekly build writes."""
-    return _stacked(_written(spark, folder, mapping.fact(spark, folder)), weekly.WEEKLY_TABLES)
+    return _stacked(_written(spark, folder), weekly.WEEKLY_TABLES)
 
 
 @register
 def weekly_build(spark: SparkSession, folder: str) -> DataFrame:
     """Write all tables and count their rows."""
-    written = _written(spark, folder, mapping.fact(spark, folder))
+    written = _written(spark, folder)
     counts = [
         getattr(written, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
         for name in weekly.WEEKLY_TABLES
@@ -584,12 +592,7 @@ def weekly_build(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _published(spark: SparkSession, folder: str) -> weekly.PublishedRollups:
-    built = weekly.Rollups(
-        weeks.set_week_key(mapping.fact(spark, folder)),
-        mapping.ref_genre_tg_mkt(spark, folder),
-        mapping.ref_ch_group_tg_mkt(spark, folder),
-        names_follow_keys=True,
-    )
+    built = _weekly(spark, folder, set_key=True)
     return weekly.publish_tables(built, Builds(spark, scratch_path(spark, "builds")))
 
 
@@ -627,14 +630,14 @@ def published_newest_week(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def enriched_genre_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The genre request on written tables, where the week range prunes partitions."""
-    written = _written(spark, folder, mapping.fact(spark, folder), _GENRE_TABLES)
+    written = _written(spark, folder, _GENRE_TABLES)
     return _rounded(dashboard.enriched(written, SELECTION, affinity.GENRE), *_SHARES)
 
 
 @register
 def enriched_channel_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     names = ("program", "genre_channel", "channel_base")
-    written = _written(spark, folder, mapping.fact(spark, folder), names)
+    written = _written(spark, folder, names)
     return _rounded(dashboard.enriched(written, SELECTION, affinity.CHANNEL), *_SHARES)
 
 
@@ -642,7 +645,7 @@ def enriched_channel_from_tables(spark: SparkSession, folder: str) -> DataFrame:
 def enriched_show_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The show level reads the advertiser's rows from the fact itself."""
     names = ("program", "genre_channel", "show", "show_base")
-    written = _written(spark, folder, mapping.fact(spark, folder), names)
+    written = _written(spark, folder, names)
     return _rounded(present.top_rows(dashboard.enriched(written, SELECTION, affinity.SHOW)), *_SHARES)
 
 

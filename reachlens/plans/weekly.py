@@ -20,6 +20,9 @@ class Rollups:
     """The tables a dashboard request reads, each built from the fact when first asked for.
 
     Filters of a request reach the fact scan through the aggregations, because they are on the keys.
+
+    ``arranged`` gives the fact as ``sinks.arranged`` wrote it; a source that joins dimensions to its fact can write it
+    before the small ones, which then neither are moved nor written. Without it the fact is written as it is.
     """
 
     def __init__(
@@ -28,11 +31,13 @@ class Rollups:
         genre_reference: DataFrame,
         channel_reference: DataFrame,
         names_follow_keys: bool = False,
+        arranged: Callable[[], DataFrame] | None = None,
     ) -> None:
         self.fact = fact
         self.genre_reference = genre_reference
         self.channel_reference = channel_reference
         self.names_follow_keys = names_follow_keys
+        self.arranged = arranged or (lambda: sinks.arranged(fact))
 
     @cached_property
     def program(self) -> DataFrame:
@@ -166,7 +171,7 @@ def write_tables(built: Rollups, database: str, names: Sequence[str] = WEEKLY_TA
 
 def _arranged(built: Rollups) -> Rollups:
     """The same roll-ups, made without a shuffle from the fact as it was written once."""
-    return Rollups(sinks.arranged(built.fact), built.genre_reference, built.channel_reference, built.names_follow_keys)
+    return Rollups(built.arranged(), built.genre_reference, built.channel_reference, built.names_follow_keys)
 
 
 def _at_once(frames: dict[str, Callable[[], DataFrame]], write: Callable[[str, DataFrame], None]) -> None:

@@ -22,6 +22,8 @@ OTHERS_FROM_NETWORK = 20
 ACCESS_CHANNELS = 20
 NEWS_EPOCH = "2024-01-01 00:00:00"
 FEED_PAGES = 100
+# Calendar columns that follow from the day alone.
+OF_DAY = ("CALENDAR_YEAR", "BARC_WEEK", "MONTH")
 
 
 # Columns read from the given tables; a stated schema saves a footer-reading job per table.
@@ -103,6 +105,91 @@ def spots(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(*_calendar_columns(F.to_date("l_shipdate")), *_metric_columns())
 
 
+def _programs(spark: SparkSession, folder: str) -> DataFrame:
+    parts = table(spark, folder, "part").join(_genres(spark, folder), "p_type")
+    return parts.select(
+        F.col("p_partkey").alias("PROGRAM_GROUP_KEY"),
+        F.col("p_name").alias("PROGRAM_GROUP_DISPLAY_NAME"),
+        "GENRE_KEY",
+        F.col("p_type").alias("GENRE_DISPLAY_NAME"),
+    )
+
+
+def _channels(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("CHANNEL_GROUP_KEY"),
+        F.col("s_name").alias("CHANNEL_GROUP_DISPLAY_NAME"),
+        F.col("s_nationkey").alias("NETWORK_KEY"),
+    )
+
+
+def _customers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("ADVERTISERS_GROUP_KEY")
+    )
+
+
+def _orders(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", _market_key().alias("MARKET_KEY")
+    )
+
+
+def _keyed_lines(lines: DataFrame) -> DataFrame:
+    return lines.select(
+        "l_orderkey",
+        F.col("l_partkey").alias("PROGRAM_GROUP_KEY"),
+        F.col("l_suppkey").alias("CHANNEL_GROUP_KEY"),
+        _tg_key().alias("TG_KEY"),
+        F.to_date("l_shipdate").alias("day"),
+        *_metric_columns()[:2],
+        _money("l_discount").alias("discount"),
+    )
+
+
+def keyed_fact(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole fact by its keys and its day, with the names that the large tables have.
+
+    ``named`` makes the fact of it. What that adds follows from nations, the day and the price, so rows that are moved or
+    written between the two need not carry it.
+    """
+    # Orders are fewer than their lines, so customers are joined to them.
+    orders = _orders(spark, folder).join(_customers(spark, folder), "o_custkey")
+    return (
+        _keyed_lines(table(spark, folder, "lineitem"))
+        .join(orders, "l_orderkey")
+        .join(_programs(spark, folder), "PROGRAM_GROUP_KEY")
+        .join(_channels(spark, folder), "CHANNEL_GROUP_KEY")
+        .drop("l_orderkey", "o_custkey")
+    )
+
+
+def with_calendar(rows: DataFrame) -> DataFrame:
+    """Calendar columns of the rows' day."""
+    return rows.select("*", *_calendar_columns(F.col("day")))
+
+
+def named(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """``FACT_TG_AFFINITY_AGG_WK`` from rows of ``keyed_fact``; their other columns, and a week key of their own, stay."""
+    nation = table(spark, folder, "nation")
+    network = nation.select(
+        F.col("n_nationkey").alias("NETWORK_KEY"),
+        F.when(F.col("n_nationkey") >= OTHERS_FROM_NETWORK, "Others")
+        .otherwise(F.col("n_name"))
+        .alias("NETWORK_DISPLAY_NAME"),
+    )
+    advertiser = nation.select(
+        F.col("n_nationkey").alias("ADVERTISERS_GROUP_KEY"),
+        F.col("n_name").alias("ADVERTISERS_GROUP_DISPLAY_NAME"),
+    )
+    joined = rows.join(network, "NETWORK_KEY").join(advertiser, "ADVERTISERS_GROUP_KEY")
+    day, net = F.col("day"), _net(F.col("FCT"), F.col("discount")).alias("TVT")
+    calendar_columns = _calendar_columns(day)[: -1 if "WEEK_KEY" in rows.columns else None]
+    derived = joined.select("*", *calendar_columns, net)
+    others = [name for name in rows.columns if name not in (*schemas.FACT.fieldNames(), "day", "discount")]
+    return derived.select(*schemas.FACT.fieldNames(), *others)
+
+
 def fact(
     spark: SparkSession,
     folder: str,
@@ -116,54 +203,14 @@ def fact(
     filter stays with the caller. ``base_cells`` has a genre or channel key with its cells: the rows are joined with
     it as soon as its key is known, before the other dimensions, once per row of it.
     """
+    if weeks is None and since is None and base_cells is None:
+        return named(spark, folder, keyed_fact(spark, folder))
     lines = table(spark, folder, "lineitem")
     if weeks:
         lines = _between(lines, calendar.week_first_day(weeks[0]), calendar.week_last_day(weeks[1]))
     lines = _between(lines, since, None)
-    nation = table(spark, folder, "nation")
-    network = nation.select(
-        F.col("n_nationkey").alias("NETWORK_KEY"),
-        F.when(F.col("n_nationkey") >= OTHERS_FROM_NETWORK, "Others")
-        .otherwise(F.col("n_name"))
-        .alias("NETWORK_DISPLAY_NAME"),
-    )
-    advertiser = nation.select(
-        F.col("n_nationkey").alias("ADVERTISERS_GROUP_KEY"),
-        F.col("n_name").alias("ADVERTISERS_GROUP_DISPLAY_NAME"),
-    )
-    channels = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("CHANNEL_GROUP_KEY"),
-        F.col("s_name").alias("CHANNEL_GROUP_DISPLAY_NAME"),
-        F.col("s_nationkey").alias("NETWORK_KEY"),
-    )
-    programs = (
-        table(spark, folder, "part")
-        .join(_genres(spark, folder), "p_type")
-        .select(
-            F.col("p_partkey").alias("PROGRAM_GROUP_KEY"),
-            F.col("p_name").alias("PROGRAM_GROUP_DISPLAY_NAME"),
-            "GENRE_KEY",
-            F.col("p_type").alias("GENRE_DISPLAY_NAME"),
-        )
-    )
-    customers = table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("ADVERTISERS_GROUP_KEY")
-    )
-    orders = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", _market_key().alias("MARKET_KEY")
-    )
-    whole = weeks is None and since is None and base_cells is None
-    if whole:  # orders are fewer than their lines, so customers are joined to them
-        orders = orders.join(customers, "o_custkey")
-    joined = lines.select(
-        "l_orderkey",
-        F.col("l_partkey").alias("PROGRAM_GROUP_KEY"),
-        F.col("l_suppkey").alias("CHANNEL_GROUP_KEY"),
-        _tg_key().alias("TG_KEY"),
-        F.to_date("l_shipdate").alias("day"),
-        *_metric_columns()[:2],
-        _money("l_discount").alias("discount"),
-    ).join(orders, "l_orderkey")
+    programs = _programs(spark, folder)
+    joined = _keyed_lines(lines).join(_orders(spark, folder), "l_orderkey")
     if base_cells is not None and "CHANNEL_GROUP_KEY" in base_cells.columns:
         cell = ["CHANNEL_GROUP_KEY", "TG_KEY", "MARKET_KEY"]
         joined = joined.join(base_cells.select(*cell), cell).join(programs, "PROGRAM_GROUP_KEY")
@@ -172,16 +219,9 @@ def fact(
         joined = joined.join(programs, "PROGRAM_GROUP_KEY").join(base_cells.select(*cell), cell)
     else:
         joined = joined.join(programs, "PROGRAM_GROUP_KEY")
-    if not whole:
-        joined = joined.join(customers, "o_custkey")
-    joined = (
-        joined.join(channels, "CHANNEL_GROUP_KEY")
-        .join(network, "NETWORK_KEY")
-        .join(advertiser, "ADVERTISERS_GROUP_KEY")
-    )
+    joined = joined.join(_customers(spark, folder), "o_custkey").join(_channels(spark, folder), "CHANNEL_GROUP_KEY")
     # What follows from the day and the price is computed after the joins, which move rows.
-    derived = joined.select("*", *_calendar_columns(F.col("day")), _net(F.col("FCT"), F.col("discount")).alias("TVT"))
-    return derived.select(*schemas.FACT.fieldNames())
+    return named(spark, folder, joined.drop("l_orderkey", "o_custkey"))
 
 
 def advertisers(spark: SparkSession, folder: str) -> DataFrame:

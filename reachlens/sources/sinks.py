@@ -16,7 +16,9 @@ MOST_PARTITIONS = 5000
 CHANNEL = "CHANNEL_GROUP_KEY"
 #: A column of an arranged fact, and the shuffle partitions for which it has one value more.
 SLICE = "SLICE"
-SLICED = 400
+SLICED = 50
+#: Buckets of an arranged fact for each shuffle partition.
+FINER = 4
 CELL_ORDER = (WEEK, "TG_KEY", "MARKET_KEY", "ADVERTISERS_GROUP_KEY")
 
 
@@ -53,14 +55,16 @@ def arranged(fact: DataFrame) -> DataFrame:
 
     Roll-ups that have both in their keys are made from it, and written by week, without another shuffle. Slices keep a large
     week from being one task; as the number of shuffle partitions is what a session is set to for its data, there
-    is a slice for every ``SLICED`` of them.
+    is a slice for every ``SLICED`` of them. Weeks are few and do not spread evenly, and a task aggregates and sorts all weeks of its
+    bucket; so there are ``FINER`` times as many buckets, which keeps the fullest of them in memory.
     """
     spark = fact.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = max(1, partitions // SLICED)
-    rows = fact.withColumn(SLICE, F.pmod(F.hash(CHANNEL), F.lit(slices))).repartition(partitions, WEEK, SLICE)
+    buckets = min(partitions * FINER, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    rows = fact.withColumn(SLICE, F.pmod(F.hash(CHANNEL), F.lit(slices))).repartition(buckets, WEEK, SLICE)
     table = f"{scratch_database(spark, 'fact')}.arranged"
-    rows.write.bucketBy(partitions, WEEK, SLICE).sortBy(WEEK, CHANNEL).format("parquet").saveAsTable(table)
+    rows.write.bucketBy(buckets, WEEK, SLICE).sortBy(WEEK, CHANNEL).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 

@@ -3,7 +3,7 @@
 import pytest
 from helpers import plan_text
 
-from reachlens.operators import affinity, rollups
+from reachlens.operators import affinity, rollups, weeks
 from reachlens.plans import queries, weekly
 from reachlens.sources import mapping, sinks
 
@@ -93,6 +93,27 @@ def test_written_roll_ups_come_from_one_arranged_fact(spark, small):
         assert table.count() == getattr(frames, name).count()
 
 
+def test_fact_is_moved_and_written_without_what_follows_from_its_keys(spark, small):
+    """Names of nations, calendar columns and the net price are added to the arranged fact when it is read."""
+    fact = queries._published(spark, small).fact
+    files = [name for name in fact.inputFiles() if "/arranged/" in name]
+    kept = spark.read.parquet(*files).columns
+    assert {"NETWORK_KEY", "ADVERTISERS_GROUP_KEY", sinks.WEEK} <= {*kept}
+    assert not {"NETWORK_DISPLAY_NAME", "ADVERTISERS_GROUP_DISPLAY_NAME", "TVT", "CALENDAR_YEAR", "BARC_WEEK", "MONTH"} & {*kept}
+    whole = weeks.set_week_key(mapping.fact(spark, small))
+    assert fact.columns == whole.columns and fact.count() == whole.count()
+    assert fact.exceptAll(whole).isEmpty()
+
+
+def test_roll_ups_of_the_keyed_fact_need_no_shuffle(spark, small):
+    """The joins that add the names of nations leave the arranged rows where they are."""
+    built = queries._weekly(spark, small)
+    rows = weekly.Rollups(built.arranged(), built.genre_reference, built.channel_reference, True)
+    for name in weekly.LARGE_TABLES:
+        plan = plan_text(sinks.by_week(getattr(rows, name)))
+        assert "Exchange" not in plan.replace("BroadcastExchange", ""), name
+
+
 def test_show_top_rows_take_no_full_sort(spark, small):
     assert "TakeOrderedAndProject" in plan_text(queries.QUERIES["enriched_show_top100"](spark, small))
 
